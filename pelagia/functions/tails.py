@@ -11,29 +11,30 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _erfc = np.vectorize(math.erfc, otypes=[float])
 _CHUNK = 1_000_000
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_tail_1df(statistic: pd.Series) -> pd.Series:
     """P(X ≥ statistic) of a chi-square variable with one degree of freedom."""
     values = statistic.to_numpy(dtype=float, na_value=np.nan)
     out = np.full(len(values), np.nan)
     known = ~np.isnan(values)
     out[known] = _erfc(np.sqrt(np.maximum(values[known], 0.0) / 2.0))
-    return pd.Series(out).where(known, None)
+    return pd.Series(out)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     """Two-sided tail probability of a standard normal variable."""
     values = z.to_numpy(dtype=float, na_value=np.nan)
     out = np.full(len(values), np.nan)
     known = ~np.isnan(values)
     out[known] = _erfc(np.abs(values[known]) / math.sqrt(2.0))
-    return pd.Series(out).where(known, None)
+    return pd.Series(out)
 
 
 def _log_weight(k: np.ndarray, row: int, col: int, n: int) -> np.ndarray:
@@ -63,7 +64,7 @@ def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
     return min(1.0, extreme / total)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_exact_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     """Two-sided Fisher exact p of 2×2 counts, one table per row."""
     return pd.Series([fisher_two_sided(int(w), int(x), int(y), int(z)) for w, x, y, z in zip(a, b, c, d)])
