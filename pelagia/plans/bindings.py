@@ -65,6 +65,25 @@ BINDINGS: dict[str, str] = {
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
              JOIN {{facts}} f ON f.genome = CAST(o_custkey AS STRING)
     """,
+    # wide membership rows: cluster, size, member list
+    "membership": """
+        SELECT 'T' || CAST(c_custkey AS STRING) AS target_id, 100 + c_custkey % 300 AS length, 4 AS size,
+               'T' || CAST(c_custkey AS STRING) AS representative,
+               'G' || CAST(c_custkey AS STRING) || '-scaffold_1_1;G' || CAST((c_custkey * 7) % 500 AS STRING)
+               || '-scaffold_2_3;G' || CAST(c_custkey AS STRING) || '-scaffold_1_9;G'
+               || CAST((c_custkey * 3) % 400 AS STRING) || '-scaffold_12_5' AS members
+        FROM {customer}
+    """,
+    # climate grid: one-degree cells, depth levels, value
+    "climate_grid": """
+        SELECT CAST(o_orderkey % 180 AS DOUBLE) - 89.5 AS cell_lat,
+               CAST(CAST(floor(o_orderkey / 180) AS BIGINT) * 7 % 360 AS DOUBLE) - 179.5 AS cell_lon,
+               CAST(level * 1500 AS DOUBLE) AS depth,
+               max(CASE WHEN (o_custkey + level) % 5 = 0 THEN NULL ELSE round(o_totalprice / 20000, 3) - level END) AS value
+        FROM {orders} CROSS JOIN (SELECT r_regionkey AS level FROM {region}) lv
+        GROUP BY CAST(o_orderkey % 180 AS DOUBLE) - 89.5,
+                 CAST(CAST(floor(o_orderkey / 180) AS BIGINT) * 7 % 360 AS DOUBLE) - 179.5, CAST(level * 1500 AS DOUBLE)
+    """,
     # excluded (family, query) pairs and excluded target ids
     "bad_queries": f"""
         SELECT DISTINCT {_FAMILY} AS family, CAST(l_suppkey AS STRING) AS best_query
@@ -117,7 +136,7 @@ def with_bindings(sql: str, uses: tuple[str, ...]) -> str:
     if not parts:
         return sql.strip()
     body = sql.strip()
-    match = re.match(r"(?i)with\s+", body)
+    match = re.match(r"(?i)with\s+(recursive\s+)?", body)
     if match:
-        return "WITH " + ", ".join(parts) + ", " + body[match.end():]
+        return f"WITH {match.group(1) or ''}" + ", ".join(parts) + ", " + body[match.end():]
     return "WITH " + ", ".join(parts) + " " + body

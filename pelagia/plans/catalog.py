@@ -1,6 +1,6 @@
 """All registered queries; importing the plan modules fills the registry."""
 
-from pelagia.plans import ecology_plans, hits_plans, matrix_plans, stats_plans  # noqa: F401
+from pelagia.plans import ecology_plans, enrich_plans, hits_plans, matrix_plans, spatial_plans, stats_plans  # noqa: F401
 from pelagia.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
