@@ -110,20 +110,20 @@ def chao2_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     units = F.col("n_units").cast("double")
     shrink = (units - 1) / units
     s, once, twice = (F.col(x).cast("double") for x in ("observed", "q1", "q2"))
-    ratio = once / twice
-    estimate = F.when(twice > 0, s + shrink * once * once / (2 * twice)).otherwise(s + shrink * once * (once - 1) / 2)
+    ratio = F.try_divide(once, twice)
+    estimate = F.when(twice > 0, s + F.try_divide(shrink * once * once, 2 * twice)).otherwise(s + shrink * once * (once - 1) / 2)
     with_doubles = twice * (
         shrink / 2 * ratio * ratio + shrink * shrink * F.pow(ratio, 3) + shrink * shrink / 4 * F.pow(ratio, 4)
     )
     without = (
         shrink * once * (once - 1) / 2
         + shrink * once * F.pow(2 * once - 1, 2) / 4
-        - shrink * F.pow(once, 4) / (4 * estimate)
+        - shrink * F.try_divide(F.pow(once, 4), 4 * estimate)
     )
     out = counts.withColumn("estimate", estimate).withColumn("_var", F.when(twice > 0, with_doubles).otherwise(without))
     extra = F.col("estimate") - s
     usable = (extra > 0) & (F.col("_var") > 0)
-    k = F.exp(1.96 * F.sqrt(F.log(1 + F.col("_var") / (extra * extra))))
+    k = F.exp(1.96 * F.sqrt(F.log(1 + F.try_divide(F.col("_var"), extra * extra))))
     return out.select(
         *by,
         "n_units",
@@ -131,9 +131,9 @@ def chao2_from_counts(counts: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         "q1",
         "q2",
         "estimate",
-        F.when(usable, s + extra / k).otherwise(s).alias("ci_low"),
+        F.when(usable, s + F.try_divide(extra, k)).otherwise(s).alias("ci_low"),
         F.when(usable, s + extra * k).otherwise(F.col("estimate")).alias("ci_high"),
-        (s * 100 / F.col("estimate")).alias("pct_observed"),
+        F.try_divide(s * 100, F.col("estimate")).alias("pct_observed"),
     )
 
 
@@ -253,8 +253,8 @@ def terminal_rate(curve: DataFrame, share: float = 0.05) -> DataFrame:
     point = F.struct("x", "mean")
     ends = curve.agg(F.max(point).alias("_end"), F.array_sort(F.collect_list(point)).alias("_points"))
     before = F.filter("_points", lambda p: p["x"] <= F.col("_end.x") * (1 - share))
-    start = F.element_at(before, -1)
-    rate = (F.col("_end.mean") - start["mean"]) / (F.col("_end.x") - start["x"])
+    start = F.try_element_at(before, F.lit(-1))
+    rate = F.try_divide(F.col("_end.mean") - start["mean"], F.col("_end.x") - start["x"])
     return ends.select(rate.alias("terminal_rate"))
 
 

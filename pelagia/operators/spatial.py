@@ -61,11 +61,11 @@ def interpolate_profile(profile: Column, depth: Column) -> Column:
     """Struct of the value at a depth: exact, linear between levels, or the nearest level outside the range."""
     below = F.filter(profile, lambda p: p["depth"] <= depth)
     above = F.filter(profile, lambda p: p["depth"] >= depth)
-    low = F.when(F.size(below) > 0, F.element_at(below, -1)).otherwise(F.element_at(above, 1))
-    high = F.when(F.size(above) > 0, F.element_at(above, 1)).otherwise(F.element_at(below, -1))
+    low = F.when(F.size(below) > 0, F.try_element_at(below, F.lit(-1))).otherwise(F.try_element_at(above, F.lit(1)))
+    high = F.when(F.size(above) > 0, F.try_element_at(above, F.lit(1))).otherwise(F.try_element_at(below, F.lit(-1)))
     inside = (F.size(below) > 0) & (F.size(above) > 0)
     exact = inside & (low["depth"] == depth)
-    share = (depth - low["depth"]) / (high["depth"] - low["depth"])
+    share = F.try_divide(depth - low["depth"], high["depth"] - low["depth"])
     value = F.when(~inside | exact, low["value"]).otherwise(low["value"] + share * (high["value"] - low["value"]))
     method = (
         F.when(exact, "exact_depth")

@@ -39,7 +39,7 @@ def mantel_haenszel(tables: DataFrame, by: Sequence[str], min_stratum_n: int = 1
     n = a + b + c + d
     used = (n > min_stratum_n) & (a + b > 0) & (c + d > 0)
     expected = (a + b) * (a + c) / n
-    variance = (a + b) * (c + d) * (a + c) * (b + d) / (n * n * (n - 1))
+    variance = F.try_divide((a + b) * (c + d) * (a + c) * (b + d), n * n * (n - 1))
     r, s, p, q = a * d / n, b * c / n, (a + d) / n, (b + c) / n
 
     def total(value: Column, name: str) -> Column:
@@ -53,16 +53,16 @@ def mantel_haenszel(tables: DataFrame, by: Sequence[str], min_stratum_n: int = 1
     has_test = (F.col("_s") > 0) & (F.col("_v") > 0)
     has_ci = (F.col("_r") > 0) & (F.col("_s") > 0)
     log_var = (
-        F.col("_pr") / (2 * F.col("_r") * F.col("_r"))
-        + F.col("_pq") / (2 * F.col("_r") * F.col("_s"))
-        + F.col("_qs") / (2 * F.col("_s") * F.col("_s"))
+        F.try_divide(F.col("_pr"), 2 * F.col("_r") * F.col("_r"))
+        + F.try_divide(F.col("_pq"), 2 * F.col("_r") * F.col("_s"))
+        + F.try_divide(F.col("_qs"), 2 * F.col("_s") * F.col("_s"))
     )
-    ratio = F.col("_r") / F.col("_s")
+    ratio = F.try_divide("_r", "_s")
     half = z * F.sqrt(log_var)
     out = sums.select(
         *by,
         F.when(has_test, ratio).alias("odds_ratio"),
-        F.when(has_test, F.pow(F.abs(F.col("_a") - F.col("_e")), 2) / F.col("_v")).alias("cmh_chi2"),
+        F.when(has_test, F.try_divide(F.pow(F.abs(F.col("_a") - F.col("_e")), 2), F.col("_v"))).alias("cmh_chi2"),
         F.when(has_ci, ratio * F.exp(-half)).alias("ci_low"),
         F.when(has_ci, ratio * F.exp(half)).alias("ci_high"),
         "n_strata_used",
@@ -85,7 +85,8 @@ def raw_two_by_two(rows: DataFrame, group: str, positive: Column) -> DataFrame:
 
 def fisher_exact(tables: DataFrame) -> DataFrame:
     """Sample odds ratio and two-sided exact p for every a,b,c,d row."""
-    ratio = F.when(F.col("b") * F.col("c") > 0, F.col("a") * F.col("d") / (F.col("b") * F.col("c")))
+    a, b, c, d = (F.col(x).cast("double") for x in "abcd")
+    ratio = F.try_divide(a * d, b * c)
     return tables.withColumn("fisher_or", ratio).withColumn("fisher_p", fisher_exact_p("a", "b", "c", "d"))
 
 
@@ -113,7 +114,7 @@ def standardized_rate(tables: DataFrame, group: str, base_rate: Column) -> DataF
     Strata unseen outside the group fall back to ``base_rate``.
     """
     inside, outside = F.col("a") + F.col("b"), F.col("c") + F.col("d")
-    rate = F.when(outside > 0, F.col("c") / outside).otherwise(base_rate)
+    rate = F.coalesce(F.try_divide(F.col("c"), outside), base_rate)
     return tables.groupBy(group).agg(
         (F.sum("a") * 100 / F.sum(inside)).alias("observed_pct"),
         (F.sum(inside * rate) * 100 / F.sum(inside)).alias("expected_pct"),
@@ -155,14 +156,14 @@ def mann_whitney(rows: DataFrame, value: str, first_group: Column, by: Sequence[
     a, total = F.col("_a"), F.col("_n")
     b = total - a
     u = F.col("_ranks") - a * (a + 1) / 2
-    sd = F.sqrt(a * b / 12 * ((total + 1) - F.col("_ties") / (total * (total - 1))))
+    sd = F.sqrt(a * b / 12 * ((total + 1) - F.try_divide(F.col("_ties"), total * (total - 1))))
     out = sums.select(
         *by,
         a.cast("long").alias("n1"),
         b.cast("long").alias("n2"),
         u.alias("u1"),
-        ((u - a * b / 2) / sd).alias("z"),
-        (u / (a * b)).alias("effect"),
+        F.try_divide(u - a * b / 2, sd).alias("z"),
+        F.try_divide(u, a * b).alias("effect"),
     )
     return out.withColumn("p_value", normal_two_sided("z")) if with_p else out
 
@@ -175,7 +176,7 @@ def group_summary(rows: DataFrame, group: str, value: str, cuts: Sequence[float]
         F.count(value).alias("n_with_value"),
         F.avg(value).alias("mean"),
         *[
-            (F.count_if(known & (F.col(value) >= c)) * 100 / F.count(value)).alias(f"pct_ge_{c:g}")
+            F.try_divide(F.count_if(known & (F.col(value) >= c)) * 100, F.count(value)).alias(f"pct_ge_{c:g}")
             for c in cuts
         ],
     )
