@@ -165,16 +165,24 @@ def wrap_text(text: Column, width: int = 60) -> Column:
     return F.regexp_replace(text, f"(.{{{width}}})(?=.)", "$1\n")
 
 
-def motif_positions(sequence: Column, motif: str, length: int, offset: int) -> Column:
-    """1-based positions (shifted by ``offset``) of non-overlapping motif matches, left to right."""
-    n = F.length(sequence) - length + 1
-    starts = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    hits = F.filter(starts, lambda i: sequence.substr(i, F.lit(length)).rlike("^" + motif + "$"))
-    kept = F.aggregate(
-        hits,
-        F.array().cast("array<int>"),
-        lambda acc, i: F.when(
-            (F.size(acc) == 0) | (i >= F.element_at(acc, -1) + length), F.array_append(acc, i)
-        ).otherwise(acc),
-    )
-    return F.transform(kept, lambda i: i + offset)
+def motif_positions(sequence: Column, motif: str, length: int, offset: int = 0) -> Column:
+    """1-based positions (shifted by ``offset``) of non-overlapping motif matches, left to right.
+
+    The text between matches is measured, so one pass over the sequence is enough.
+    """
+    pieces = F.split(sequence, motif, -1)
+    start = F.struct(F.lit(1).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        here = acc["at"] + F.length(piece)
+        return F.struct((here + length).alias("at"), F.array_append(acc["found"], here + offset).alias("found"))
+
+    return F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), start, step, lambda acc: acc["found"])
+
+
+def kmers(sequence: Column, k: int) -> Column:
+    """All substrings of length ``k`` in order, read off an array of characters in one pass."""
+    letters = F.split(sequence, "(?!^)")
+    count = F.size(letters) - k
+    windows = F.transform(F.sequence(F.lit(0), count), lambda i: F.concat(*[letters[i + j] for j in range(k)]))
+    return F.when(F.length(sequence) >= k, windows).otherwise(F.array().cast("array<string>"))

@@ -1,6 +1,16 @@
 """All registered queries; importing the plan modules fills the registry."""
 
-from pelagia.plans import audit_plans, ecology_plans, enrich_plans, hits_plans, matrix_plans, spatial_plans, stats_plans  # noqa: F401
+from pelagia.plans import (  # noqa: F401
+    audit_plans,
+    ecology_plans,
+    enrich_plans,
+    function_plans,
+    hits_plans,
+    matrix_plans,
+    reference_plans,
+    spatial_plans,
+    stats_plans,
+)
 from pelagia.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
