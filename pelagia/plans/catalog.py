@@ -8,6 +8,8 @@ from pelagia.plans import (  # noqa: F401
     hits_plans,
     matrix_plans,
     reference_plans,
+    sequence_plans,
+    source_plans,
     spatial_plans,
     stats_plans,
 )
