@@ -181,8 +181,5 @@ def motif_positions(sequence: Column, motif: str, length: int, offset: int = 0)
 
 
 def kmers(sequence: Column, k: int) -> Column:
-    """All substrings of length ``k`` in order, read off an array of characters in one pass."""
-    letters = F.split(sequence, "(?!^)")
-    count = F.size(letters) - k
-    windows = F.transform(F.sequence(F.lit(0), count), lambda i: F.concat(*[letters[i + j] for j in range(k)]))
-    return F.when(F.length(sequence) >= k, windows).otherwise(F.array().cast("array<string>"))
+    """All substrings of length ``k`` in order: the overlapping matches of one look-ahead scan."""
+    return F.regexp_extract_all(sequence, F.lit(f"(?s)(?=(.{{{k}}}))"), F.lit(1))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pelagia.functions.geo import ocean_basin
 from pelagia.operators.ordering import first_by
 from pelagia.operators.richness import permutations
+from pelagia.session import cut_lineage
 
 
 def site_cluster_counts(
@@ -22,6 +23,8 @@ def site_cluster_counts(
     """
     placed = rows.where("sample_id <> '' AND lat IS NOT NULL AND lon IS NOT NULL")
     counts = placed.groupBy(F.col("sample_id").alias("site"), "cluster_id").agg(F.count(F.lit(1)).alias("n"))
+    # Read again for the richness, the cap and every distance, so it is written once.
+    counts = cut_lineage(counts)
     richness = counts.groupBy("site").agg(F.count(F.lit(1)).alias("richness")).where(F.col("richness") >= min_richness)
     if max_sites is not None:
         richness = richness.orderBy(F.desc("richness"), "site").limit(max_sites)
@@ -70,7 +73,7 @@ def _both_ways(pairs: DataFrame, value: str) -> DataFrame:
 
 def gower_centred(pairs: DataFrame, value: str) -> DataFrame:
     """Double-centred −½d² as (row, col, b), from row and grand means; the diagonal is included."""
-    both = _both_ways(pairs, value)
+    both = _both_ways(cut_lineage(pairs), value)
     square = both.select("site_a", "site_b", (F.col("d") * F.col("d")).alias("sq"))
     own = square.select("site_a").unionByName(square.select(F.col("site_b").alias("site_a"))).distinct()
     full = square.unionByName(own.select("site_a", F.col("site_a").alias("site_b"), F.lit(0.0).alias("sq")))
@@ -92,7 +95,7 @@ def principal_coordinates(pairs: DataFrame, value: str, n_components: int = 2) -
     only positive ones count.  Axis signs make the largest coordinate positive.
     """
     spark = pairs.sparkSession
-    centred = gower_centred(pairs, value)
+    centred = cut_lineage(gower_centred(pairs, value))
     sites = centred.select(F.col("site_a").alias("site")).distinct()
     index = sites.withColumn("i", F.row_number().over(Window.orderBy("site")) - 1)
     indexed = centred.join(index.select(F.col("site").alias("site_a"), F.col("i").alias("_i")), "site_a").join(
@@ -130,6 +133,7 @@ def mantel_test(pairs: DataFrame, a: str, b: str, n_perm: int = 999, seed: int =
     Sites are relabelled by seeded permutations, and the permuted distance is fetched by
     its pair; each permutation is one ``corr`` over the pair table.
     """
+    pairs = cut_lineage(pairs.select("site_a", "site_b", a, b))
     observed = pairs.agg(F.corr(a, b).alias("r"))
     sites = pairs.select(F.col("site_a").alias("site")).union(pairs.select("site_b")).distinct()
     numbered = sites.withColumn("_no", F.row_number().over(Window.orderBy("site")))

@@ -25,6 +25,16 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for CPU-heavy work per row.
+
+    A small or badly split input (one file, one row group) would otherwise run in one
+    task; an input that already has enough partitions is left alone.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
+
+
 def ordered_index(
     df: DataFrame,
     group_cols: Sequence[str],

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pelagia.functions.text import AMINO_ACIDS, kmers
 from pelagia.operators.graph import component_of_all, connected_components, longest_member
+from pelagia.operators.ordering import spread
 
 
 # ---- composition and projection --------------------------------------------------------
@@ -18,7 +19,7 @@ from pelagia.operators.graph import component_of_all, connected_components, long
 
 def kmer_composition(sequences: DataFrame, key: str, k: int, alphabet: str = AMINO_ACIDS) -> DataFrame:
     """Share of each k-mer among the k-mers of a sequence; k-mers with other letters are skipped."""
-    opened = sequences.select(key, F.explode(kmers(F.col("sequence"), k)).alias("kmer"))
+    opened = spread(sequences, key).select(key, F.explode(kmers(F.col("sequence"), k)).alias("kmer"))
     known = opened.where(F.col("kmer").rlike(f"^[{alphabet}]{{{k}}}$"))
     counts = known.groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(key).agg(F.sum("n").alias("_t"))
@@ -105,9 +106,9 @@ def kmer_search(
     and every candidate is verified on the full k-mer sets.
     """
     q = kmer_sets(queries.select(F.col("query").alias("id"), "sequence"), "id", k).where(F.size("kmers") > 0)
-    t = kmer_sets(targets.select(F.col("target").alias("id"), "sequence"), "id", k).where(F.size("kmers") > 0)
     opened = q.select("id", F.explode("kmers").alias("_k"))
-    posted = t.select(F.col("id").alias("target"), F.explode("kmers").alias("_k"))
+    hashed = F.array_distinct(F.transform(kmers(F.col("sequence"), k), lambda m: F.xxhash64(m)))
+    posted = spread(targets, "target").select("target", F.explode(hashed).alias("_k"))
     wanted = posted.join(opened.select("_k").distinct(), "_k", "left_semi")
     frequency = wanted.groupBy("_k").agg(F.count(F.lit(1)).alias("_df"))
     ranked = opened.join(frequency, "_k", "left").groupBy("id").agg(
@@ -116,9 +117,9 @@ def kmer_search(
     keep = F.size("_r") - F.ceil(F.size("_r") * F.lit(min_containment)).cast("int") + 1
     prefix = ranked.select("id", F.explode(F.slice("_r", F.lit(1), keep)).alias("_e")).select("id", F.col("_e.k").alias("_k"))
     candidates = wanted.join(prefix, "_k").select(F.col("id").alias("query"), "target").distinct()
-    verified = candidates.join(q.select(F.col("id").alias("query"), F.col("kmers").alias("_qk")), "query").join(
-        t.select(F.col("id").alias("target"), F.col("kmers").alias("_tk")), "target"
-    )
+    # Sequences are joined first, so k-mers are read again for candidates only.
+    verified = candidates.join(targets.select("target", "sequence"), "target").withColumn("_tk", hashed)
+    verified = verified.join(q.select(F.col("id").alias("query"), F.col("kmers").alias("_qk")), "query")
     shared = F.size(F.array_intersect("_qk", "_tk"))
     hits = verified.select(
         "query",

@@ -79,7 +79,7 @@ BINDINGS: dict[str, str] = {
         SELECT CAST(o_orderkey % 180 AS DOUBLE) - 89.5 AS cell_lat,
                CAST(CAST(floor(o_orderkey / 180) AS BIGINT) * 7 % 360 AS DOUBLE) - 179.5 AS cell_lon,
                CAST(level * 1500 AS DOUBLE) AS depth,
-               max(CASE WHEN (o_custkey + level) % 5 = 0 THEN NULL ELSE round(o_totalprice / 20000, 3) - level END) AS value
+               max(CASE WHEN (o_custkey + level) % 5 = 0 THEN NULL ELSE o_totalprice / 20000 - level END) AS value
         FROM {orders} CROSS JOIN (SELECT r_regionkey AS level FROM {region}) lv
         GROUP BY CAST(o_orderkey % 180 AS DOUBLE) - 89.5,
                  CAST(CAST(floor(o_orderkey / 180) AS BIGINT) * 7 % 360 AS DOUBLE) - 179.5, CAST(level * 1500 AS DOUBLE)

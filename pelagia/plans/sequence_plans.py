@@ -65,7 +65,7 @@ def opg9(spark, sf):
     return rounded(sequences.pair_identity(pairs, rows), "identity")
 
 
-ATOM_SQL = """at AS (SELECT DISTINCT l_suppkey AS structure, CAST(l_partkey AS INT) AS position, CASE CAST(l_partkey % 4 AS INT) WHEN 0 THEN 'C' WHEN 1 THEN 'H' WHEN 2 THEN 'D' ELSE 'S' END AS residue,
+ATOM_SQL = """atm AS (SELECT DISTINCT l_suppkey AS structure, CAST(l_partkey AS INT) AS position, CASE CAST(l_partkey % 4 AS INT) WHEN 0 THEN 'C' WHEN 1 THEN 'H' WHEN 2 THEN 'D' ELSE 'S' END AS residue,
     CASE CAST(l_partkey % 12 AS INT) WHEN 0 THEN 'SG' WHEN 1 THEN 'NE2' WHEN 2 THEN 'OD1' WHEN 3 THEN 'OG' ELSE 'CA' END AS atom, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01')"""
 
 
@@ -78,7 +78,7 @@ def atoms(spark, sf):
 
 @query(
     "jn20_structural_triads",
-    f"""WITH {ATOM_SQL}, pt AS (SELECT *, atom <> 'CA' AS act, bool_or(atom <> 'CA') OVER (PARTITION BY structure, position) AS has FROM at),
+    f"""WITH {ATOM_SQL}, pt AS (SELECT *, atom <> 'CA' AS act, bool_or(atom <> 'CA') OVER (PARTITION BY structure, position) AS has FROM atm),
         r AS (SELECT structure, position, residue, x, y, z FROM pt WHERE act OR NOT has),
         nh AS (SELECT h.structure, h.position AS his, n.position AS nuc, min(sqrt(pow(h.x-n.x,2)+pow(h.y-n.y,2)+pow(h.z-n.z,2))) AS d FROM r h JOIN r n ON n.structure = h.structure AND n.residue = 'C' WHERE h.residue = 'H' GROUP BY ALL),
         hd AS (SELECT h.structure, h.position AS his, a.position AS asp, min(sqrt(pow(h.x-a.x,2)+pow(h.y-a.y,2)+pow(h.z-a.z,2))) AS d FROM r h JOIN r a ON a.structure = h.structure AND a.residue = 'D' WHERE h.residue = 'H' GROUP BY ALL),

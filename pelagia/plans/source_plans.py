@@ -111,11 +111,16 @@ def src8(spark, sf):
 )
 def src9(spark, sf):
     path = writers.scratch_path(spark, "samples.xml")
-    attributes = """CASE CAST(event_id % 3 AS INT)
-        WHEN 0 THEN concat('<Attribute attribute_name="Depth">other</Attribute><Attribute attribute_name="d" harmonized_name="depth"> ', CAST(round(value, 1) AS STRING), ' m </Attribute>')
-        WHEN 1 THEN concat('<Attribute attribute_name=" DEPTH ">raw ', event_id, '</Attribute><Attribute attribute_name="x">1</Attribute>')
-        ELSE '<Attribute attribute_name="temp">4</Attribute><Attribute attribute_name="x">1</Attribute>' END"""
-    table(spark, sf, "events").selectExpr(f"concat('<BioSample accession=\"S', event_id, '\"><Attributes>', {attributes}, '</Attributes></BioSample>') AS value").write.text(path)
+    def item(text: str, name: str, harmonized: str) -> str:
+        return f"named_struct('_VALUE', {text}, '_attribute_name', {name}, '_harmonized_name', {harmonized})"
+
+    none = "CAST(NULL AS STRING)"
+    depth = "concat(CAST(round(value, 1) AS STRING), ' m')"
+    attributes = f"""CASE CAST(event_id % 3 AS INT) WHEN 0 THEN array({item("'other'", "'Depth'", none)}, {item(depth, "'d'", "'depth'")})
+        WHEN 1 THEN array({item("concat('raw ', event_id)", "' DEPTH '", none)}, {item("'1'", "'x'", none)})
+        ELSE array({item("'4'", "'temp'", none)}, {item("'1'", "'x'", none)}) END"""
+    rows = table(spark, sf, "events").selectExpr("concat('S', event_id) AS _accession", f"named_struct('Attribute', {attributes}) AS Attributes")
+    rows.write.format("xml").options(rowTag="BioSample", rootTag="BioSampleSet").save(path)
     return readers.read_sample_depths(spark, path)
 
 

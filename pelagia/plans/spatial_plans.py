@@ -52,13 +52,13 @@ def _matched(spark, sf):
 
 @query(
     "jn18_value_at_depth",
-    f"""WITH {MATCH_SQL} SELECT genome, round(climate_value, 6) AS climate_value, depth_lower, depth_upper, value_lower, value_upper, depth_method FROM itp""",
+    f"""WITH {MATCH_SQL} SELECT genome, round(climate_value, 8) AS climate_value, depth_lower, depth_upper, value_lower, value_upper, depth_method FROM itp""",
     ("facts", "climate_grid"),
 )
 def jn18(spark, sf):
     out = _matched(spark, sf).where("depth_method IS NOT NULL")
     out = out.select("genome", "climate_value", "depth_lower", "depth_upper", "value_lower", "value_upper", "depth_method")
-    return rounded(out, "climate_value")
+    return rounded(out, "climate_value", digits=8)
 
 
 PLACES = [("North Ridge", 40.0, -30.0), ("South Basin", -45.5, 60.5), ("West Trench", 11.0, 142.0), ("Twin Trench", 12.0, 143.0)]

@@ -107,10 +107,13 @@ def enzyme_proteins(records: DataFrame) -> DataFrame:
 
 def enzyme_statements(records: DataFrame, fields: Sequence[str]) -> DataFrame:
     """One row per statement of the named fields, with its literature ids resolved."""
-    tagged = [
-        F.transform(F.coalesce(F.col(f"record.{f}"), F.array()), lambda e, n=f: F.struct(F.lit(n).alias("field"), e.alias("e")))
-        for f in fields
-    ]
+
+    def tag(name: str) -> Column:
+        return F.transform(
+            F.coalesce(F.col(f"record.{name}"), F.array()), lambda e: F.struct(F.lit(name).alias("field"), e.alias("e"))
+        )
+
+    tagged = [tag(name) for name in fields]
     opened = records.select("ec", F.col("record.reference").alias("_refs"), F.explode(F.concat(*tagged)).alias("_s"))
     cited = F.transform(F.coalesce("_s.e.references", F.array().cast("array<string>")), lambda r: F.col("_refs")[r])
     return opened.select(
