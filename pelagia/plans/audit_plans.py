@@ -287,10 +287,10 @@ def ag45(spark, sf):
     return ops.folded_hierarchy(rel(spark, sf, "facts"), "genus", "species", 58, 12)
 
 
-# Clusters made of one target each, so that many of them stay inside one phylum.
-SINGLE_SQL = """sp AS (SELECT c_custkey // 4 AS cluster_id, count(DISTINCT phylum) AS np, max(phylum) AS phylum, arg_min(domain_name, c_custkey) AS domain_name,
+# Small clusters, so that many of them stay inside one phylum.
+SINGLE_SQL = """sp AS (SELECT c_custkey // 2 AS cluster_id, count(DISTINCT phylum) AS np, max(phylum) AS phylum, arg_min(domain_name, c_custkey) AS domain_name,
       arg_min(class_name, c_custkey) AS class_name, arg_min(order_name, c_custkey) AS order_name FROM customer JOIN facts ON genome = CAST(c_custkey AS VARCHAR)
-      WHERE c_nationkey % 5 <= 1 GROUP BY 1 HAVING count(DISTINCT phylum) = 1),
+      GROUP BY 1 HAVING count(DISTINCT phylum) = 1),
     cn AS (SELECT phylum, class_name, order_name, count(*) AS n FROM sp GROUP BY ALL),
     pc AS (SELECT *, count(*) FILTER (class_rank > 3) OVER (PARTITION BY phylum) AS small_c FROM (SELECT phylum, class_name, sum(n) AS cn, ROW_NUMBER() OVER (PARTITION BY phylum ORDER BY sum(n) DESC, class_name) AS class_rank FROM cn GROUP BY phylum, class_name)),
     rk AS (SELECT *, count(*) FILTER (order_rank > 2) OVER (PARTITION BY phylum, class_name) AS small_o FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY phylum, class_name ORDER BY n DESC, order_name) AS order_rank FROM cn)),
@@ -300,7 +300,7 @@ SINGLE_SQL = """sp AS (SELECT c_custkey // 4 AS cluster_id, count(DISTINCT phylu
 
 def leaves(spark, sf):
     rows = rel(spark, sf, "facts").join(
-        table(spark, sf, "customer").where("c_nationkey % 5 <= 1").selectExpr("CAST(c_custkey AS STRING) AS genome", "c_custkey AS ord", "c_custkey DIV 4 AS cluster_id"), "genome"
+        table(spark, sf, "customer").selectExpr("CAST(c_custkey AS STRING) AS genome", "c_custkey AS ord", "c_custkey DIV 2 AS cluster_id"), "genome"
     )
     return ops.taxonomy_leaves(ops.single_phylum_clusters(rows))
 

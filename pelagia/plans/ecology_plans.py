@@ -113,17 +113,14 @@ def ag15(spark, sf):
     return ops.cluster_points(_rows(spark, sf))
 
 
-POS_SQL = "pos AS (SELECT DISTINCT genome FROM annotated WHERE family = 'phaC' AND CAST(target_id AS BIGINT) % 4 = 1)"
+POS_SQL = "pos AS (SELECT DISTINCT genome FROM annotated WHERE family = 'phaC' AND target_id IN (SELECT CAST(p_partkey AS VARCHAR) FROM part WHERE p_size <= 12))"
 
 
 def positives(spark, sf):
-    """Genomes with a phaC hit on the first quarter of the targets."""
-    return (
-        rel(spark, sf, "annotated")
-        .where((F.col("family") == "phaC") & (F.col("target_id").cast("long") % 4 == 1))
-        .select("genome")
-        .distinct()
-    )
+    """Genomes with a phaC hit on a short target."""
+    short = table(spark, sf, "part").where("p_size <= 12").select(F.col("p_partkey").cast("string").alias("target_id"))
+    found = rel(spark, sf, "annotated").where("family = 'phaC'").join(short, "target_id", "left_semi")
+    return found.select("genome").distinct()
 
 
 @query(

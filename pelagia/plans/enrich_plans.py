@@ -11,11 +11,11 @@ CAP_SQL = """ex AS (SELECT target_id, size, split_part(m, '-scaffold_', 1) AS ge
       FROM (SELECT target_id, size, unnest(string_split(members, ';')) AS m FROM membership) WHERE contains(m, '-scaffold_')),
     dg AS (SELECT target_id, size, genome, ROW_NUMBER() OVER (PARTITION BY target_id ORDER BY genome) AS rn,
            count(*) OVER (PARTITION BY target_id) AS total FROM (SELECT DISTINCT target_id, size, genome FROM ex))"""
-WANTED = "SELECT 'T' || CAST(c_custkey AS VARCHAR) AS target_id FROM customer WHERE c_custkey % 3 = 1"
+WANTED = "SELECT 'T' || CAST(c_custkey AS VARCHAR) AS target_id FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')"
 
 
 def wanted(spark, sf):
-    return table(spark, sf, "customer").where("c_custkey % 3 = 1").select(
+    return table(spark, sf, "customer").where("c_mktsegment IN ('BUILDING', 'MACHINERY')").select(
         F.concat(F.lit("T"), F.col("c_custkey").cast("string")).alias("target_id")
     )
 
@@ -259,14 +259,14 @@ def jn14_one(spark, sf):
 
 @query(
     "jn21_agreeing_single_copy_genomes",
-    f"""WITH {MATRIX_SQL}, b AS (SELECT genome FROM members WHERE CAST(target AS BIGINT) % 40 = 1 GROUP BY genome HAVING count(DISTINCT target) = 1),
+    f"""WITH {MATRIX_SQL}, b AS (SELECT genome FROM members WHERE target IN (SELECT target FROM bad_targets) GROUP BY genome HAVING count(DISTINCT target) = 1),
         a AS (SELECT genome FROM matrix WHERE n_phaC = 3)
         SELECT coalesce(a.genome, b.genome) AS genome, CASE WHEN b.genome IS NULL THEN 'matrix_only' WHEN a.genome IS NULL THEN 'membership_only' ELSE 'both' END AS status
         FROM a FULL JOIN b ON a.genome = b.genome""",
-    ("annotated", "bad_queries", "members"),
+    ("annotated", "bad_queries", "members", "bad_targets"),
 )
 def jn21(spark, sf):
-    links = rel(spark, sf, "members").where(F.col("target").cast("long") % 40 == 1)
+    links = rel(spark, sf, "members").join(rel(spark, sf, "bad_targets"), "target", "left_semi")
     matrix = family_matrix(spark, sf).withColumn("single", (F.col("n_phaC") == 3).cast("int"))
     return ops.agreeing_single_copy(matrix, links, "single")
 

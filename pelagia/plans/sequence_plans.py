@@ -66,11 +66,11 @@ def opg9(spark, sf):
 
 
 ATOM_SQL = """atm AS (SELECT DISTINCT l_suppkey AS structure, CAST(l_partkey AS INT) AS position, CASE CAST(l_partkey % 4 AS INT) WHEN 0 THEN 'C' WHEN 1 THEN 'H' WHEN 2 THEN 'D' ELSE 'S' END AS residue,
-    CASE CAST(l_partkey % 12 AS INT) WHEN 0 THEN 'SG' WHEN 1 THEN 'NE2' WHEN 2 THEN 'OD1' WHEN 3 THEN 'OG' ELSE 'CA' END AS atom, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z FROM lineitem WHERE l_shipdate >= TIMESTAMP '1999-01-01')"""
+    CASE CAST(l_partkey % 12 AS INT) WHEN 0 THEN 'SG' WHEN 1 THEN 'NE2' WHEN 2 THEN 'OD1' WHEN 3 THEN 'OG' ELSE 'CA' END AS atom, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * 100 AS z FROM lineitem)"""
 
 
 def atoms(spark, sf):
-    return table(spark, sf, "lineitem").where("l_shipdate >= TIMESTAMP '1999-01-01'").selectExpr(
+    return table(spark, sf, "lineitem").selectExpr(
         "l_suppkey AS structure", "CAST(l_partkey AS INT) AS position", "CASE CAST(l_partkey % 4 AS INT) WHEN 0 THEN 'C' WHEN 1 THEN 'H' WHEN 2 THEN 'D' ELSE 'S' END AS residue",
         "CASE CAST(l_partkey % 12 AS INT) WHEN 0 THEN 'SG' WHEN 1 THEN 'NE2' WHEN 2 THEN 'OD1' WHEN 3 THEN 'OG' ELSE 'CA' END AS atom", "l_quantity AS x", "l_extendedprice / 1000 AS y", "l_discount * 100 AS z",
     ).distinct()

@@ -231,12 +231,12 @@ def snk1(spark, sf):
 @query(
     "snk2_fasta_records",
     f"""WITH d AS (SELECT doc_id, lang, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END AS gene, {LETTERS} AS s FROM documents)
-        SELECT doc_id, '>' || concat_ws(' ', 'doc' || doc_id, 'family=' || lang, 'gene=' || gene) AS header, md5(regexp_replace(s, '(.{{60}})', '\\1' || chr(10), 'g')) AS body, length(s) % 60 = 0 AS full_last FROM d WHERE s <> '' AND length(s) % 60 <> 0""",
+        SELECT doc_id, '>' || concat_ws(' ', 'doc' || doc_id, 'family=' || lang, 'gene=' || gene) AS header, md5(rtrim(regexp_replace(s, '(.{{60}})', '\\1' || chr(10), 'g'), chr(10))) AS body, length(s) % 60 = 0 AS full_last FROM d WHERE s <> ''""",
 )
 def snk2(spark, sf):
     docs = table(spark, sf, "documents").select(
         "doc_id", F.concat(F.lit("doc"), "doc_id").alias("name"), F.col("lang").alias("fam"), F.expr("CASE WHEN doc_id % 3 = 0 THEN NULL ELSE source END").alias("gene"), letters().alias("sequence")
-    ).where("length(sequence) % 60 <> 0")
+    ).where("sequence <> ''")
     return docs.select(
         "doc_id", writers.fasta_header("name", [("family", "fam"), ("gene", "gene")]).alias("header"), F.md5(wrap_text(F.col("sequence"))).alias("body"),
         (F.length("sequence") % 60 == 0).alias("full_last"),
