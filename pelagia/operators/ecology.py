@@ -12,10 +12,11 @@ from pelagia.operators.ordering import (
     exact_medians,
     exact_quantiles,
     first_by,
-    modal_value,
+    modal_values,
     ordered_index,
-    top_categories_text,
+    top_categories_texts,
 )
+from pelagia.session import cut_lineage
 
 
 def with_clusters(rows: DataFrame, clusters: DataFrame) -> DataFrame:
@@ -74,40 +75,51 @@ def max_pairwise_km(points: DataFrame, group: str = "cluster_id", cap: int = 200
     """Greatest distance between the sampled points of a group, worked out inside one row per group.
 
     The sample holds at most ``cap`` points, so the array is bounded and no pair rows are made.
+    Pairs are compared by squared chord, which needs no trigonometry; the great-circle
+    distance is taken once, for the farthest pair.
     """
-    sampled = strided_sample(points, group, cap=cap)
-    arrays = sampled.groupBy(group).agg(F.collect_list(F.struct("lat", "lon")).alias("_p"))
+    x, y, z = unit_vector(F.col("lat"), F.col("lon"))
+    point = F.struct("lat", "lon", x.alias("x"), y.alias("y"), z.alias("z"))
+    arrays = strided_sample(points, group, cap=cap).groupBy(group).agg(F.collect_list(point).alias("_p"))
+
+    def chord(a: Column, b: Column) -> Column:
+        dx, dy, dz = a["x"] - b["x"], a["y"] - b["y"], a["z"] - b["z"]
+        return dx * dx + dy * dy + dz * dz
 
     def farthest(a: Column) -> Column:
-        return F.array_max(F.transform("_p", lambda b: haversine_km(a["lat"], a["lon"], b["lat"], b["lon"])))
+        reached = F.transform("_p", lambda b: F.struct(chord(a, b).alias("c"), b["lat"].alias("lat"), b["lon"].alias("lon")))
+        far = F.array_max(reached)
+        return F.struct(far["c"].alias("c"), a["lat"].alias("lat"), a["lon"].alias("lon"), far["lat"].alias("lat2"), far["lon"].alias("lon2"))
 
-    return arrays.select(group, F.array_max(F.transform("_p", farthest)).alias("max_pairwise_km"))
+    best = arrays.select(group, F.array_max(F.transform("_p", farthest)).alias("_b"))
+    km = haversine_km(F.col("_b.lat"), F.col("_b.lon"), F.col("_b.lat2"), F.col("_b.lon2"))
+    return best.select(group, km.alias("max_pairwise_km"))
 
 
 def cluster_ecology(rows: DataFrame, top_n: int = 5, cap: int = 200) -> DataFrame:
     """Targets, genomes, spread, median depth and top taxa per cluster, most genomes first."""
-    genomes = cluster_genomes(rows)
+    # Read by five aggregates below, so the (cluster, genome) table is written once.
+    genomes = cut_lineage(cluster_genomes(rows))
     points = genomes.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    targets = rows.where(F.col("genome").isNotNull() & (F.col("genome") != ""))
-    base = targets.groupBy("cluster_id").agg(
-        F.count_distinct("target_id").alias("n_target_ids"), F.count_distinct("genome").alias("n_genomes")
-    )
+    placed = rows.where(F.col("genome").isNotNull() & (F.col("genome") != ""))
+    targets = placed.groupBy("cluster_id").agg(F.count_distinct("target_id").alias("n_target_ids"))
+    base = genomes.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_genomes")).join(targets, "cluster_id")
     depth = exact_quantiles(genomes, ["cluster_id"], {"median_depth_m": F.col("depth_m")}, {"": 0.5}, counts=True)
     depth = depth.withColumnRenamed("n_median_depth_m", "n_genomes_with_depth")
     out = base.join(spherical_dispersion(points), "cluster_id", "left")
     out = out.join(max_pairwise_km(points, cap=cap), "cluster_id", "left").join(depth, "cluster_id", "left")
-    for column, name in (("genus", "top_genera"), ("phylum", "top_phyla"), ("study", "top_studies")):
-        out = out.join(top_categories_text(genomes, ["cluster_id"], column, top_n, name), "cluster_id", "left")
+    names = {"genus": "top_genera", "phylum": "top_phyla", "study": "top_studies"}
+    out = out.join(top_categories_texts(genomes, ["cluster_id"], names, top_n), "cluster_id", "left")
     return out.fillna(0, ["geo_n", "n_genomes_with_depth"]).orderBy(F.desc("n_genomes"), "cluster_id")
 
 
 def annotate_clusters(rows: DataFrame, wanted: DataFrame, categories: Sequence[str]) -> DataFrame:
     """Modal value of each category and the median depth over the genomes of the wanted clusters."""
     chosen = rows.join(wanted.select("cluster_id").distinct(), "cluster_id", "left_semi")
-    genomes = cluster_genomes(chosen, [*categories, "depth_m"])
+    genomes = cut_lineage(cluster_genomes(chosen, [*categories, "depth_m"]))
     out = genomes.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n_genomes"))
-    for category in categories:
-        out = out.join(modal_value(genomes, ["cluster_id"], category, f"modal_{category}"), "cluster_id", "left")
+    modal = modal_values(genomes, ["cluster_id"], {c: f"modal_{c}" for c in categories})
+    out = out.join(modal, "cluster_id", "left")
     return out.join(exact_medians(genomes, ["cluster_id"], {"median_depth_m": F.col("depth_m")}), "cluster_id", "left")
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from pelagia.functions.geo import UNKNOWN_ZONE, ZONE_ORDER, depth_zone
 from pelagia.functions.text import architecture_label, label_codes, short_code
-from pelagia.operators.ordering import first_by, top_categories_text
+from pelagia.operators.ordering import first_by, top_categories_texts
+from pelagia.session import cut_lineage
 
 
 def drop_bad_queries(annotated: DataFrame, bad: DataFrame) -> DataFrame:
@@ -54,6 +55,8 @@ def architecture_summary(
     matrix: DataFrame, order: Sequence[str], top_n: int = 5, tops: Sequence[str] = ("genus", "species", "study")
 ) -> DataFrame:
     """Genomes, share, distinct studies and top taxa per label, most common label first."""
+    # Two aggregates read the matrix; without a cut each would rebuild it from the hits.
+    matrix = cut_lineage(matrix.select("architecture", "study", *[t for t in tops if t != "study"]))
     base = matrix.groupBy("architecture").agg(
         F.count(F.lit(1)).alias("n_genomes"),
         F.count_distinct(F.when(F.col("study") != "", F.col("study"))).alias("n_distinct_studies"),
@@ -64,11 +67,8 @@ def architecture_summary(
     by_code = F.array(*[F.struct(F.lit(short_code(f)).alias("c"), F.lit(f).alias("f")) for f in order])
     present = F.transform(F.filter(by_code, lambda e: F.array_contains(codes, e["c"])), lambda e: e["f"])
     out = out.withColumn("families_present", F.array_join(present, ","))
-    for column in tops:
-        out = out.join(
-            top_categories_text(matrix, ["architecture"], column, top_n, f"top_{column}"), "architecture", "left"
-        )
-    return out.orderBy(F.desc("n_genomes"), "architecture")
+    texts = top_categories_texts(matrix, ["architecture"], {c: f"top_{c}" for c in tops}, top_n)
+    return out.join(texts, "architecture", "left").orderBy(F.desc("n_genomes"), "architecture")
 
 
 def clade_depth_counts(rows: DataFrame, clade: str, depth: str = "depth_m") -> DataFrame:

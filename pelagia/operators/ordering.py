@@ -213,6 +213,35 @@ def top_categories_text(df: DataFrame, group_cols: Sequence[str], category: str,
     return ranked.groupBy(*group_cols).agg(text.alias(name))
 
 
+def _long_category_counts(df: DataFrame, groups: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows per (group, column, value) for several category columns in one pass; blanks not counted."""
+    pairs = [F.struct(F.lit(c).alias("_c"), F.col(c).cast("string").alias("_v")) for c in columns]
+    long = df.select(*groups, F.inline(F.array(*pairs))).where("_v IS NOT NULL AND _v <> ''")
+    return long.groupBy(*groups, "_c", "_v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_categories_texts(df: DataFrame, group_cols: Sequence[str], names: dict[str, str], n: int) -> DataFrame:
+    """:func:`top_categories_text` of several columns (column → output name) from one scan."""
+    groups = list(group_cols)
+    order = Window.partitionBy(*groups, "_c").orderBy(F.desc("n"), F.asc("_v"))
+    counted = _long_category_counts(df, groups, list(names))
+    ranked = counted.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n)
+    entry = F.struct("_r", F.concat(F.col("_v"), F.lit(" ("), F.col("n").cast("string"), F.lit(")")).alias("t"))
+    out = []
+    for column, name in names.items():
+        mine = F.array_sort(F.collect_list(F.when(F.col("_c") == column, entry)))
+        out.append(F.when(F.size(mine) > 0, F.array_join(F.transform(mine, lambda e: e["t"]), "; ")).alias(name))
+    return ranked.groupBy(*groups).agg(*out)
+
+
+def modal_values(df: DataFrame, group_cols: Sequence[str], names: dict[str, str]) -> DataFrame:
+    """:func:`modal_value` of several columns (column → output name) from one scan."""
+    counted = _long_category_counts(df, group_cols, list(names))
+    order = F.struct(-F.col("n"), F.col("_v"))
+    out = [F.min_by("_v", F.when(F.col("_c") == c, order)).alias(name) for c, name in names.items()]
+    return counted.groupBy(*group_cols).agg(*out)
+
+
 def modal_value(df: DataFrame, group_cols: Sequence[str], column: str, name: str | None = None) -> DataFrame:
     """The most frequent non-blank value per group, least label on ties."""
     counted = category_counts(df, group_cols, column)

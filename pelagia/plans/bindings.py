@@ -76,13 +76,14 @@ BINDINGS: dict[str, str] = {
     """,
     # climate grid: one-degree cells, depth levels, value
     "climate_grid": """
-        SELECT CAST(o_orderkey % 180 AS DOUBLE) - 89.5 AS cell_lat,
-               CAST(CAST(floor(o_orderkey / 180) AS BIGINT) * 7 % 360 AS DOUBLE) - 179.5 AS cell_lon,
-               CAST(level * 1500 AS DOUBLE) AS depth,
-               max(CASE WHEN (o_custkey + level) % 5 = 0 THEN NULL ELSE o_totalprice / 20000 - level END) AS value
-        FROM {orders} CROSS JOIN (SELECT r_regionkey AS level FROM {region}) lv
-        GROUP BY CAST(o_orderkey % 180 AS DOUBLE) - 89.5,
-                 CAST(CAST(floor(o_orderkey / 180) AS BIGINT) * 7 % 360 AS DOUBLE) - 179.5, CAST(level * 1500 AS DOUBLE)
+        SELECT CAST(l_orderkey % 180 AS DOUBLE) - 89.5 AS cell_lat,
+               CAST(CAST(floor(l_orderkey / 180) AS BIGINT) * 7 % 360 AS DOUBLE) - 179.5 AS cell_lon,
+               CAST((l_linenumber - 1) * 1500 AS DOUBLE) AS depth,
+               max(CASE WHEN (l_partkey + l_linenumber) % 5 = 0 THEN NULL ELSE l_extendedprice / 20000 - l_linenumber END) AS value
+        FROM {lineitem}
+        GROUP BY CAST(l_orderkey % 180 AS DOUBLE) - 89.5,
+                 CAST(CAST(floor(l_orderkey / 180) AS BIGINT) * 7 % 360 AS DOUBLE) - 179.5,
+                 CAST((l_linenumber - 1) * 1500 AS DOUBLE)
     """,
     # excluded (family, query) pairs and excluded target ids
     "bad_queries": f"""

@@ -42,7 +42,7 @@ def _rows(spark, sf):
         dep AS (SELECT cluster_id, median(depth_m) AS median_depth_m, count(depth_m) AS n_genomes_with_depth FROM cg GROUP BY 1)
         SELECT cluster_id, n_target_ids, n_genomes, geo_n, round(resultant_length, 6) AS resultant_length,
                round(centroid_lat, 6) AS centroid_lat, round(centroid_lon, 6) AS centroid_lon,
-               round(max_pairwise_km, 4) AS max_pairwise_km, round(median_depth_m, 6) AS median_depth_m,
+               round(max_pairwise_km, 2) AS max_pairwise_km, round(median_depth_m, 6) AS median_depth_m,
                n_genomes_with_depth, top_genera, top_phyla, top_studies
         FROM base LEFT JOIN disp USING (cluster_id) LEFT JOIN far USING (cluster_id) LEFT JOIN dep USING (cluster_id)
         LEFT JOIN top_genera_t USING (cluster_id) LEFT JOIN top_phyla_t USING (cluster_id)
@@ -52,7 +52,7 @@ def _rows(spark, sf):
 def ag10(spark, sf):
     out = ops.cluster_ecology(_rows(spark, sf), cap=50)
     out = rounded(out, "resultant_length", "centroid_lat", "centroid_lon", "median_depth_m")
-    return rounded(out, "max_pairwise_km", digits=4)
+    return rounded(out, "max_pairwise_km", digits=2)
 
 
 @query(
@@ -68,11 +68,11 @@ def ag11(spark, sf):
 
 @query(
     "ag12_max_pairwise_distance",
-    f"WITH {CG_SQL}, {_sample_sql(40)} SELECT cluster_id, round(max_pairwise_km, 4) AS max_pairwise_km FROM far",
+    f"WITH {CG_SQL}, {_sample_sql(40)} SELECT cluster_id, round(max_pairwise_km, 2) AS max_pairwise_km FROM far",
     NEEDS,
 )
 def ag12(spark, sf):
-    return rounded(ops.max_pairwise_km(ops.cluster_points(_rows(spark, sf)), cap=40), "max_pairwise_km", digits=4)
+    return rounded(ops.max_pairwise_km(ops.cluster_points(_rows(spark, sf)), cap=40), "max_pairwise_km", digits=2)
 
 
 @query("ag13_top_categories", f"WITH {_top_sql('facts', 'habitat', 'genus', 4, 'top')} SELECT * FROM top_t", ("facts",))

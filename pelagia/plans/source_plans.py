@@ -167,12 +167,12 @@ def src11_detail(spark, sf):
 @query("src12_climate_grid", "SELECT * FROM climate_grid WHERE value IS NOT NULL", ("climate_grid",))
 def src12(spark, sf):
     path = writers.scratch_path(spark, "grid.csv")
-    levels = [0.0, 1500.0, 3000.0, 4500.0, 6000.0]
+    levels = [0.0, 1500.0, 3000.0, 4500.0, 6000.0, 7500.0, 9000.0]
     wide = rel(spark, sf, "climate_grid").groupBy("cell_lat", "cell_lon").pivot("depth", levels).agg(F.max("value"))
     cells = [F.coalesce(F.col(f"`{level}`").cast("string"), F.lit("")) for level in levels]
     # Trailing blanks are cut, as in the short rows of the format.
     body = wide.select(F.regexp_replace(F.concat_ws(",", "cell_lat", "cell_lon", *cells), ",+$", "").alias("value"))
-    header = body.limit(1).select(F.explode(F.array(F.lit("#title line"), F.lit("#COMMA SEPARATED LATITUDE, LONGITUDE, AND VALUES AT DEPTHS (M):0,1500,3000,4500,6000"))).alias("value"))
+    header = body.limit(1).select(F.explode(F.array(F.lit("#title line"), F.lit("#COMMA SEPARATED LATITUDE, LONGITUDE, AND VALUES AT DEPTHS (M):0,1500,3000,4500,6000,7500,9000"))).alias("value"))
     header.unionByName(body).write.text(path)
     return readers.read_climate_grid(spark, path)
 
