@@ -47,9 +47,18 @@ def ring_candidates(profiles: DataFrame, max_ring: int = 3) -> DataFrame:
             F.struct(F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon")).alias("cell"),
         )
     )
-    by_ring = near.groupBy("origin_lat", "origin_lon", "ring").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
+    # A usable cell is its own first ring; only the other origins look further out.
+    own = profiles.select(
+        F.col("cell_lat").alias("origin_lat"),
+        F.col("cell_lon").alias("origin_lon"),
+        F.lit(0).alias("ring"),
+        F.array(F.struct(F.col("cell_lat").alias("lat"), F.col("cell_lon").alias("lon"))).alias("cells"),
+    )
+    further = near.where("ring > 0").join(own.select("origin_lat", "origin_lon"), ["origin_lat", "origin_lon"], "left_anti")
+    by_ring = further.groupBy("origin_lat", "origin_lon", "ring").agg(F.array_sort(F.collect_set("cell")).alias("cells"))
     first = F.min_by(F.struct("ring", "cells"), "ring").alias("_r")
-    return by_ring.groupBy("origin_lat", "origin_lon").agg(first).select("origin_lat", "origin_lon", "_r.*")
+    outer = by_ring.groupBy("origin_lat", "origin_lon").agg(first).select("origin_lat", "origin_lon", "_r.*")
+    return own.unionByName(outer)
 
 
 def short_way_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column, radius: float) -> Column:
