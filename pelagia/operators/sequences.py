@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pelagia.functions.text import AMINO_ACIDS, kmers
 from pelagia.operators.graph import component_of_all, connected_components, longest_member
 from pelagia.operators.ordering import spread
+from pelagia.session import cut_lineage
 
 
 # ---- composition and projection --------------------------------------------------------
@@ -107,9 +108,10 @@ def kmer_search(
     """
     q = kmer_sets(queries.select(F.col("query").alias("id"), "sequence"), "id", k).where(F.size("kmers") > 0)
     opened = q.select("id", F.explode("kmers").alias("_k"))
-    hashed = F.array_distinct(F.transform(kmers(F.col("sequence"), k), lambda m: F.xxhash64(m)))
-    posted = spread(targets, "target").select("target", F.explode(hashed).alias("_k"))
-    wanted = posted.join(opened.select("_k").distinct(), "_k", "left_semi")
+    sets = kmer_sets(spread(targets.select(F.col("target").alias("id"), "sequence"), "id"), "id", k)
+    posted = sets.select(F.col("id").alias("target"), F.size("kmers").alias("_tn"), F.explode("kmers").alias("_k"))
+    # Only postings of query k-mers survive; they are counted, joined and verified, so they are written once.
+    wanted = cut_lineage(posted.join(opened.select("_k").distinct(), "_k", "left_semi"))
     frequency = wanted.groupBy("_k").agg(F.count(F.lit(1)).alias("_df"))
     ranked = opened.join(frequency, "_k", "left").groupBy("id").agg(
         F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_k").alias("k")))).alias("_r")
@@ -117,17 +119,15 @@ def kmer_search(
     keep = F.size("_r") - F.ceil(F.size("_r") * F.lit(min_containment)).cast("int") + 1
     prefix = ranked.select("id", F.explode(F.slice("_r", F.lit(1), keep)).alias("_e")).select("id", F.col("_e.k").alias("_k"))
     candidates = wanted.join(prefix, "_k").select(F.col("id").alias("query"), "target").distinct()
-    # Sequences are joined first, so k-mers are read again for candidates only.
-    verified = candidates.join(targets.select("target", "sequence"), "target").withColumn("_tk", hashed)
-    verified = verified.join(q.select(F.col("id").alias("query"), F.col("kmers").alias("_qk")), "query")
-    shared = F.size(F.array_intersect("_qk", "_tk"))
-    hits = verified.select(
-        "query",
-        "target",
-        shared.alias("bits"),
-        (shared / F.size("_qk")).alias("qcov"),
-        (shared / F.size("_tk")).alias("tcov"),
-    ).where(F.col("qcov") >= min_containment)
+    # A target's list holds query k-mers only, at most its own length.
+    held = wanted.groupBy("target").agg(F.collect_list("_k").alias("_tk"), F.max("_tn").alias("_tn"))
+    verified = candidates.join(held, "target").join(q.select(F.col("id").alias("query"), F.col("kmers").alias("_qk")), "query")
+    counted = verified.select(
+        "query", "target", F.size(F.array_intersect("_qk", "_tk")).alias("bits"), F.size("_qk").alias("_qn"), "_tn"
+    )
+    hits = counted.where(F.col("bits") / F.col("_qn") >= min_containment).select(
+        "query", "target", "bits", (F.col("bits") / F.col("_qn")).alias("qcov"), (F.col("bits") / F.col("_tn")).alias("tcov")
+    )
     order = Window.partitionBy("query").orderBy(F.desc("bits"), "target")
     return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_seqs)
 
