@@ -26,13 +26,14 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` over at least as many partitions as there are cores, for CPU-heavy work per row.
+    """``df`` spread over the cores when it is read from fewer files than that.
 
-    A small or badly split input (one file, one row group) would otherwise run in one
-    task; an input that already has enough partitions is left alone.
+    One file can be one row group and so one task, too few for CPU-heavy work per row.
+    Only file names are looked at; larger inputs, and frames that do not come straight
+    from files, are left alone.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= wanted else df.repartition(wanted, *keys)
+    return df.repartition(wanted, *keys) if 0 < len(df.inputFiles()) < wanted else df
 
 
 def ordered_index(

@@ -158,7 +158,6 @@ def test_benjamini_hochberg(frame):
     assert q["a"] == pytest.approx(0.05) and q["b"] == q["d"] == pytest.approx(0.05) and q["c"] == pytest.approx(0.05) and q["e"] == 1.0
 
 
-# Published results: observed clusters, genomes, once, twice → Chao2, at four identity thresholds.
 def test_chao2_branches(frame):
     rows = frame([(1000, 120, 40, 300), (50, 5, 0, 20), (10, 0, 0, 9)], "observed long, q1 long, q2 long, n_units long")
     out = richness.chao2_from_counts(rows).orderBy(F.desc("observed")).collect()
