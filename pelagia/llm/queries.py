@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import exact_dedup, mixing, topk
+from pelagia.llm import exact_dedup, mixing, sentencepiece_codec, topk
 from pelagia.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,18 @@ def op1_exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return topk.exact_top_k(rows.filter("id % 50 = 0"), rows, 5)
 
 
+def piece_model() -> str:
+    """The public merge-type vocabulary; its place is the ``public_tokenizers`` package's to say."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+@query("op2_sentencepiece")
+def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return sentencepiece_codec.encode_digests(table(spark, sf, "documents"), piece_model()).withColumnRenamed("id", "doc_id")
+
+
 @query("op4_source_mix")
 def op4_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf, "documents"))
