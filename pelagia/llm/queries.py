@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import exact_dedup, mixing, sentencepiece_codec, topk
+from pelagia.llm import exact_dedup, mixing, sentence_spans, sentencepiece_codec, spans, suffix_dedup, topk
 from pelagia.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -63,3 +63,13 @@ def op4_source_mix(spark: SparkSession, sf: str) -> DataFrame:
 def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     groups = exact_dedup.exact_groups(table(spark, sf, "documents"))
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.digest_columns(suffix_dedup.suffix_dedup(table(spark, sf, "documents")))
+
+
+@query("op10_sentence_spans")
+def op10_sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.digest_columns(sentence_spans.sentence_dedup(table(spark, sf, "documents")))
