@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import exact_dedup, mixing, sentence_spans, sentencepiece_codec, spans, suffix_dedup, topk
+from pelagia.llm import exact_dedup, jaccard_join, mixing, sentence_spans, sentencepiece_codec, spans, suffix_dedup, topk
 from pelagia.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -70,6 +71,22 @@ def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return spans.digest_columns(suffix_dedup.suffix_dedup(table(spark, sf, "documents")))
 
 
+@query("op9_jaccard_join", r"""
+    WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS words FROM documents),
+    g AS (SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+            ELSE list_distinct([array_to_string(words[i:i + 3], ' ') FOR i IN range(1, len(words) - 2)]) END) AS s FROM w),
+    n AS (SELECT doc_id, count(*) AS n_shingles FROM g GROUP BY doc_id),
+    o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS both_ FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    e AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * both_ >= 85 * (p.n_shingles + q.n_shingles - both_)),
+    r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.c)
+    SELECT d.doc_id, coalesce(n.n_shingles, 0) AS n_shingles, m.component_id
+    FROM documents d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id) m USING (doc_id)""")
+def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    found = jaccard_join.jaccard_components(table(spark, sf, "documents"), 4, Fraction(85, 100))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 @query("op10_sentence_spans")
 def op10_sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
     return spans.digest_columns(sentence_spans.sentence_dedup(table(spark, sf, "documents")))
