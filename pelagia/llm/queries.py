@@ -8,7 +8,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import exact_dedup, jaccard_join, mixing, sentence_spans, sentencepiece_codec, spans, suffix_dedup, topk
+from pelagia.llm import exact_dedup, jaccard_join, mixing, quality, sentence_spans, sentencepiece_codec, spans, suffix_dedup, topk, toxicity
 from pelagia.llm.shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,12 @@ def op2_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return sentencepiece_codec.encode_digests(table(spark, sf, "documents"), piece_model()).withColumnRenamed("id", "doc_id")
 
 
+@query("op3_quality_rules")
+def op3_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    found = quality.quality_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 @query("op4_source_mix")
 def op4_source_mix(spark: SparkSession, sf: str) -> DataFrame:
     plan = mixing.mix_plan(table(spark, sf, "documents"))
@@ -66,6 +72,12 @@ def op7_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return groups.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+@query("op5_toxicity")
+def op5_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    found = toxicity.toxicity_scores(table(spark, sf, "documents"), table(spark, sf, "labels"))
+    return found.select(F.col("id").alias("doc_id"), "held_out", "score", "predicted")
+
+
 @query("op6_suffix_dedup")
 def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return spans.digest_columns(suffix_dedup.suffix_dedup(table(spark, sf, "documents")))
