@@ -219,6 +219,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR)
     both = Window.partitionBy("key")
     first = F.min(F.struct("id", "place")).over(Window.partitionBy("key", "context"))
     rows = anchor_rows(docs, length, anchor).withColumn("key", F.when(F.col("later"), F.xxhash64("id", "place")).otherwise(F.col("key")))
+    rows = rows.repartition("key")  # serves both windows
     rows = rows.withColumn("again", F.col("later") | (F.struct("id", "place") > first)).withColumn(
         "mixed", ~F.col("later") & (F.min(F.when(~F.col("later"), F.col("context"))).over(both) != F.max(F.when(~F.col("later"), F.col("context"))).over(both))
     )
