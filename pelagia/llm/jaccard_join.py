@@ -191,8 +191,11 @@ class Box:
         table = table.take(pa.array(order)).combine_chunks()
         self.ids, self.sizes = table["id"].to_numpy(), table["size"].to_numpy()
         self.counts = np.array([np.frombuffer(x.as_buffer(), np.int32) for x in table["counts"].combine_chunks()]).reshape(-1, GROUPS)
-        self.elements = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["elements"].combine_chunks()]
+        if "elements" in table.column_names:
+            self.elements = [np.frombuffer(x.as_buffer(), np.uint64) for x in table["elements"].combine_chunks()]
         cuts = np.arange(0, len(order), NODE)
+        if not len(order):
+            return
         self.nodes = list(zip(cuts, np.r_[cuts[1:], len(order)]))
         self.upper = np.maximum.reduceat(self.counts, cuts, axis=0)
         self.least = self.sizes[cuts]
@@ -289,23 +292,41 @@ def cross_links(vectors: DataFrame, leaves: DataFrame, within: DataFrame, thresh
         & (corner * (num + den) >= (F.col("least_a") + F.col("least_b")) * num)
     ).select("part", "leaf_a", "leaf_b")
     labels = connected_components(within).withColumnRenamed("node", "id")
-    known = vectors.join(leaves.select("part").groupBy("part").count().filter("count > 1").select("part"), "part", "left_semi")
-    known = known.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    sides = pairs.select("part", "leaf_a", "leaf_b", F.explode(F.array(F.struct(F.col("leaf_a").alias("leaf"), F.lit(0).cast("long").alias("side")), F.struct(F.col("leaf_b").alias("leaf"), F.lit(1).cast("long").alias("side")))).alias("s")).select("part", "leaf_a", "leaf_b", "s.*")
-    rows = known.join(sides, ["part", "leaf"])
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in by_group(batches, ["part", "leaf_a", "leaf_b"]):
-            side = group["side"].to_numpy()
-            one, two = (Box(group.filter(pa.array(side == s))) for s in (0, 1))
-            label = dict(zip(group["id"].to_pylist(), group["label"].to_pylist()))
-            forest, seen = Forest(len(side)), {}
-            for place, doc in enumerate([*one.ids.tolist(), *two.ids.tolist()]):
-                forest.join(place, seen.setdefault(label[doc], place))
-            found = linked(one, two, threshold, forest, len(one.ids))
+    sides = pairs.select("part", "leaf_a", "leaf_b", F.explode(F.array(
+        F.struct(F.col("leaf_a").alias("leaf"), F.lit(0).cast("long").alias("side")), F.struct(F.col("leaf_b").alias("leaf"), F.lit(1).cast("long").alias("side"))
+    )).alias("s")).select("part", "leaf_a", "leaf_b", "s.*")
+    rows = vectors.join(sides, ["part", "leaf"]).join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+    pair = ["part", "leaf_a", "leaf_b"]
+
+    def sides_of(group: pa.Table) -> tuple[Box, Box, Forest]:
+        side = group["side"].to_numpy()
+        one, two = (Box(group.filter(pa.array(side == s))) for s in (0, 1))
+        label = dict(zip(group["id"].to_pylist(), group["label"].to_pylist()))
+        forest, seen = Forest(len(side)), {}
+        for place, doc in enumerate([*one.ids.tolist(), *two.ids.tolist()]):
+            forest.join(place, seen.setdefault(label[doc], place))
+        return one, two, forest
+
+    def open_ones(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_group(batches, pair):
+            one, two, forest = sides_of(group)
+            root = np.array([forest.find(i) for i in range(len(group))])
+            x, y = candidate_pairs(one, two, threshold)
+            apart = root[x] != root[y + len(one.ids)]
+            ids = np.unique(np.concatenate([one.ids[x[apart]], two.ids[y[apart]]]))
+            key = [pa.array(np.full(len(ids), group[k][0].as_py())) for k in pair]
+            yield pa.RecordBatch.from_arrays([*key, pa.array(ids)], names=[*pair, "id"])
+
+    def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_group(batches, pair):
+            one, two, forest = sides_of(group)
+            found = linked(one, two, threshold, forest, len(one.ids)) if len(one.ids) and len(two.ids) else []
             yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in found], pa.int64()) for i in (0, 1)], names=["src", "dst"])
 
-    return rows.repartition("part", "leaf_a", "leaf_b").sortWithinPartitions("part", "leaf_a", "leaf_b").mapInArrow(each, "src long, dst long")
+    # First the count vectors alone, to see which documents have an open partner; then only those with their sets.
+    dealt = lambda df: df.repartition(*pair).sortWithinPartitions(*pair)
+    wanted = materialize(dealt(rows.drop("elements")).mapInArrow(open_ones, "part long, leaf_a long, leaf_b long, id long"), "open")
+    return dealt(rows.join(wanted, [*pair, "id"])).mapInArrow(verified, "src long, dst long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
