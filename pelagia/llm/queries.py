@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import exact_dedup, jaccard_join, mixing, quality, sentence_spans, sentencepiece_codec, spans, suffix_dedup, topk, toxicity
-from pelagia.llm.shared import table
+from pelagia.llm import exact_dedup, jaccard_join, mixing, quality, sentence_spans, sentencepiece_codec, spans, suffix_dedup, token_rollup, topk, toxicity
+from pelagia.llm.shared import materialize, table
+from pelagia.session import ensure_checkpoint_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -83,6 +85,28 @@ def op6_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return spans.digest_columns(suffix_dedup.suffix_dedup(table(spark, sf, "documents")))
 
 
+@query("op8_token_counts", r"""
+    WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents),
+    c AS (SELECT doc_id, source, lang, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words,
+        length(regexp_replace(text, '[^!-/:-@\[-`{-~]+', '', 'g')) AS marks FROM t),
+    v AS (SELECT doc_id, source, lang, 'words/1' AS tokenizer, words AS tokens FROM c
+        UNION ALL SELECT doc_id, source, lang, 'words_marks/1', words + marks FROM c)
+    SELECT source, lang, tokenizer, count(*) AS docs, CAST(sum(CASE WHEN doc_id % 5 = 1 THEN 2 * tokens ELSE tokens END) AS BIGINT) AS tokens
+    FROM v WHERE doc_id % 7 <> 3 GROUP BY ALL""")
+def op8_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents go in; every seventh is deleted, every fifth revised to twice its count; each batch is sent twice."""
+    rows = materialize(token_rollup.counted(table(spark, sf, "documents")), "counts")
+    rollup = token_rollup.Rollup(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/rollup-{uuid.uuid4().hex}")
+    revised = rows.filter("id % 5 = 1").withColumn("before", F.col("tokens")).withColumn("tokens", F.col("tokens") * 2)
+    gone = rows.filter("id % 7 = 3").withColumn("tokens", F.when(F.col("id") % 5 == 1, F.col("tokens") * 2).otherwise(F.col("tokens")))
+    for batch, changes in enumerate([
+        token_rollup.change(rows, "insert"), token_rollup.change(revised, "revise", F.col("before")), token_rollup.change(gone, "delete"),
+    ]):
+        rollup.commit(batch, changes)
+        rollup.commit(batch, changes)
+    return rollup.totals()
+
+
 @query("op9_jaccard_join", r"""
     WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
             '[^\x20\x09-\x0D]+') AS words FROM documents),
