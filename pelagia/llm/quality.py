@@ -31,7 +31,11 @@ def statistics(text: Column) -> dict[str, Column]:
     size, count = F.char_length(t).cast("double"), word_count(text).cast("double")
     words, lines = F.split(t, " "), F.split(t, "\n")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    again = F.filter(words, lambda w, i: w == F.get(words, i + 1))
+    # The words are bound once; inside the inner lambda a split would be redone for every word.
+    pairs = F.transform(F.array(words), lambda ws: F.struct(
+        F.size(ws).cast("double").alias("all"), F.size(F.array_distinct(ws)).cast("double").alias("distinct"),
+        F.size(F.filter(ws, lambda w, i: w == F.get(ws, i + 1))).cast("double").alias("again"),
+    ))[0]
     return {
         "characters": F.log1p(size), "words": F.log1p(count), "word_length": share(size, count),
         "capitals": share(F.octet_length(t) - F.octet_length(F.regexp_replace(t, "[A-Z]", "")).cast("double"), size),
@@ -39,8 +43,7 @@ def statistics(text: Column) -> dict[str, Column]:
         "exclamations": share(occurrences(t, "!").cast("double"), count), "bars": share(occurrences(t, "|").cast("double"), count),
         "marks": share(occurrences(t, "*#$%&").cast("double"), count), "stops": share(occurrences(t, ".").cast("double"), count),
         "breaks": share(occurrences(t, "\n").cast("double"), count), "brackets": share(occurrences(t, "<>{}[]").cast("double"), count),
-        "distinct_words": share(F.size(F.array_distinct(words)).cast("double"), F.size(words).cast("double")),
-        "repeated_words": share(F.size(again).cast("double"), F.size(words).cast("double")),
+        "distinct_words": pairs["distinct"] / pairs["all"], "repeated_words": pairs["again"] / pairs["all"],
         "distinct_lines": share(F.size(F.array_distinct(lines)).cast("double"), F.size(lines).cast("double")),
     }
 
