@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 
 from pelagia.llm.byte_kernels import LAST_ID, LOWER, Words, ids_of, mix, shingles, slices
 from pelagia.llm.shared import materialize, running_total
-from pelagia.llm.spans import later_ones, numbered
+from pelagia.llm.spans import numbered
 from pelagia.operators.graph import connected_components
 
 GROUPS = 256  # coordinates of a count vector
+CELLS = 64  # coordinates of the short vectors that buckets are compared on
+BUCKET = 20_000  # members of a bucket that are compared with each other; a larger bucket hangs together unseen
 LEAF = 512  # documents of a leaf
 NODE = 16  # documents of an inner box
 BAND = Fraction(3, 2)
@@ -84,55 +86,127 @@ def sets_of(data: np.ndarray, offsets: np.ndarray, n: int) -> tuple[np.ndarray,
     return shingles(Words(LOWER[data], offsets), n)
 
 
+def set_sums(text: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over the elements of each set, equal for equal sets."""
+    out = []
+    for salt in (1, 2):
+        total = np.zeros(n, np.uint64)
+        np.add.at(total, text, mix(value ^ np.uint64(salt)))
+        out.append(total.view(np.int64))
+    return out[0], out[1]
+
+
+def cell_counts(text: np.ndarray, value: np.ndarray, n: int, cells: int, kind: type) -> list[bytes]:
+    """For each set, how many elements fall into each cell."""
+    cell = text * cells + (mix(value ^ np.uint64(77)) % np.uint64(cells)).astype(np.int64)
+    counts = np.bincount(cell, minlength=n * cells).astype(kind).reshape(n, cells)
+    return [row.tobytes() for row in counts]
+
+
 def set_classes(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n_shingles, rep): documents with equal sets share the least id as ``rep``."""
+    """(id, n_shingles, rep, cells): documents with equal sets share the least id as ``rep``; ``cells`` counts elements."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in slices(batches):
             text, value = sets_of(data, offsets, n)
             size = np.bincount(text, minlength=len(rows))
-            sums = []
-            for salt in (1, 2):
-                total = np.zeros(len(rows), np.uint64)
-                np.add.at(total, text, mix(value ^ np.uint64(salt)))
-                sums.append(pa.array(total.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array(ids_of(rows)), pa.array(size), *sums], names=["id", "n_shingles", "a", "b"])
-
-    rows = materialize(docs.mapInArrow(each, "id long, n_shingles long, a long, b long"), "sets")
-    reps = rows.filter("n_shingles > 0").groupBy("n_shingles", "a", "b").agg(F.min("id").alias("rep"))
-    return rows.join(reps, ["n_shingles", "a", "b"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"))
+            sums = [pa.array(x) for x in set_sums(text, value, len(rows))]
+            cells = pa.array(cell_counts(text, value, len(rows), CELLS, np.uint32), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(ids_of(rows)), pa.array(size), *sums, cells], names=["id", "n_shingles", "a", "b", "cells"])
 
+    rows = materialize(docs.mapInArrow(each, "id long, n_shingles long, a long, b long, cells binary"), "sets")
+    reps = rows.filter("n_shingles > 0").groupBy("n_shingles", "a", "b").agg(F.min("id").alias("rep"))
+    return rows.join(reps, ["n_shingles", "a", "b"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"), "cells")
 
-def shared_signatures(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """(src, dst): every document tied to the least one that has a signature in common with it.
 
-    A batch ties its own documents first and sends only the least one of each signature on, so that a signature which
-    many documents have stays one row a batch.
-    """
+def signature_rows(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """(key, id): the signatures of every document; of equal sets in a batch, only one document signs."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found_ids, found = [], []
+            seen: set[tuple[int, int]] = set()
             for rows, data, offsets in slices(iter([batch])):
-                text, sign = signatures(*sets_of(data, offsets, n), len(rows), threshold)
-                found_ids.append(ids_of(rows)[text])
-                found.append(sign)
-            if not found:
-                continue
-            ids, sign = np.concatenate(found_ids), np.concatenate(found)
-            order, later = later_ones((sign,), ids, np.zeros(len(ids), np.int8))
-            ids, sign = ids[order], sign[order]
-            fresh = np.r_[True, sign[1:] != sign[:-1]] if len(sign) else np.empty(0, bool)
-            head = np.maximum.accumulate(np.where(fresh, np.arange(len(sign)), 0))
-            ties = np.unique(np.stack([ids[later], ids[head][later]], axis=1), axis=0)
-            keys = np.r_[sign[fresh], mix(ties[:, 0].astype(np.uint64))].view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys), pa.array(np.r_[ids[fresh], ties[:, 0]]), pa.array(np.r_[ids[fresh], ties[:, 1]])], names=["key", "id", "head"]
-            )
+                text, value = sets_of(data, offsets, n)
+                sums = list(zip(*(x.tolist() for x in set_sums(text, value, len(rows)))))
+                ids, new = ids_of(rows), np.zeros(len(rows), dtype=bool)
+                for i, pair in enumerate(sums):
+                    if pair not in seen:
+                        seen.add(pair)
+                        new[i] = True
+                pick = new[text]
+                signed, sign = signatures(text[pick], value[pick], len(rows), threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), pa.array(ids[signed])], names=["key", "id"])
+
+    return docs.mapInArrow(each, "key long, id long")
+
+
+def bucket_ties(block: pa.Table, threshold: Fraction, hot: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """(src, dst) of ties that hang together what may be linked within each bucket of a block ordered by key.
+
+    Members are held against the first of their bucket; those that its cell counts rule out are held against all.
+    """
+    num, den = threshold.numerator, threshold.denominator
+    key, ids, size = (block[c].to_numpy() for c in ("key", "id", "n_shingles"))
+    cells = np.frombuffer(b"".join(block["cells"].to_pylist()), np.uint32).reshape(-1, CELLS).astype(np.int64)
+    fits = lambda i, j: np.minimum(cells[i], cells[j]).sum(axis=1) * (num + den) >= num * (size[i] + size[j])
+    begin = np.r_[True, key[1:] != key[:-1]]
+    number = np.cumsum(begin) - 1
+    starts = np.flatnonzero(begin)
+    head = starts[number]
+    ok = fits(np.arange(len(key)), head) | (key == hot if hot is not None else False)
+    src, dst = [np.flatnonzero(ok & ~begin)], [head[ok & ~begin]]
+    ends = np.r_[starts[1:], len(key)]
+    lost = np.bincount(number, ~ok, len(starts))
+    for g in np.flatnonzero((lost > 0) & (ends - starts > 2)):
+        rows = np.arange(starts[g], ends[g])
+        label = np.where(ok[rows], 0, np.arange(len(rows)))
+        for i in np.flatnonzero(~ok[rows]):
+            near = np.flatnonzero(fits(rows, np.full(len(rows), rows[i])) & (label != label[i]))
+            for other in np.unique(label[near]):
+                pick = near[label[near] == other][0]
+                src.append(rows[[i]])
+                dst.append(rows[[pick]])
+                label[label == other] = label[i]
+    return ids[np.concatenate(src)], ids[np.concatenate(dst)]
+
+
+def shared_signatures(docs: DataFrame, classes: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """(src, dst) between representatives: ties that hang together all pairs with an equal group that may be linked.
+
+    Only buckets of two or more go on, with the short count vectors of their members; a tie is made where the summed
+    minima allow a link, or where a bucket passes BUCKET members and hangs together as it is.
+    """
+    several = F.count(F.lit(1)).over(Window.partitionBy("key"))
+    rows = signature_rows(docs, n, threshold).withColumn("n", several).filter("n > 1").select("key", "id")
+    rep = classes.groupBy("id").agg(F.min("rep").alias("rep"))
+    buckets = materialize(rows.join(rep, "id").select("key", F.col("rep").alias("id")).distinct(), "buckets")
+    cells = classes.filter("id = rep").dropDuplicates(["id"]).select("id", "n_shingles", "cells")
 
-    rows = docs.mapInArrow(each, "key long, id long, head long").withColumn("own", F.col("id") == F.col("head"))
-    least = F.min("id").over(Window.partitionBy("key", "own"))
-    return rows.select(F.col("id").alias("src"), F.when(F.col("own"), least).otherwise(F.col("head")).alias("dst")).filter("src <> dst").distinct()
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hot = None, None
+        for batch in batches:
+            new = pa.Table.from_batches([batch])
+            whole = new if held is None else pa.concat_tables([held, new])
+            keys = whole["key"].to_numpy()
+            last = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if last:
+                yield tied(whole.slice(0, last), hot)
+                hot = None
+            held = whole.slice(last)
+            if len(held) > BUCKET:
+                hot = int(keys[-1])
+                yield tied(held, hot)
+                held = held.slice(0, 1)
+        if held is not None and len(held):
+            yield tied(held, hot)
+
+    def tied(block: pa.Table, hot: int | None) -> pa.RecordBatch:
+        src, dst = bucket_ties(block, threshold, hot)
+        pairs = np.unique(np.stack([src, dst], axis=1), axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["src", "dst"])
+
+    dealt = buckets.join(cells, "id").repartition("key").sortWithinPartitions("key", "id")
+    return dealt.select("key", "id", "n_shingles", "cells").mapInArrow(each, "src long, dst long").distinct()
 
 
 def count_vectors(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -143,13 +217,11 @@ def count_vectors(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
         for rows, data, offsets in slices(batches):
             text, value = sets_of(data, offsets, n)
             size = np.bincount(text, minlength=len(rows))
-            cell = text * GROUPS + (mix(value ^ np.uint64(77)) % np.uint64(GROUPS)).astype(np.int64)
-            counts = np.bincount(cell, minlength=len(rows) * GROUPS).astype(np.int32)
             ends = np.concatenate([[0], np.cumsum(size)])
             yield pa.RecordBatch.from_arrays(
                 [rows.column(0), rows.column(1), rows.column(2), pa.array(size),
                  pa.array([value[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary()),
-                 pa.array([counts[i * GROUPS : (i + 1) * GROUPS].tobytes() for i in range(len(rows))], pa.binary())],
+                 pa.array(cell_counts(text, value, len(rows), GROUPS, np.int32), pa.binary())],
                 names=["part", "leaf", "id", "size", "elements", "counts"],
             )
 
@@ -336,8 +408,8 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
     link when the intersection is at least ``threshold`` of the union; ``component`` is the least id reachable.
 
     1. Equal sets share a representative, and only representatives go on.
-    2. Shingles are hashed into groups; documents with an equal group are tied to the least such document. Every linked
-       pair has an equal group, so the parts that the ties hang together in contain all links.
+    2. Shingles are hashed into groups, and every linked pair has an equal group. Documents of a bucket (an equal group)
+       are tied where their short count vectors allow a link, so the parts that the ties hang together hold all links.
     3. A part is cut into leaves of ``LEAF`` documents by size. Their count vectors are boxed; a pair of boxes or of
        documents goes on only if the summed coordinate minima allow the overlap. Pairs that are joined already are
        skipped, the others verified on their whole sets; a large part is thus never in one task.
@@ -347,10 +419,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
     """
     rows = numbered(docs, id_col, text_col)
     classes = materialize(set_classes(rows, n), "classes")
-    rep = classes.select("id", "rep").distinct()
-    ties = shared_signatures(rows, n, threshold)
-    ties = ties.join(rep.select(F.col("id").alias("src"), F.col("rep").alias("a")), "src").join(rep.select(F.col("id").alias("dst"), F.col("rep").alias("b")), "dst")
-    ties = materialize(ties.filter("a <> b").select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "ties")
+    ties = materialize(shared_signatures(rows, classes, n, threshold), "ties")
     parts = connected_components(ties).select(F.col("component").alias("part"), F.col("node").alias("id"))
     sizes = classes.select("id", "n_shingles").dropDuplicates(["id"])
     placed = running_total(parts.join(sizes, "id").withColumn("one", F.lit(1)), "part", "n_shingles", "one", "nth", width=32)
@@ -360,7 +429,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
     within = found.filter("src is not null").select("src", "dst")
     across = cross_links(vectors, found.filter("src is null"), within, threshold)
     components = connected_components(within.unionByName(across))
-    return classes.join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
+    return classes.drop("cells").join(components.withColumnRenamed("node", "rep"), "rep", "left").select(
         F.when(F.col("id") != LAST_ID, F.col("id")).alias("id"), "n_shingles", "rep", F.coalesce("component", "rep").alias("component"),
     )
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagia.llm.shared import materialize, running_total, word_count
+from pelagia.llm.shared import let, materialize, running_total, word_count
 
 LIMIT = 3  # a document is taken at most so many times
 
@@ -37,11 +37,6 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), limit
     )
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value worked out once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def hypergeometric(population: Column, marked: Column, draws: Column, u: Column) -> Column:
     """Inverse-transform draw: how many of ``draws`` out of ``population`` are ``marked``, for a uniform ``u``.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.llm.labelled import fold, sample_labels, sigmoid
-from pelagia.llm.shared import materialize, word_count
+from pelagia.llm.shared import let, materialize, word_count
 
 SAMPLE = 8000  # labelled rows of either label that trees and weights are fitted on
 TREES, DEPTH, BINS = 40, 3, 48
@@ -32,10 +32,10 @@ def statistics(text: Column) -> dict[str, Column]:
     words, lines = F.split(t, " "), F.split(t, "\n")
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
     # The words are bound once; inside the inner lambda a split would be redone for every word.
-    pairs = F.transform(F.array(words), lambda ws: F.struct(
+    pairs = let(words, lambda ws: F.struct(
         F.size(ws).cast("double").alias("all"), F.size(F.array_distinct(ws)).cast("double").alias("distinct"),
         F.size(F.filter(ws, lambda w, i: w == F.get(ws, i + 1))).cast("double").alias("again"),
-    ))[0]
+    ))
     return {
         "characters": F.log1p(size), "words": F.log1p(count), "word_length": share(size, count),
         "capitals": share(F.octet_length(t) - F.octet_length(F.regexp_replace(t, "[A-Z]", "")).cast("double"), size),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pelagia.session import ensure_checkpoint_dir
@@ -53,13 +53,16 @@ def word_count(text: Column) -> Column:
     ).cast("long")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def running_total(df: DataFrame, key: str, position: str, amount: str, out: str, width: int = 4096) -> DataFrame:
     """Adds ``out``: the sum of ``amount`` over smaller or equal ``position`` (a long) within ``key``.
 
     Two levels: sums of runs of ``width`` positions, then rows within a run, so that a hot key is split.
     """
-    from pyspark.sql import Window
-
     run = F.floor(F.col(position) / width)
     within = Window.partitionBy(key, "run_").orderBy(position)
     rows = df.withColumn("run_", run)
