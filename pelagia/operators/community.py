@@ -14,12 +14,12 @@ from pelagia.session import cut_lineage
 
 
 def site_cluster_counts(
-    rows: DataFrame, min_richness: int = 3, max_sites: int | None = 2000, meta: tuple[str, ...] = ("study", "habitat")
+    rows: DataFrame, min_richness: int = 3, max_sites: int | None = None, meta: tuple[str, ...] = ("study", "habitat")
 ) -> tuple[DataFrame, DataFrame]:
     """(site, cluster, n) of the qualifying sites, and one metadata row per site.
 
     Rows are counted, not targets.  Sites need a position and ``min_richness`` distinct
-    clusters; of more than ``max_sites`` the richest are kept, ties by site name.
+    clusters; ``max_sites``, if given, keeps the richest, ties by site name.
     """
     placed = rows.where("sample_id <> '' AND lat IS NOT NULL AND lon IS NOT NULL")
     counts = placed.groupBy(F.col("sample_id").alias("site"), "cluster_id").agg(F.count(F.lit(1)).alias("n"))
@@ -37,8 +37,7 @@ def site_cluster_counts(
 def community_distances(counts: DataFrame) -> DataFrame:
     """Bray–Curtis and Jaccard dissimilarity of every pair of sites (a < b) that share a cluster.
 
-    The site list is already capped, so a cluster found everywhere meets at most
-    max_sites² pairs, and the minima are summed map-side.
+    Only pairs that share a cluster are made, and the minima are summed map-side.
     """
     totals = counts.groupBy("site").agg(F.sum("n").alias("_s"), F.count(F.lit(1)).alias("_k"))
     other = counts.select(F.col("site").alias("site_b"), "cluster_id", F.col("n").alias("_nb"))

@@ -20,8 +20,8 @@ def wanted_only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return rows.join(ids.select(key).distinct(), key, "left_semi")
 
 
-def capped_target_genomes(membership: DataFrame, wanted: DataFrame, cap: int = 5) -> DataFrame:
-    """Per wanted target: member count, true genome count and the first ``cap`` genomes in order.
+def capped_target_genomes(membership: DataFrame, wanted: DataFrame, cap: int | None = None) -> DataFrame:
+    """Per wanted target: member count, true genome count and its genomes in order, the first ``cap`` if given.
 
     The semi join runs on the first field before any member list is split.
     """
@@ -32,7 +32,7 @@ def capped_target_genomes(membership: DataFrame, wanted: DataFrame, cap: int = 5
         "target_id",
         F.col("size").cast("int").alias("n_members"),
         F.size(genomes).alias("n_genomes_total"),
-        F.slice(genomes, 1, cap).alias("genomes"),
+        (genomes if cap is None else F.slice(genomes, 1, cap)).alias("genomes"),
     )
 
 

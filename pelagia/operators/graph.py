@@ -26,24 +26,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return hop.unionByName(joined.select("u", F.col("m").alias("v")))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _is_forest_of_stars(edges: DataFrame) -> bool:
+    roots = edges.select(F.col("v").alias("u")).distinct()
+    chained = edges.join(roots, "u", "left_semi").select(F.lit(1))
+    forked = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(1))
+    rising = edges.where("v > u").select(F.lit(1))
+    return chained.unionByName(forked).unionByName(rising).isEmpty()
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) where the component is the least node id; ``edges`` has ``src`` and ``dst``.
 
     Each round is a min aggregate joined back to the edges, never a neighbour list, and
-    ends in a checkpoint.  The edge set is stable once every edge points at its root.
+    ends in a checkpoint.  The rounds end when every edge points at a root: no node that
+    is pointed at points anywhere itself, and none points at two.
     """
     current = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct()
     current = cut_lineage(current)
-    signature = None
-    for _ in range(max_rounds):
-        starred = _small_star(_large_star(current)).where("u <> v").distinct()
-        current = cut_lineage(starred)
-        found = current.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long"))).first()
-        if signature == found:
-            break
-        signature = found
-    else:
-        raise RuntimeError(f"components not stable after {max_rounds} rounds")
+    while not _is_forest_of_stars(current):
+        current = cut_lineage(_small_star(_large_star(current)).where("u <> v").distinct())
     roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
 

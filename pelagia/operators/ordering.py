@@ -25,17 +25,6 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """``df`` spread over the cores when it is read from fewer files than that.
-
-    One file can be one row group and so one task, too few for CPU-heavy work per row.
-    Only file names are looked at; larger inputs, and frames that do not come straight
-    from files, are left alone.
-    """
-    wanted = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(wanted, *keys) if 0 < len(df.inputFiles()) < wanted else df
-
-
 def ordered_index(
     df: DataFrame,
     group_cols: Sequence[str],

@@ -6,12 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.functions.text import AMINO_ACIDS, kmers
 from pelagia.operators.graph import component_of_all, connected_components, longest_member
-from pelagia.operators.ordering import spread
 from pelagia.session import cut_lineage
 
 
@@ -20,7 +19,7 @@ from pelagia.session import cut_lineage
 
 def kmer_composition(sequences: DataFrame, key: str, k: int, alphabet: str = AMINO_ACIDS) -> DataFrame:
     """Share of each k-mer among the k-mers of a sequence; k-mers with other letters are skipped."""
-    opened = spread(sequences, key).select(key, F.explode(kmers(F.col("sequence"), k)).alias("kmer"))
+    opened = sequences.select(key, F.explode(kmers(F.col("sequence"), k)).alias("kmer"))
     known = opened.where(F.col("kmer").rlike(f"^[{alphabet}]{{{k}}}$"))
     counts = known.groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
     totals = counts.groupBy(key).agg(F.sum("n").alias("_t"))
@@ -67,18 +66,18 @@ def kmer_sets(sequences: DataFrame, key: str, k: int) -> DataFrame:
 
 
 def cluster_by_kmers(
-    sequences: DataFrame, key: str, k: int = 8, per_sequence: int = 20, min_shared: float = 0.8, min_length_ratio: float = 0.9
+    sequences: DataFrame, key: str, k: int = 8, min_shared: float = 0.8, min_length_ratio: float = 0.9
 ) -> DataFrame:
     """Clusters of similar sequences: (member, rep) with the longest member as representative.
 
-    Each distinct sequence offers its least hashed k-mers; within a k-mer group every
+    Each distinct sequence offers all its k-mers; within a k-mer group every
     sequence is compared with the longest one only, so the work is linear in the number
     of k-mers whatever the group sizes.  Kept links become connected components.
     Similarity is the share of the shorter sequence's k-mers, not alignment identity.
     """
     distinct = sequences.groupBy("sequence").agg(F.min(key).alias(key))
     sets = kmer_sets(distinct, key, k).where(F.size("kmers") > 0)
-    offers = sets.select(key, "length", "kmers", F.explode(F.slice("kmers", 1, per_sequence)).alias("_k"))
+    offers = sets.select(key, "length", "kmers", F.explode("kmers").alias("_k"))
     centres = offers.groupBy("_k").agg(F.min_by(key, F.struct(-F.col("length"), F.col(key))).alias("_centre"))
     links = offers.select(key, "_k").join(centres, "_k").where(F.col(key) != F.col("_centre")).select(key, "_centre").distinct()
     left = sets.select(key, F.col("length").alias("_la"), F.col("kmers").alias("_ka"))
@@ -98,9 +97,9 @@ def cluster_by_kmers(
 
 
 def kmer_search(
-    queries: DataFrame, targets: DataFrame, k: int = 8, min_containment: float = 0.2, max_seqs: int = 10000
+    queries: DataFrame, targets: DataFrame, k: int = 8, min_containment: float = 0.2
 ) -> DataFrame:
-    """Targets that hold at least a share of a query's k-mers, best first, at most ``max_seqs`` per query.
+    """Targets that hold at least a share of a query's k-mers.
 
     Exact prefix filter: a target with the wanted share must hold at least one of the
     query's n − ⌈share·n⌉ + 1 rarest k-mers, so common k-mers never generate candidates,
@@ -108,7 +107,7 @@ def kmer_search(
     """
     q = kmer_sets(queries.select(F.col("query").alias("id"), "sequence"), "id", k).where(F.size("kmers") > 0)
     opened = q.select("id", F.explode("kmers").alias("_k"))
-    sets = kmer_sets(spread(targets.select(F.col("target").alias("id"), "sequence"), "id"), "id", k)
+    sets = kmer_sets(targets.select(F.col("target").alias("id"), "sequence"), "id", k)
     posted = sets.select(F.col("id").alias("target"), F.size("kmers").alias("_tn"), F.explode("kmers").alias("_k"))
     # Only postings of query k-mers survive; they are counted, joined and verified, so they are written once.
     wanted = cut_lineage(posted.join(opened.select("_k").distinct(), "_k", "left_semi"))
@@ -125,11 +124,9 @@ def kmer_search(
     counted = verified.select(
         "query", "target", F.size(F.array_intersect("_qk", "_tk")).alias("bits"), F.size("_qk").alias("_qn"), "_tn"
     )
-    hits = counted.where(F.col("bits") / F.col("_qn") >= min_containment).select(
+    return counted.where(F.col("bits") / F.col("_qn") >= min_containment).select(
         "query", "target", "bits", (F.col("bits") / F.col("_qn")).alias("qcov"), (F.col("bits") / F.col("_tn")).alias("tcov")
     )
-    order = Window.partitionBy("query").orderBy(F.desc("bits"), "target")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max_seqs)
 
 
 def pair_identity(pairs: DataFrame, sequences: DataFrame) -> DataFrame:

@@ -56,9 +56,9 @@ ENRICH_SQL = f"""{CAP_SQL}, t AS (SELECT 'T' || CAST(c_custkey AS VARCHAR) AS ta
     sm AS (SELECT DISTINCT n_name || '/' || c_mktsegment AS sample_id, c_mktsegment AS ecosystem
            FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_nationkey % 6 <> 2),
     e AS (SELECT t.target_id, bits, CAST(size AS INT) AS n_members, CAST(total AS INT) AS n_genomes_total,
-            CAST(CASE WHEN total IS NULL THEN 0 ELSE least(total, 2) END AS INT) AS n_genomes_shown, dg.genome, CAST(rn AS INT) AS genome_index,
+            CAST(coalesce(total, 0) AS INT) AS n_genomes_shown, dg.genome, CAST(rn AS INT) AS genome_index,
             phylum, genus, gm.sample_id, ecosystem, gm.genome IS NOT NULL AS genome_metadata_found, sm.sample_id IS NOT NULL AS sample_metadata_found
-          FROM t LEFT JOIN (SELECT * FROM dg WHERE rn <= 2) dg ON dg.target_id = t.target_id
+          FROM t LEFT JOIN dg ON dg.target_id = t.target_id
           LEFT JOIN gm ON gm.genome = dg.genome LEFT JOIN sm ON sm.sample_id = gm.sample_id)"""
 
 
@@ -69,7 +69,7 @@ def _enriched(spark, sf):
         F.concat(F.lit("T"), -1 - F.col("s_suppkey")).alias("target_id"), F.col("s_acctbal").alias("bits")
     )
     targets = targets.unionByName(extra)
-    capped = ops.capped_target_genomes(rel(spark, sf, "membership"), targets, cap=2)
+    capped = ops.capped_target_genomes(rel(spark, sf, "membership"), targets)
     genomes = rel(spark, sf, "facts").where(F.col("genome").cast("long") % 10 != 0)
     genomes = genomes.select(F.concat(F.lit("G"), "genome").alias("genome"), "phylum", "genus", "sample_id")
     samples = customers.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
@@ -103,7 +103,7 @@ def jn6_counts(spark, sf):
 )
 def wn5(spark, sf):
     rows = rel(spark, sf, "membership")
-    capped = ops.capped_target_genomes(rows, rows.select("target_id"), cap=1000)
+    capped = ops.capped_target_genomes(rows, rows.select("target_id"))
     opened = capped.select("target_id", F.posexplode("genomes").alias("_p", "genome"))
     return opened.select("target_id", "genome", (F.col("_p") + 1).alias("genome_index"))
 
@@ -300,14 +300,14 @@ def jn23(spark, sf):
     """WITH sizes AS (SELECT rep AS cluster_id, count(*) AS n FROM clusters GROUP BY 1)
        SELECT CAST(p_partkey AS VARCHAR) AS target_id, i.pident, p_retailprice AS structure_score, p_partkey % 5 = 0 AND p_size > 20 AS triad_complete,
               c.rep AS cluster_id, coalesce(s.n, 1) AS n_genomes_in_cluster
-       FROM part JOIN (SELECT target, max(pident) AS pident FROM hits WHERE evalue < 0.03 GROUP BY target) i ON i.target = CAST(p_partkey AS VARCHAR)
+       FROM part JOIN (SELECT target, max(pident) AS pident FROM hits GROUP BY target) i ON i.target = CAST(p_partkey AS VARCHAR)
        LEFT JOIN (SELECT * FROM clusters WHERE CAST(member AS BIGINT) % 7 <> 0) c ON c.member = CAST(p_partkey AS VARCHAR)
        LEFT JOIN sizes s ON s.cluster_id = c.rep WHERE p_partkey % 2 = 0""",
     ("hits", "clusters"),
 )
 def jn24(spark, sf):
     part = table(spark, sf, "part").withColumn("target_id", F.col("p_partkey").cast("string"))
-    identity = rel(spark, sf, "hits").where("evalue < 0.03").groupBy(F.col("target").alias("target_id")).agg(F.max("pident").alias("pident"))
+    identity = rel(spark, sf, "hits").groupBy(F.col("target").alias("target_id")).agg(F.max("pident").alias("pident"))
     structure = part.where("p_partkey % 2 = 0").select("target_id", F.col("p_retailprice").alias("structure_score"))
     flags = part.where("p_partkey % 5 = 0").select("target_id", (F.col("p_size") > 20).alias("flag"))
     clusters = rel(spark, sf, "clusters")

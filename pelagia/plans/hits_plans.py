@@ -44,7 +44,7 @@ def ag2(spark, sf):
 @query(
     "ag3_best_hit_per_candidate",
     """WITH manifest AS (SELECT CAST(p_partkey AS VARCHAR) AS candidate, p_brand AS set_name FROM part),
-       h AS (SELECT target AS candidate, bits, query FROM hits WHERE evalue < 0.01 AND pident > 60),
+       h AS (SELECT target AS candidate, bits, query FROM hits),
        best AS (SELECT candidate, bits, query, count(*) OVER (PARTITION BY candidate) AS n,
                        ROW_NUMBER() OVER (PARTITION BY candidate ORDER BY bits DESC, query) AS rn FROM h)
        SELECT m.candidate, set_name, bits, query, coalesce(n, 0) AS n_hits,
@@ -56,7 +56,7 @@ def ag3(spark, sf):
     manifest = table(spark, sf, "part").select(
         F.col("p_partkey").cast("string").alias("candidate"), F.col("p_brand").alias("set_name")
     )
-    found = rel(spark, sf, "hits").where("evalue < 0.01 AND pident > 60").withColumnRenamed("target", "candidate")
+    found = rel(spark, sf, "hits").withColumnRenamed("target", "candidate")
     return ops.best_per_candidate(manifest, found, "bits", ["query"])
 
 

@@ -31,7 +31,7 @@ def src2(spark, sf):
 @query(
     "src3_membership_file",
     f"""WITH {CAP_SQL}, w AS ({WANTED}) SELECT target_id, CAST(any_value(size) AS INT) AS n_members, CAST(any_value(total) AS INT) AS n_genomes_total,
-        string_agg(genome, ',' ORDER BY genome) FILTER (rn <= 5) AS genomes FROM dg JOIN w USING (target_id) GROUP BY target_id""",
+        string_agg(genome, ',' ORDER BY genome) AS genomes FROM dg JOIN w USING (target_id) GROUP BY target_id""",
     ("membership",),
 )
 def src3(spark, sf):

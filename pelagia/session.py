@@ -26,12 +26,14 @@ def build_session(app_name: str = "pelagia", master: str | None = None, **conf:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh local one only if none is set."""
+    """The shared folder named by ``spark.checkpoint.dir``; a fresh local one only on a local master, as in tests."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not sc.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not configured:
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     sc.setCheckpointDir(configured)

@@ -1,9 +1,4 @@
-"""Registered queries against their reference SQL on the smallest tables.
-
-By default every fifth query runs; PELAGIA_ALL=1 runs them all.
-"""
-
-import os
+"""Every registered query against its reference SQL on the smallest tables."""
 
 import duckdb
 import pytest
@@ -14,7 +9,6 @@ from pelagia.plans.bindings import TABLES
 
 SF = "/root/testdata/sf0.001"
 NAMES = sorted(entry_module.oracle_sql())
-CHOSEN = NAMES if os.environ.get("PELAGIA_ALL") else NAMES[::5]
 
 
 @pytest.fixture(scope="module")
@@ -25,7 +19,7 @@ def con():
     return connection
 
 
-@pytest.mark.parametrize("name", CHOSEN)
+@pytest.mark.parametrize("name", NAMES)
 def test_query_matches_sql(spark, con, name):
     result = check.compare(entry_module.queries()[name](spark, SF), con, entry_module.oracle_sql()[name])
     assert result.startswith("ok"), result
