@@ -213,7 +213,7 @@ def labelled(spark, make, n=400):
 
 def test_toxicity_learns_new_stems(spark):
     def make(rnd, y):
-        words = [f"word{rnd.randint(0, 30)}" for _ in range(20)]
+        words = [f"w{rnd.choice('aeiou')}{rnd.choice('bcdfg')}" for _ in range(20)]
         if y:
             words.insert(rnd.randrange(20), f"brakk{rnd.choice('abcdefgh')}")
         return " ".join(words)
