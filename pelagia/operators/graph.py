@@ -27,11 +27,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _is_forest_of_stars(edges: DataFrame) -> bool:
-    roots = edges.select(F.col("v").alias("u")).distinct()
-    chained = edges.join(roots, "u", "left_semi").select(F.lit(1))
-    forked = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.lit(1))
-    rising = edges.where("v > u").select(F.lit(1))
-    return chained.unionByName(forked).unionByName(rising).isEmpty()
+    """Does every node point down at most once, and never at a node that points on?  One aggregate over the nodes."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), (F.col("v") > F.col("u")).cast("int").alias("met"))
+    ends = ends.unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("met")))
+    nodes = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("met").alias("met"))
+    return nodes.where("out > 1 OR (out = 1 AND met = 1)").isEmpty()
+
+
+ROWS_PER_TASK = 200_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -39,12 +42,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Each round is a min aggregate joined back to the edges, never a neighbour list, and
     ends in a checkpoint.  The rounds end when every edge points at a root: no node that
-    is pointed at points anywhere itself, and none points at two.
+    is pointed at points anywhere itself, and none points at two.  Tasks are as many as
+    the edges fill, so that few edges do not make many small files in every round.
     """
     current = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct()
     current = cut_lineage(current)
+    tasks = 1 + current.count() // ROWS_PER_TASK
+    current = current.coalesce(tasks)
     while not _is_forest_of_stars(current):
-        current = cut_lineage(_small_star(_large_star(current)).where("u <> v").distinct())
+        starred = _small_star(_large_star(current).coalesce(tasks)).where("u <> v").coalesce(tasks).distinct().coalesce(tasks)
+        current = cut_lineage(starred)
     roots = current.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
     return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots).distinct()
 
