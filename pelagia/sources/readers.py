@@ -11,10 +11,11 @@ from pelagia.sources.schemas import ENTRY_SCHEMA, ENZYME_SCHEMA, SAMPLE_XML_SCHE
 
 # The script assignment that holds a page's record, and the quality fields read from it.
 EMBEDDED_JSON_PATTERN = r"(?s)JSON\.parse\(`(.+?)`\);"
-QUALITY_FIELDS = (
-    "genus species is_mag completeness contamination checkm_completeness checkm_contamination anvio_completion "
-    "anvio_contamination genome_size n50 no_scaffolds bioproject public_sample_link publication"
-).split()
+QUALITY_FIELDS = [
+    "genus", "species", "is_mag", "completeness", "contamination", "checkm_completeness", "checkm_contamination",
+    "anvio_completion", "anvio_contamination", "genome_size", "n50", "no_scaffolds", "bioproject",
+    "public_sample_link", "publication",
+]
 
 
 def file_order() -> Column:
@@ -317,13 +318,13 @@ def read_atoms(spark: SparkSession, path: str) -> DataFrame:
 
 def family_dimension(spark: SparkSession, definitions: Sequence[dict]) -> DataFrame:
     """Family config rows, checked for repeated ids."""
-    from pelagia.sources.schemas import CORE_TABLES
+    from pelagia.sources.schemas import FAMILY_DEFINITION
 
     ids = [d["family"] for d in definitions]
     repeated = sorted({i for i in ids if ids.count(i) > 1})
     if repeated:
         raise ValueError(f"duplicate family ids: {', '.join(repeated)}")
-    schema = CORE_TABLES["family_definition"]
+    schema = FAMILY_DEFINITION
     rows = [tuple(d.get(f.name, [] if f.dataType.typeName() == "array" else None) for f in schema) for d in definitions]
     return spark.createDataFrame(rows, schema)
 
