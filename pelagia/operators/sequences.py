@@ -149,18 +149,16 @@ TRIAD_ATOMS = {"C": ["SG"], "S": ["OG"], "T": ["OG1"], "H": ["NE2", "ND1"], "D":
 
 
 def triad_residues(atoms: DataFrame) -> DataFrame:
-    """(structure, position, residue, points): the acting side-chain atoms, or CA when none is present."""
+    """(structure, position, residue, acting, ca): the acting side-chain atoms and the CA atoms of a residue."""
     acting = None
     for residue, names in TRIAD_ATOMS.items():
         acting = (F if acting is None else acting).when(F.col("residue") == residue, F.col("atom").isin(names))
     acting = acting.otherwise(F.lit(False))
     point = F.struct("x", "y", "z")
-    grouped = atoms.where(F.col("residue").isin(list(TRIAD_ATOMS))).groupBy("structure", "position", "residue").agg(
-        F.array_sort(F.collect_list(F.when(acting, point))).alias("_acting"),
-        F.array_sort(F.collect_list(F.when(F.col("atom") == "CA", point))).alias("_ca"),
+    return atoms.where(F.col("residue").isin(list(TRIAD_ATOMS))).groupBy("structure", "position", "residue").agg(
+        F.array_sort(F.collect_list(F.when(acting, point))).alias("acting"),
+        F.array_sort(F.collect_list(F.when(F.col("atom") == "CA", point))).alias("ca"),
     )
-    points = F.when(F.size("_acting") > 0, F.col("_acting")).otherwise(F.col("_ca"))
-    return grouped.select("structure", "position", "residue", points.alias("points")).where(F.size("points") > 0)
 
 
 def _nearest(points: Column, others: Column) -> Column:
@@ -177,14 +175,25 @@ def _nearest(points: Column, others: Column) -> Column:
     return F.array_min(F.transform(points, one))
 
 
+def residue_gap(a: Column, b: Column) -> Column:
+    """Acting atoms to acting atoms; CA to CA if either residue lacks its acting atom."""
+    both = (F.size(a["acting"]) > 0) & (F.size(b["acting"]) > 0)
+    return F.when(both, _nearest(a["acting"], b["acting"])).otherwise(_nearest(a["ca"], b["ca"]))
+
+
+TRIAD_COLUMNS = ["nucleophile", "his", "asp", "nuc_his", "his_asp", "nuc_asp", "score", "in_order", "tight"]
+
+
 def structural_triads(atoms: DataFrame, nucleophiles: Sequence[str] = ("C",), tight: float = 4.5) -> DataFrame:
     """Best (nucleophile, His, Asp) of every structure by the sum of its two distances.
 
     The sum splits at the histidine, so each histidine only needs its nearest nucleophile
     and its nearest aspartate: no triple product, and all of it inside one row.
+    ``nuc_asp`` is the third distance; ``in_order`` tells whether the three follow in the
+    order nucleophile, Asp, His.
     """
     residues = triad_residues(atoms)
-    entry = F.struct("position", "points")
+    entry = F.struct("position", "acting", "ca")
 
     def of(letters: Sequence[str]) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("residue").isin(list(letters)), entry)))
@@ -193,47 +202,39 @@ def structural_triads(atoms: DataFrame, nucleophiles: Sequence[str] = ("C",), ti
     sides = sides.where((F.size("_n") > 0) & (F.size("_h") > 0) & (F.size("_d") > 0))
 
     def partner(his: Column, side: str) -> Column:
-        return F.array_min(
-            F.transform(
-                F.col(side),
-                lambda r: F.struct(_nearest(r["points"], his["points"]).alias("gap"), r["position"].alias("position")),
-            )
-        )
+        gaps = F.transform(F.col(side), lambda r: F.struct(residue_gap(r, his).alias("gap"), r["position"].alias("position"), r.alias("r")))
+        return F.array_min(F.filter(gaps, lambda g: g["gap"].isNotNull()))
 
     def scored(his: Column) -> Column:
-        nuc, asp = partner(his, "_n"), partner(his, "_d")
-        return F.struct(
-            (nuc["gap"] + asp["gap"]).alias("score"),
-            his["position"].alias("his"),
-            nuc["position"].alias("nucleophile"),
-            asp["position"].alias("asp"),
-            nuc["gap"].alias("nuc_his"),
-            asp["gap"].alias("his_asp"),
-        )
-
-    best = sides.select("structure", F.array_min(F.transform("_h", scored)).alias("_b"))
+        # Bound once: every mention of a partner would search for it anew.
+        both = F.array(F.struct(partner(his, "_n").alias("n"), partner(his, "_d").alias("d")))
+        return F.transform(both, lambda p: F.struct(
+            (p["n"]["gap"] + p["d"]["gap"]).alias("score"), his["position"].alias("his"), p["n"]["position"].alias("nucleophile"),
+            p["d"]["position"].alias("asp"), p["n"]["gap"].alias("nuc_his"), p["d"]["gap"].alias("his_asp"),
+            residue_gap(p["n"]["r"], p["d"]["r"]).alias("nuc_asp"),
+        ))[0]
+
+    found = F.filter(F.transform("_h", scored), lambda t: t["score"].isNotNull())
+    best = sides.select("structure", F.array_min(found).alias("_b")).where("_b IS NOT NULL").select("structure", "_b.*")
     return best.select(
-        "structure",
-        F.col("_b.nucleophile").alias("nucleophile"),
-        F.col("_b.his").alias("his"),
-        F.col("_b.asp").alias("asp"),
-        F.col("_b.nuc_his").alias("nuc_his"),
-        F.col("_b.his_asp").alias("his_asp"),
-        F.col("_b.score").alias("score"),
-        ((F.col("_b.nuc_his") <= tight) & (F.col("_b.his_asp") <= tight)).alias("tight"),
+        "structure", *TRIAD_COLUMNS[:-2],
+        ((F.col("nucleophile") < F.col("asp")) & (F.col("asp") < F.col("his"))).alias("in_order"),
+        ((F.col("nuc_his") <= tight) & (F.col("his_asp") <= tight)).alias("tight"),
     )
 
 
 def triad_with_fallback(atoms: DataFrame, tight: float = 4.5) -> DataFrame:
-    """Cysteine triad where it is tight, else a tight serine/threonine one, else the cysteine result."""
-    columns = ["nucleophile", "his", "asp", "nuc_his", "his_asp", "score", "tight"]
-    cys = structural_triads(atoms, ["C"], tight).select("structure", F.struct(*columns).alias("_c"))
-    alt = structural_triads(atoms, ["S", "T"], tight).select("structure", F.struct(*columns).alias("_a"))
-    joined = cys.join(alt, "structure", "full_outer")
-    use_alt = ~F.coalesce(F.col("_c.tight"), F.lit(False)) & (F.coalesce(F.col("_a.tight"), F.lit(False)) | F.col("_c").isNull())
-    picked = F.when(use_alt, F.col("_a")).otherwise(F.col("_c"))
-    kind = F.when(use_alt, "S/T").otherwise("C")
-    return joined.select("structure", kind.alias("kind"), picked.alias("_p")).select("structure", "kind", "_p.*")
+    """Cysteine triad where it is tight, else a tight serine one, else a tight threonine one, else the cysteine result."""
+
+    def of(letter: str) -> DataFrame:
+        return structural_triads(atoms, [letter], tight).select("structure", F.struct(*TRIAD_COLUMNS).alias(f"_{letter}"))
+
+    joined = of("C").join(of("S").where("_S.tight"), "structure", "full_outer").join(of("T").where("_T.tight"), "structure", "full_outer")
+    kind = F.when(F.coalesce(F.col("_C.tight"), F.lit(False)), "C").when(F.col("_S").isNotNull(), "S").when(F.col("_T").isNotNull(), "T").otherwise("C")
+    chosen = joined.withColumn("kind", kind)
+    picked = F.when(F.col("kind") == "S", F.col("_S")).when(F.col("kind") == "T", F.col("_T")).otherwise(F.col("_C"))
+    label = F.when(F.col("kind") == "C", "C").otherwise("S/T").alias("kind")
+    return chosen.select("structure", label, picked.alias("_p")).select("structure", "kind", "_p.*")
 
 
 # ---- model scores ----------------------------------------------------------------------

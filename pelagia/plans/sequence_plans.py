@@ -76,23 +76,31 @@ def atoms(spark, sf):
     ).distinct()
 
 
-@query(
-    "jn20_structural_triads",
-    f"""WITH {ATOM_SQL}, pt AS (SELECT *, atom <> 'CA' AS act, bool_or(atom <> 'CA') OVER (PARTITION BY structure, position) AS has FROM atm),
-        r AS (SELECT structure, position, residue, x, y, z FROM pt WHERE act OR NOT has),
-        nh AS (SELECT h.structure, h.position AS his, n.position AS nuc, min(sqrt(pow(h.x-n.x,2)+pow(h.y-n.y,2)+pow(h.z-n.z,2))) AS d FROM r h JOIN r n ON n.structure = h.structure AND n.residue = 'C' WHERE h.residue = 'H' GROUP BY ALL),
-        hd AS (SELECT h.structure, h.position AS his, a.position AS asp, min(sqrt(pow(h.x-a.x,2)+pow(h.y-a.y,2)+pow(h.z-a.z,2))) AS d FROM r h JOIN r a ON a.structure = h.structure AND a.residue = 'D' WHERE h.residue = 'H' GROUP BY ALL),
-        n1 AS (SELECT * FROM nh QUALIFY ROW_NUMBER() OVER (PARTITION BY structure, his ORDER BY d, nuc) = 1), d1 AS (SELECT * FROM hd QUALIFY ROW_NUMBER() OVER (PARTITION BY structure, his ORDER BY d, asp) = 1)
-        SELECT n1.structure, nuc AS nucleophile, n1.his, asp, round(n1.d, 6) AS nuc_his, round(d1.d, 6) AS his_asp, round(n1.d + d1.d, 6) AS score, n1.d <= 4.5 AND d1.d <= 4.5 AS tight
-        FROM n1 JOIN d1 ON d1.structure = n1.structure AND d1.his = n1.his QUALIFY ROW_NUMBER() OVER (PARTITION BY n1.structure ORDER BY n1.d + d1.d, n1.his) = 1""",
-)
+TRIAD_SQL = f"""{ATOM_SQL}, pt AS (SELECT *, bool_or(atom <> 'CA') OVER (PARTITION BY structure, position) AS has FROM atm),
+    gp AS (SELECT a.structure, a.residue AS ra, a.position AS pa, b.residue AS rb, b.position AS pb, min(sqrt(pow(a.x-b.x,2)+pow(a.y-b.y,2)+pow(a.z-b.z,2))) AS d
+           FROM pt a JOIN pt b ON b.structure = a.structure AND a.residue || b.residue IN ('CH', 'SH', 'HD', 'CD', 'SD')
+           WHERE CASE WHEN a.has AND b.has THEN a.atom <> 'CA' AND b.atom <> 'CA' ELSE a.atom = 'CA' AND b.atom = 'CA' END GROUP BY ALL),
+    n1 AS (SELECT structure, ra AS kind, pa AS nuc, pb AS his, d FROM gp WHERE rb = 'H' QUALIFY ROW_NUMBER() OVER (PARTITION BY structure, kind, his ORDER BY d, nuc) = 1),
+    d1 AS (SELECT structure, pa AS his, pb AS asp, d FROM gp WHERE ra = 'H' QUALIFY ROW_NUMBER() OVER (PARTITION BY structure, his ORDER BY d, asp) = 1),
+    tr AS (SELECT n1.structure, n1.kind, nuc AS nucleophile, n1.his, asp, round(n1.d, 6) AS nuc_his, round(d1.d, 6) AS his_asp, round(na.d, 6) AS nuc_asp, round(n1.d + d1.d, 6) AS score,
+           nuc < asp AND asp < n1.his AS in_order, n1.d <= 4.5 AND d1.d <= 4.5 AS tight
+           FROM n1 JOIN d1 ON d1.structure = n1.structure AND d1.his = n1.his
+           LEFT JOIN gp na ON na.structure = n1.structure AND na.ra = n1.kind AND na.rb = 'D' AND na.pa = nuc AND na.pb = asp
+           QUALIFY ROW_NUMBER() OVER (PARTITION BY n1.structure, n1.kind ORDER BY n1.d + d1.d, n1.his) = 1)"""
+
+
+@query("jn20_structural_triads", f"WITH {TRIAD_SQL} SELECT * EXCLUDE (kind) FROM tr WHERE kind = 'C'")
 def jn20(spark, sf):
-    return rounded(sequences.structural_triads(atoms(spark, sf)), "nuc_his", "his_asp", "score")
+    return rounded(sequences.structural_triads(atoms(spark, sf)), "nuc_his", "his_asp", "nuc_asp", "score")
 
 
-@query("jn20_triads_with_fallback")
+@query(
+    "jn20_triads_with_fallback",
+    f"""WITH {TRIAD_SQL}, al AS (SELECT *, CASE WHEN kind = 'C' AND tight THEN 1 WHEN kind = 'S' AND tight THEN 2 WHEN kind = 'C' THEN 3 END AS turn FROM tr)
+        SELECT * EXCLUDE (turn) REPLACE (CASE WHEN kind = 'C' THEN 'C' ELSE 'S/T' END AS kind) FROM al WHERE turn IS NOT NULL QUALIFY ROW_NUMBER() OVER (PARTITION BY structure ORDER BY turn) = 1""",
+)
 def jn20_fallback(spark, sf):
-    return sequences.triad_with_fallback(atoms(spark, sf))
+    return rounded(sequences.triad_with_fallback(atoms(spark, sf)), "nuc_his", "his_asp", "nuc_asp", "score")
 
 
 SITE_SQL = """rw AS (SELECT sample_id AS site, rep AS cluster_id, lat, lon, study, habitat, ord FROM annotated JOIN clusters ON member = target_id WHERE lat IS NOT NULL AND lon IS NOT NULL),

@@ -291,3 +291,12 @@ def test_triad_fallback(frame):
     df = frame(atoms, "structure string, position int, residue string, atom string, x double, y double, z double")
     out = {r["structure"]: (r["kind"], r["nucleophile"], r["asp"], r["tight"]) for r in sequences.triad_with_fallback(df).collect()}
     assert out == {"s": ("C", 1, 3, True), "u": ("S/T", 4, 3, True)}
+
+
+def test_triad_needs_both_acting_atoms_or_takes_ca(frame):
+    atoms = [("a", 1, "C", "CA", 10.0, 0.0, 0.0), ("a", 2, "H", "NE2", 13.0, 0.0, 0.0), ("a", 2, "H", "CA", 20.0, 0.0, 0.0),
+             ("a", 3, "D", "OD1", 16.0, 0.0, 0.0), ("a", 3, "D", "CA", 40.0, 0.0, 0.0),
+             ("b", 1, "S", "OG", 60.0, 0.0, 0.0), ("b", 2, "H", "NE2", 0.0, 0.0, 0.0), ("b", 3, "D", "OD1", 30.0, 0.0, 0.0)]
+    df = frame(atoms, "structure string, position int, residue string, atom string, x double, y double, z double")
+    out = sequences.triad_with_fallback(df).collect()
+    assert [(r["structure"], r["kind"], r["nuc_his"], r["his_asp"], r["nuc_asp"], r["in_order"], r["tight"]) for r in out] == [("a", "C", 10.0, 3.0, 30.0, False, False)]
