@@ -25,27 +25,38 @@ def occurrences(text: Column, characters: str) -> Column:
     return out
 
 
-def statistics(text: Column) -> dict[str, Column]:
-    """The statistics of a text that rules may ask about; null reads as empty, shares of nothing are 0."""
-    t = F.coalesce(text, F.lit(""))
-    size, count = F.char_length(t).cast("double"), word_count(text).cast("double")
-    words, lines = F.split(t, " "), F.split(t, "\n")
-    share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    # The words are bound once; inside the inner lambda a split would be redone for every word.
-    pairs = let(words, lambda ws: F.struct(
-        F.size(ws).cast("double").alias("all"), F.size(F.array_distinct(ws)).cast("double").alias("distinct"),
-        F.size(F.filter(ws, lambda w, i: w == F.get(ws, i + 1))).cast("double").alias("again"),
-    ))
-    return {
-        "characters": F.log1p(size), "words": F.log1p(count), "word_length": share(size, count),
-        "capitals": share(F.octet_length(t) - F.octet_length(F.regexp_replace(t, "[A-Z]", "")).cast("double"), size),
-        "digits": share(F.octet_length(t) - F.octet_length(F.regexp_replace(t, "[0-9]+", "")).cast("double"), size),
-        "exclamations": share(occurrences(t, "!").cast("double"), count), "bars": share(occurrences(t, "|").cast("double"), count),
-        "marks": share(occurrences(t, "*#$%&").cast("double"), count), "stops": share(occurrences(t, ".").cast("double"), count),
-        "breaks": share(occurrences(t, "\n").cast("double"), count), "brackets": share(occurrences(t, "<>{}[]").cast("double"), count),
-        "distinct_words": pairs["distinct"] / pairs["all"], "repeated_words": pairs["again"] / pairs["all"],
-        "distinct_lines": share(F.size(F.array_distinct(lines)).cast("double"), F.size(lines).cast("double")),
-    }
+STATISTICS = [
+    "characters", "words", "word_length", "capitals", "digits", "exclamations", "bars", "marks", "stops", "breaks", "brackets",
+    "distinct_words", "repeated_words", "distinct_lines",
+]
+
+
+def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, STATISTICS) that rules may ask about; null reads as empty, shares of nothing are 0.
+
+    Two projections: the first measures each text once, the second only divides, so nothing is counted twice.
+    """
+    t = F.coalesce(F.col(text_col), F.lit(""))
+    gone = lambda pattern: F.octet_length(t) - F.octet_length(F.regexp_replace(t, pattern, ""))
+    words = F.split(t, " ")
+    measured = docs.select(
+        F.col(id_col).alias("id"), F.char_length(t).alias("size"), word_count(F.col(text_col)).alias("count"), gone("[A-Z]").alias("capital"),
+        gone("[0-9]+").alias("digit"), occurrences(t, "!").alias("exclamation"), occurrences(t, "|").alias("bar"), occurrences(t, "*#$%&").alias("mark"),
+        occurrences(t, ".").alias("stop"), occurrences(t, "\n").alias("break"), occurrences(t, "<>{}[]").alias("bracket"),
+        # The words are bound once; inside the inner lambda a split would be redone for every word.
+        let(words, lambda ws: F.struct(
+            F.size(ws).alias("all"), F.size(F.array_distinct(ws)).alias("distinct"), F.size(F.filter(ws, lambda w, i: w == F.get(ws, i + 1))).alias("again"),
+        )).alias("w"),
+        let(F.split(t, "\n"), lambda ls: F.size(F.array_distinct(ls)) / F.size(ls)).alias("lines"),
+    )
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
+    return measured.select(
+        "id", F.log1p("size").alias("characters"), F.log1p("count").alias("words"), share("size", "count").alias("word_length"),
+        share("capital", "size").alias("capitals"), share("digit", "size").alias("digits"), share("exclamation", "count").alias("exclamations"),
+        share("bar", "count").alias("bars"), share("mark", "count").alias("marks"), share("stop", "count").alias("stops"),
+        share("break", "count").alias("breaks"), share("bracket", "count").alias("brackets"), share("w.distinct", "w.all").alias("distinct_words"),
+        share("w.again", "w.all").alias("repeated_words"), F.col("lines").alias("distinct_lines"),
+    )
 
 
 @dataclass(frozen=True)
@@ -162,9 +173,8 @@ def quality_scores(
     (held_out false). Without labels, or with one kind only, every score is the share of label 1 (one half without
     any). Rows that repeat an id are scored each.
     """
-    stats = statistics(F.col(text_col))
-    names = list(stats)
-    rows = materialize(docs.select(F.col(id_col).alias("id"), *[c.cast("double").alias(n) for n, c in stats.items()]), "statistics")
+    names = STATISTICS
+    rows = materialize(with_statistics(docs, id_col, text_col), "statistics")
     train = sample_labels(labels, label, fold(id_col, parts) != held_out, sample, id_col)
     # At most 2 * sample ids, so the table is small enough to send to every task.
     fitted = rows.join(F.broadcast(train), "id").select("y", *names).orderBy("y", *names).limit(4 * sample).toPandas()
