@@ -227,12 +227,9 @@ def high_copy_by_study(genomes: DataFrame, copies: str, high: int = 5, min_genom
 def tail_concentration(genomes: DataFrame, category: str, top_n: int = 5) -> DataFrame:
     """How much of the rows the ``top_n`` most frequent categories hold."""
     counts = category_counts(genomes, [], category)
-    ranked = counts.withColumn("_r", F.row_number().over(Window.orderBy(F.desc("n"), category)))
-    return ranked.agg(
-        F.count(F.lit(1)).alias("n_categories"),
-        F.sum("n").alias("n_rows"),
-        F.sum(F.when(F.col("_r") <= top_n, F.col("n"))).alias("n_top"),
-        (F.sum(F.when(F.col("_r") <= top_n, F.col("n"))) * 100 / F.sum("n")).alias("pct_top"),
+    top = counts.orderBy(F.desc("n"), category).limit(top_n).agg(F.sum("n")).scalar()
+    return counts.agg(F.count(F.lit(1)).alias("n_categories"), F.sum("n").alias("n_rows")).withColumn("n_top", top).withColumn(
+        "pct_top", F.col("n_top") * 100 / F.col("n_rows")
     )
 
 
@@ -338,10 +335,8 @@ def host_breadth(genomes: DataFrame, cluster_id: str) -> DataFrame:
     """Genomes per genus of one cluster, with the number of genera and phyla it reaches."""
     mine = genomes.where(F.col("cluster_id") == cluster_id)
     counts = mine.groupBy("genus", "phylum").agg(F.count(F.lit(1)).alias("n_genomes"))
-    everything = Window.partitionBy()
-    return counts.withColumn("n_genera", F.size(F.collect_set("genus").over(everything))).withColumn(
-        "n_phyla", F.size(F.collect_set("phylum").over(everything))
-    )
+    n_genera, n_phyla = (counts.agg(F.count_distinct(c)).scalar() for c in ("genus", "phylum"))
+    return counts.withColumn("n_genera", n_genera.cast("int")).withColumn("n_phyla", n_phyla.cast("int"))
 
 
 def class_by_phylum(copies: DataFrame, classes: DataFrame, genomes: DataFrame, top_n: int = 10) -> DataFrame:

@@ -73,14 +73,8 @@ def mantel_haenszel(tables: DataFrame, by: Sequence[str], min_stratum_n: int = 1
 def raw_two_by_two(rows: DataFrame, group: str, positive: Column) -> DataFrame:
     """Unstratified a,b,c,d per group against all other rows."""
     inside = rows.groupBy(group).agg(F.count_if(positive).alias("a"), F.count_if(~positive).alias("b"))
-    everything = Window.partitionBy()
-    return inside.select(
-        group,
-        "a",
-        "b",
-        (F.sum("a").over(everything) - F.col("a")).alias("c"),
-        (F.sum("b").over(everything) - F.col("b")).alias("d"),
-    )
+    all_a, all_b = rows.agg(F.count_if(positive)).scalar(), rows.agg(F.count_if(~positive)).scalar()
+    return inside.select(group, "a", "b", (all_a - F.col("a")).alias("c"), (all_b - F.col("b")).alias("d"))
 
 
 def fisher_exact(tables: DataFrame) -> DataFrame:
