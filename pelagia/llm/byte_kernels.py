@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 2_000_000  # texts are worked in slices of about so many bytes; a longer text is a slice of its own
+SLICE_BYTES = 1_000_000  # texts are worked in slices of about so many bytes; a longer text is a slice of its own
 LAST_ID = np.iinfo(np.int64).max  # stands for a null id, which sorts last
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)

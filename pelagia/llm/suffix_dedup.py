@@ -14,7 +14,7 @@ from pelagia.llm.shared import materialize
 from pelagia.llm.spans import cut_spans, later_ones, numbered
 
 LENGTH, ANCHOR = 100, 40
-CHUNK = 100_000  # contexts sorted at once
+CHUNK = 50_000  # contexts sorted at once
 ANCHORS = "key long, context long, id long, place long, later boolean"
 CONTEXTS = "key long, id long, pos int, left int, right int, before binary, after binary"
 
