@@ -91,8 +91,8 @@ def chunk_manifest(records: DataFrame, key: str, order: str, bucket: Column, siz
 
 
 def write_chunks(manifest: DataFrame, path: str, key: str) -> None:
-    """One folder of FASTA records per chunk."""
-    fasta_records(manifest, key, width=80).write.mode("overwrite").partitionBy("chunk_index").text(path)
+    """One folder of FASTA records per chunk, each written by one task as one file."""
+    fasta_records(manifest, key, width=80).repartition("chunk_index").write.mode("overwrite").partitionBy("chunk_index").text(path)
 
 
 def write_ids(ids: DataFrame, key: str, path: str) -> None:
