@@ -125,4 +125,4 @@ def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("op10_sentence_spans")
 def op10_sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return spans.digest_columns(sentence_spans.sentence_dedup(table(spark, sf, "documents")))
+    return spans.digest_columns(sentence_spans.sentence_dedup(table(spark, sf, "documents"), by_content=True))

@@ -144,3 +144,27 @@ def test_passages_without_stops_are_caught(spark):
     df = spark.createDataFrame([(i, f"{words(20)}.\n{passage}\n{words(30)}.", "k", 1) for i in range(4)] + [(9, words(90), "k", 1)], SCHEMA)
     got = {r.doc_id: r.n_removed for r in spans.digest_columns(sentence_spans.sentence_dedup(df)).collect()}
     assert got[0] == got[9] == 0 and all(got[i] >= len(passage) for i in (1, 2, 3))
+
+
+def test_passages_are_caught_at_any_offset(spark):
+    rnd = random.Random(8)
+    words = lambda n: [f"w{rnd.randint(0, 10**6)}" for _ in range(n)]
+    passage = words(70)
+    stopped = [w + "." if i % 20 == 19 else w for i, w in enumerate(words(70))]
+    rows = [(100 * k + i, " ".join([*words(3 + 5 * i), *p, *words(7)])) for k, p in enumerate((passage, stopped)) for i in range(9)]
+    df = spark.createDataFrame([(d, t, "k", 1) for d, t in rows], SCHEMA).repartition(3)
+    got = {r.id: r for r in sentence_spans.sentence_dedup(df, by_content=True).collect()}
+    for doc, text in rows:
+        p = passage if doc < 100 else stopped
+        left = [w for w in p if w in got[doc].kept.decode().split()]
+        assert len(left) == 70 if doc % 100 == 0 else len(left) <= 32
+        assert set(text.split()) - set(p) <= set(got[doc].kept.decode().split())
+
+
+def test_lists_of_tiny_lines_are_caught_to_both_ends(spark):
+    menu = "Home\nNews\nOur team\nMap\nJobs\nPress\nHelp\nSign in\nTerms\nRSS\n"
+    rows = [(i, f"A first line that only document {i} has here{i}\n{menu}And a last one of number {i} alone{i}\n", "k", 1) for i in range(3)]
+    rows.append((7, "Home\nNews\nMap\n", "k", 1))
+    got = {r.id: r.kept.decode() for r in sentence_spans.sentence_dedup(spark.createDataFrame(rows, SCHEMA), by_content=True).collect()}
+    assert menu in got[0] and got[7] == rows[3][1]
+    assert all(got[i] == rows[i][1].replace(menu, "") for i in (1, 2))
