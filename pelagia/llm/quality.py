@@ -111,15 +111,16 @@ def grow(codes, rows, gradient, curve, depth, path, least) -> Iterator[tuple[np.
         yield from grow(codes, rows[~left], gradient, curve, depth - 1, (*path, (split[1], split[2], False)), least)
 
 
-def tree_rules(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 5) -> list[Rule]:
-    """Every path of boosted trees as a rule, each once, in the order found."""
+def tree_rules(x: np.ndarray, y: np.ndarray, times: np.ndarray, names: list[str], seed: int = 5) -> list[Rule]:
+    """Every path of boosted trees as a rule, each once, in the order found. A row counts ``times``."""
     edges = [np.unique(np.quantile(x[:, f], np.linspace(0, 1, BINS + 1)[1:-1])) for f in range(x.shape[1])]
     codes = np.column_stack([np.searchsorted(e, x[:, f], "left") for f, e in enumerate(edges)])
     rng, score, rules = np.random.default_rng(seed), np.zeros(len(x)), {}
     least = max(5, len(x) // 400)
+    times = times / times.mean()  # how sure a split is depends on the rows there are
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
-        gradient, curve = p - y, p * (1 - p)
+        gradient, curve = times * (p - y), times * p * (1 - p)
         rows = np.flatnonzero(rng.random(len(x)) < 0.7)
         for held, path, leaf in grow(codes, rows, gradient, curve, DEPTH, (), least):
             bounds: dict[str, tuple[float, float]] = {}
@@ -134,29 +135,30 @@ def tree_rules(x: np.ndarray, y: np.ndarray, names: list[str], seed: int = 5) ->
     return list(rules)
 
 
-def lasso_logistic(m: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600) -> tuple[float, np.ndarray]:
+def lasso_logistic(m: np.ndarray, y: np.ndarray, penalty: float, steps: int = 600, times: np.ndarray | None = None) -> tuple[float, np.ndarray]:
     """Intercept and weights by accelerated proximal gradient; most weights end at exactly 0."""
-    n = len(y)
-    bound = 0.25 * np.linalg.norm(np.column_stack([np.ones(n), m]), 2) ** 2 / n
+    share = np.full(len(y), 1 / len(y)) if times is None else times / times.sum()
+    bound = 0.25 * np.linalg.norm(np.column_stack([np.ones(len(y)), m]) * np.sqrt(share)[:, None], 2) ** 2
     w, look, t = np.zeros(m.shape[1] + 1), np.zeros(m.shape[1] + 1), 1.0
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(look[0] + m @ look[1:], -30, 30)))
-        step = look - np.concatenate([[np.mean(p - y)], m.T @ (p - y) / n]) / bound
+        step = look - np.concatenate([[share @ (p - y)], m.T @ (share * (p - y))]) / bound
         new = np.concatenate([step[:1], np.sign(step[1:]) * np.maximum(np.abs(step[1:]) - penalty / bound, 0)])
         t_new = (1 + np.sqrt(1 + 4 * t * t)) / 2
         look, w, t = new + (t - 1) / t_new * (new - w), new, t_new
     return float(w[0]), w[1:]
 
 
-def fit_rules(x: np.ndarray, y: np.ndarray, names: list[str]) -> tuple[float, list[tuple[float, Rule]]]:
-    """(intercept, [(weight, rule)]) with the rules that the lasso keeps."""
+def fit_rules(x: np.ndarray, y: np.ndarray, times: np.ndarray, names: list[str]) -> tuple[float, list[tuple[float, Rule]]]:
+    """(intercept, [(weight, rule)]) with the rules that the lasso keeps; a row counts ``times``."""
+    ones, every = float(times @ y), float(times.sum())
     if not len(y) or y.min() == y.max():
-        return (float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0), []
-    rules = tree_rules(x, y, names)
+        return (float(np.log((ones + 0.5) / (every - ones + 0.5))) if len(y) else 0.0), []
+    rules = tree_rules(x, y, times, names)
     if not rules:
-        return float(np.log(y.mean() / (1 - y.mean()))), []
+        return float(np.log(ones / (every - ones))), []
     held = np.column_stack([r.holds(x, names) for r in rules]).astype(np.float64)
-    intercept, weights = lasso_logistic(held, y.astype(np.float64), LASSO)
+    intercept, weights = lasso_logistic(held, y.astype(np.float64), LASSO, times=times)
     return intercept, [(float(w), r) for w, r in zip(weights, rules) if abs(w) > 1e-6]
 
 
@@ -165,8 +167,8 @@ def quality_scores(
 ) -> DataFrame:
     """(id, held_out, score, predicted and the statistics): how likely every whole text is of quality 1.
 
-    Boosted trees are fitted to the statistics of at most ``sample`` rows of either label outside the held-out fold;
-    their paths become rules, a lasso keeps few of them, and the sum of the rules that hold is scored in one Spark
+    Boosted trees are fitted to the statistics of at most ``sample`` rows of either label outside the held-out fold,
+    weighted to the labels' shares there; their paths become rules, a lasso keeps few of them, and the sum of the rules that hold is scored in one Spark
     projection. Ids, languages, sources and labels never enter a score.
 
     Null and empty texts have statistics of nothing and are scored like any other; null ids keep their rows
@@ -177,8 +179,8 @@ def quality_scores(
     rows = materialize(with_statistics(docs, id_col, text_col), "statistics")
     train = sample_labels(labels, label, fold(id_col, parts) != held_out, sample, id_col)
     # At most 2 * sample ids, so the table is small enough to send to every task.
-    fitted = rows.join(F.broadcast(train), "id").select("y", *names).orderBy("y", *names).limit(4 * sample).toPandas()
-    intercept, rules = fit_rules(fitted[names].to_numpy(float), fitted["y"].to_numpy(float), names)
+    fitted = rows.join(F.broadcast(train), "id").select("y", "weight", *names).orderBy("y", *names).limit(4 * sample).toPandas()
+    intercept, rules = fit_rules(*(fitted[c].to_numpy(float) for c in (names, "y", "weight")), names)
     z = F.lit(intercept)
     for weight, rule in rules:
         z = z + F.when(rule.column(), F.lit(weight)).otherwise(F.lit(0.0))

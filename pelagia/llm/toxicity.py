@@ -236,7 +236,7 @@ def toxicity_scores(
 
     A lexicon maps words to classes; transducers for negation, reported speech and targets are composed into one
     machine, run over every clause. Stems of insults and the weights of the machine's outputs are learned from at most
-    ``sample`` rows of either label outside the held-out fold; ids, languages, sources and labels never enter a score.
+    ``sample`` rows of either label outside the held-out fold, weighted to the labels' shares there; ids, languages, sources and labels never enter a score.
 
     Null and empty texts match nothing and get the lowest score of the model. Null ids keep their rows (held_out false)
     and never carry labels. Without labels of both kinds fixed weights serve. Rows that repeat an id are scored each.
@@ -251,9 +251,9 @@ def toxicity_scores(
         stems = learn_stems(texts, counts[1], counts[0])
     rows = materialize(clause_features(docs, stems, id_col, text_col), "clauses")
     if both:
-        fitted = rows.join(F.broadcast(train), "id").select("y", *FEATURES).groupBy("y", *FEATURES).agg(F.count(F.lit(1)).alias("n")).toPandas()
-        n = fitted["n"].to_numpy()
-        weights = logistic(np.repeat(fitted[FEATURES].to_numpy(), n, axis=0), np.repeat(fitted["y"].to_numpy(), n))
+        # All rows of a label weigh the same, so the sum does not depend on their order.
+        fitted = rows.join(F.broadcast(train), "id").groupBy("y", *FEATURES).agg(F.sum("weight").alias("n")).orderBy("y", *FEATURES).toPandas()
+        weights = logistic(fitted[FEATURES].to_numpy(), fitted["y"].to_numpy(), stands_for=fitted["n"].to_numpy())
     z = F.lit(float(weights[0]))
     for name, w in zip(FEATURES, weights[1:]):
         z = z + F.col(name) * float(w)

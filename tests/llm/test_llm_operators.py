@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pelagia.llm import exact_dedup, mixing, quality, sentencepiece_codec, shared, token_rollup, topk, toxicity
+from pelagia.llm.labelled import logistic
 from pelagia.llm.queries import piece_model
 
 DOCS = "doc_id long, text string, source string, lang string, digest string, size long"
@@ -249,3 +250,22 @@ def test_lasso_drops_useless_rules():
     y = (rng.random(2000) < 1 / (1 + np.exp(-(3 * m[:, 0] - 1.5)))).astype(float)
     intercept, weights = quality.lasso_logistic(m, y, 0.03)
     assert weights[0] > 1 and (weights[1:] == 0).sum() >= 9
+
+
+@pytest.mark.parametrize("scores", [quality.quality_scores, toxicity.toxicity_scores])
+def test_small_samples_keep_the_share_of_the_labels(spark, scores):
+    rnd = random.Random(12)
+    rows = [(i, " ".join(f"word{rnd.randint(0, 50)}" for _ in range(rnd.randint(10, 40))), "s") for i in range(5000)]
+    for share in (0.9, 0.1):
+        labels = spark.createDataFrame([(i, int(rnd.random() < share)) for i in range(5000)], "doc_id long, y int")
+        got = [r.score for r in scores(docs(spark, rows), labels, label="y", sample=300).collect()]
+        assert abs(np.mean(got) - share) < 0.1
+
+
+def test_a_weighted_row_counts_as_so_many_rows():
+    rng = np.random.default_rng(2)
+    x, y, times = rng.random((300, 3)), rng.integers(0, 2, 300), rng.integers(1, 5, 300)
+    many = (np.repeat(x, times, axis=0), np.repeat(y, times))
+    assert np.allclose(logistic(x, y, stands_for=times), logistic(*many))
+    a, b = quality.lasso_logistic(x, y, 0.01, times=times), quality.lasso_logistic(*many, 0.01)
+    assert np.isclose(a[0], b[0]) and np.allclose(a[1], b[1])
