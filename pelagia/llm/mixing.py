@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,6 +103,54 @@ def split_quotas(root: DataFrame, levels: int, seed: int) -> DataFrame:
     return nodes.withColumnRenamed("node", "shard")
 
 
+def first_fit(units: DataFrame, ends: DataFrame, seed: int) -> DataFrame:
+    """One row per place of ``ends`` (place, need, next): place, what is ``left`` of its need, next, and the units ``out``.
+
+    ``units`` (place, block, id, size, words) are tried in a seeded order of their own; each that fits is taken. They
+    are those of a few blocks, so the list of a place is short.
+    """
+    order = F.struct(F.xxhash64(F.lit(seed + 1), F.col("id")).alias("h"), F.col("words").alias("w"), F.col("id").cast("long").alias("id"), "size", "block")
+    listed = units.groupBy("place").agg(F.array_sort(F.collect_list(order)).alias("units"))
+    start = F.struct(F.col("need").cast("double").alias("left"), F.expr("cast(array() as array<struct<id:bigint,size:bigint,block:bigint>>)").alias("out"))
+
+    def fill(acc, unit):
+        fits = unit["w"].cast("double") <= acc["left"]
+        return F.struct(
+            F.when(fits, acc["left"] - unit["w"]).otherwise(acc["left"]).alias("left"),
+            F.when(fits, F.concat(acc["out"], F.array(F.struct(unit["id"].alias("id"), unit["size"].alias("size"), unit["block"].alias("block"))))).otherwise(acc["out"]).alias("out"),
+        )
+
+    filled = F.coalesce(F.aggregate("units", start, fill), start).alias("f")
+    return ends.join(listed, "place", "left").select("place", "next", filled).select("place", "next", "f.left", "f.out")
+
+
+def fill_further(placed: DataFrame, first: DataFrame, last_blocks: int, seed: int) -> DataFrame:
+    """(place, id, size, block) of the documents taken past the whole blocks; ``first`` is the fill at the edge.
+
+    Until a source has no later document that fits: of those that fit, whole blocks as far as they go, then a first fit
+    over the next ``last_blocks`` blocks. Documents longer than what is left drop out of all later rounds.
+    """
+    out = lambda part: part.select("place", F.explode("out").alias("u")).select("place", "u.id", "u.size", "u.block")
+    taken = [out(first)]
+    short = placed.join(first.drop("out"), "place").filter((F.col("size") > 0) & (F.col("size") <= F.col("left")) & (F.col("block") >= F.col("next")))
+    rest = short.groupBy("place", "block", "left", "id", "size").agg((F.col("size") * F.count(F.lit(1))).alias("words"))
+    while True:
+        rest = materialize(rest.filter(F.col("words") <= F.col("left")), "rest")
+        if rest.isEmpty():
+            break
+        sums = running_total(rest.groupBy("place", "block", "left").agg(F.sum("words").alias("words")), "place", "block", "words", "upto")
+        edge = materialize(sums.filter("upto > left").groupBy("place").agg(
+            F.min(F.struct("block", (F.col("left") - F.col("upto") + F.col("words")).alias("need"))).alias("edge")
+        ).select("place", F.col("edge.need").alias("need"), F.col("edge.block").alias("edge"), (F.col("edge.block") + last_blocks).alias("next")), "edge")
+        met = rest.drop("left").join(edge, "place", "left")
+        taken.append(met.filter("edge is null or block < edge").select("place", "id", "size", "block"))
+        units = met.filter("block >= edge and block < next").select("place", "block", "id", "size", "words")
+        part = materialize(first_fit(units, edge.select("place", "need", "next"), seed), "filled")
+        taken.append(out(part))
+        rest = rest.drop("left").join(part.drop("out"), "place").filter("block >= next").drop("next")
+    return reduce(DataFrame.unionByName, taken)
+
+
 def mix_plan(
     docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, block_words: int = 16384, shard_blocks: int = 64, last_blocks: int = 4,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
@@ -109,8 +159,9 @@ def mix_plan(
 
     Every source is cut into permuted blocks of about ``block_words`` words: the block of a document is a seeded hash
     of its id, so block numbers are a random order. A source's target takes whole passes over its blocks, then whole
-    blocks in order, then documents of the next ``last_blocks`` blocks until no further one fits; a document is never
-    taken more than three times. The block quotas are split over shards of about ``shard_blocks`` blocks by the tree, and the shards
+    blocks in order, then every later document that still fits what is left, in order, over all blocks: whole blocks of
+    those that fit, and ``last_blocks`` blocks at a time where they no longer do. A document is never taken more than
+    three times. The block quotas are split over shards of about ``shard_blocks`` blocks by the tree, and the shards
     draw disjoint ranges of each source's blocks. Seeded hashes decide everything, so reruns agree.
 
     Null text has size 0 and null source is a source of its own; documents without words are never taken (no shards).
@@ -143,6 +194,17 @@ def mix_plan(
         blocks.join(edge, "place", "left").select("place", "block", "passes", "blocks", "words", part.alias("part"), F.col("edge.need").alias("need")), "blocks"
     )
 
+    cut = placed.join(blocks.filter("part = 'cut'").select("place", "block", "need"), ["place", "block"]).filter("size > 0")
+    units = cut.groupBy("place", "block", "need", "id", "size").agg((F.col("size") * F.count(F.lit(1))).alias("words"))
+    ends = edge.select("place", F.col("edge.need").alias("need"), (F.col("edge.block") + last_blocks).alias("next"))
+    taken = fill_further(placed, materialize(first_fit(units, ends, seed), "filled"), last_blocks, seed)
+    further = taken.select("place", "block", F.lit(True).alias("further")).distinct()
+    blocks = materialize(
+        blocks.join(further, ["place", "block"], "left").withColumn("part", F.when(F.col("further") & (F.col("part") == "none"), F.lit("cut")).otherwise(F.col("part"))).drop("further", "need"),
+        "blocks",
+    )
+    chosen = taken.select(F.col("place").alias("place_"), F.col("id").alias("id_"), F.col("size").alias("size_"), F.lit(True).alias("chosen"))
+
     slots = blocks.withColumn("uses", F.col("passes") + (F.col("part") != "none").cast("long"))
     quotas = slots.groupBy("place").agg(F.sum("uses").alias("quota"))
     total = quotas.agg(F.sum("quota")).first()[0] or 0
@@ -159,25 +221,9 @@ def mix_plan(
         .select("place", F.pmod("slot", "blocks").alias("block"), F.floor(F.col("slot") / F.col("blocks")).alias("pass"), "shard")
         .groupBy("place", "block").agg(F.transform(F.array_sort(F.collect_list(F.struct("pass", "shard"))), lambda s: s["shard"]).alias("shards"))
     )
-    marked = blocks.join(drawn, ["place", "block"]).select("place", "block", "passes", "part", "need", "shards")
+    marked = blocks.join(drawn, ["place", "block"]).select("place", "block", "passes", "part", "shards")
 
     rows = placed.join(marked.drop("passes"), ["place", "block"], "left")
-    units = rows.filter("part = 'cut' and size > 0").groupBy("place", "need", "id", "size").agg(F.count(F.lit(1)).alias("n"))
-    listed_units = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed + 1), F.col("id")).alias("h"), (F.col("size") * F.col("n")).alias("w"), F.col("id").alias("id"), F.col("size").alias("size"))))
-    start = F.struct(F.col("need").cast("double").alias("left"), F.expr("cast(array() as array<struct<id:bigint,size:bigint>>)").alias("out"))
-
-    def fill(acc, unit):
-        fits = unit["w"].cast("double") <= acc["left"]
-        return F.struct(
-            F.when(fits, acc["left"] - unit["w"]).otherwise(acc["left"]).alias("left"),
-            F.when(fits, F.concat(acc["out"], F.array(F.struct(unit["id"].cast("long").alias("id"), unit["size"].alias("size"))))).otherwise(acc["out"]).alias("out"),
-        )
-
-    chosen = (
-        units.groupBy("place", "need").agg(listed_units.alias("units"))
-        .select("place", F.explode(F.aggregate("units", start, fill)["out"]).alias("u"))
-        .select(F.col("place").alias("place_"), F.col("u.id").alias("id_"), F.col("u.size").alias("size_"), F.lit(True).alias("chosen"))
-    )
     match = (rows["place"] == chosen["place_"]) & rows["id"].eqNullSafe(chosen["id_"]) & (rows["size"] == chosen["size_"])
     copies = F.when(F.col("size") == 0, 0).when(F.col("part") == "whole", F.col("passes") + 1).when(
         (F.col("part") == "cut") & F.col("chosen"), F.col("passes") + 1).otherwise(F.col("passes"))

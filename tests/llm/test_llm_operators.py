@@ -147,6 +147,14 @@ def test_mix_targets_and_limits(spark):
     assert mixing.mix_plan(docs(spark, [])).count() == 0
 
 
+def test_a_long_document_does_not_end_the_fill(spark):
+    rows = [(i, "w " * 100, "a") for i in range(400)] + [(400, "w " * 20000, "a")] + [(500 + i, "w " * 100, "b") for i in range(600)]
+    for seed in (1, 2, 3, 4):
+        plan = mixing.mix_plan(docs(spark, rows), weights=(1, 2), seed=seed, block_words=512, shard_blocks=8).collect()
+        taken = sum(r.size * len(r.shards) for r in plan if r.source == "a")
+        assert len(plan) == len(rows) and 40000 - 100 <= taken <= 40000
+
+
 def test_mix_rows(spark):
     rows = [(i, f"word{i} b c", "a" if i % 3 else "b") for i in range(60)]
     mixed = mixing.mix(docs(spark, rows))
