@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import exact_dedup, jaccard_join, mixing, quality, sentence_spans, sentencepiece_codec, spans, suffix_dedup, token_rollup, topk, toxicity
+from pelagia.llm import bpe_codec, exact_dedup, jaccard_join, mixing, quality, sentence_spans, sentencepiece_codec, spans, suffix_dedup, token_rollup, topk, toxicity
 from pelagia.llm.shared import materialize, table
 from pelagia.session import ensure_checkpoint_dir
 
@@ -126,3 +126,15 @@ def op9_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_sentence_spans")
 def op10_sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
     return spans.digest_columns(sentence_spans.sentence_dedup(table(spark, sf, "documents"), by_content=True))
+
+
+def word_vocabulary() -> str:
+    """The public lower-case vocabulary with word ends."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op13_bpe_codec")
+def op13_bpe_codec(spark: SparkSession, sf: str) -> DataFrame:
+    return bpe_codec.bpe_digests(table(spark, sf, "documents"), word_vocabulary()).withColumnRenamed("id", "doc_id")
