@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import bpe_codec, exact_dedup, jaccard_join, mixing, quality, sentence_spans, sentencepiece_codec, spans, suffix_dedup, token_rollup, topk, toxicity
+from pelagia.llm import bpe_codec, exact_dedup, jaccard_join, mixing, periodic_runs, quality, sentence_spans, sentencepiece_codec, spans, suffix_dedup, token_rollup, topk, toxicity
 from pelagia.llm.shared import materialize, table
 from pelagia.session import ensure_checkpoint_dir
 
@@ -128,6 +128,12 @@ def op10_sentence_spans(spark: SparkSession, sf: str) -> DataFrame:
     return spans.digest_columns(sentence_spans.sentence_dedup(table(spark, sf, "documents"), by_content=True))
 
 
+@query("op11_periodic_runs")
+def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(table(spark, sf, "documents"), F.crc32(F.col("doc_id").cast("string")))
+    return periodic_runs.run_digests(found)
+
+
 def word_vocabulary() -> str:
     """The public lower-case vocabulary with word ends."""
     import public_tokenizers
