@@ -9,7 +9,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.llm import bpe_codec, exact_dedup, jaccard_join, mixing, periodic_runs, quality, sentence_spans, sentencepiece_codec, spans, suffix_dedup, token_rollup, topk, toxicity
+from pelagia.llm import bpe_codec, exact_dedup, jaccard_join, mixing, periodic_runs, quality, sentence_spans, sentencepiece_codec, spans, suffix_dedup, token_rollup, topk, toxicity, whitening
 from pelagia.llm.shared import materialize, table
 from pelagia.session import ensure_checkpoint_dir
 
@@ -134,6 +134,12 @@ def op11_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
     return periodic_runs.run_digests(found)
 
 
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    grid = whitening.grid_rows(table(spark, sf, "embeddings"))
+    return whitening.whiten(grid, whitening.fit_whitening(grid)).withColumnRenamed("id", "vec_id")
+
+
 def word_vocabulary() -> str:
     """The public lower-case vocabulary with word ends."""
     import public_tokenizers
