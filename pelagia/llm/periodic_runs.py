@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from pelagia.llm.byte_kernels import Prefixes, mix
 from pelagia.llm.sentencepiece_codec import text_batches
+from pelagia.llm.shared import give_back
 
 EXPONENT = 4  # a run holds its period at least so often
 LEAST = 6  # and at least so many words
@@ -218,6 +219,7 @@ def periodic_runs(docs: DataFrame, seed: Column | None = None, id_col: str = "do
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(runs, shape), pa.array(left, pa.string())], names=["id", "n_words", "runs", "collapsed"]
             )
+        give_back()
 
     return chosen.mapInArrow(each, f"id {kind}, n_words long, runs {RUNS}, collapsed string")
 

@@ -6,16 +6,19 @@ import codecs
 import hashlib
 import heapq
 import re
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pelagia.llm.shared import give_back
+
 SPACE = "▁"  # fixed value: what a vocabulary writes for a space
-CACHE_SEGMENTS = 500_000  # segments in one generation of a worker's memory, which so never grows with the data
+CACHE_SEGMENTS = 50_000  # segments in one generation of a worker's memory, which so never grows with the data
 LIBRARY_BATCH = 4096
 
 
@@ -63,8 +66,11 @@ class Codec:
         self.segments = re.compile(f"{word}[{alone or chr(0xFFFF)}]|{SPACE}++[^{SPACE}{alone}]*+|[^{SPACE}{alone}]++").findall
         levels = {score: rank for rank, score in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
         self.ranks = {piece: levels[self.scores[i]] for piece, i in self.ids.items()}
-        self.memory: dict[str, str] = {}
-        self.old: dict[str, str] = {}
+        self.decimals = [str(i) for i in range(len(self.pieces))]
+        self.controls = {i for i, piece in enumerate(self.pieces) if not piece}
+        self.spaced = {i for i in range(len(self.pieces)) if lib.id_to_piece(i).startswith(SPACE)}
+        self.memory: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def merge(self, segment: str) -> list[int]:
         """Ids of one segment, from the agenda.
@@ -126,13 +132,13 @@ class Codec:
                     raise ValueError(f"segment {segment[:80]!r}: agenda gives {ids[:20]}, the library {known[len(head):][:20]}")
                 if b"".join([self.pieces[i] for i in ids]) != segment.replace(SPACE, " ").encode():
                     raise ValueError(f"segment {segment[:80]!r} does not decode to itself")
-                self.memory[segment] = " ".join(map(str, ids))
+                self.memory[segment] = array("i", ids).tobytes()
 
     def cut(self, text: str) -> list[str]:
         return self.segments(SPACE + text.replace(" ", SPACE)) if text else []
 
-    def encode_batch(self, texts: list[str | None]) -> list[tuple[str, str]]:
-        """For each text, its ids (with the end id) joined by spaces, and what they decode to.
+    def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, the end id last.
 
         Two generations of memory: when the young one is full it becomes the old one, from which segments that are
         met again return.
@@ -144,21 +150,24 @@ class Codec:
         met = new.intersection(self.old)
         self.memory.update((s, self.old[s]) for s in met)
         self.learn(list(new - met))
-        memory, end = self.memory, str(self.end_id)
-        return [(" ".join([*[memory[s] for s in c], end]), "".join(c).replace(SPACE, " ")[1:]) for c in cuts]
+        memory, end = self.memory, array("i", [self.end_id]).tobytes()
+        return [np.frombuffer(b"".join([memory[s] for s in c]) + end, dtype=np.int32) for c in cuts]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text followed by the end id."""
-        return [int(i) for i in self.encode_batch([text])[0][0].split()]
+        return self.encode_batch([text])[0].tolist()
+
+    def written(self, ids: np.ndarray) -> str:
+        """Decimal ids joined by one space."""
+        return " ".join([self.decimals[i] for i in ids.tolist()])
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: pieces in order, each invalid byte as U+FFFD, without the space put before the first piece."""
-        runs: list[list[bytes]] = [[]]  # a control piece ends a run of bytes
-        shown = [i for i in ids if self.pieces[i]]
-        for i in ids:
-            runs[-1].append(self.pieces[i]) if self.pieces[i] else runs.append([])
-        text = "".join([b"".join(r).decode("utf-8", "each_byte") for r in runs])
-        return text[1:] if shown and self.library.id_to_piece(shown[0]).startswith(SPACE) else text
+        ends = [k for k, i in enumerate(ids) if i in self.controls]  # a control piece ends a run of bytes
+        begins = [0, *[k + 1 for k in ends]]
+        text = "".join([b"".join([self.pieces[i] for i in ids[a:b]]).decode("utf-8", "each_byte") for a, b in zip(begins, [*ends, len(ids)])])
+        first = next((i for i in ids if i not in self.controls), None)
+        return text[1:] if first in self.spaced else text
 
 
 def each_byte(error: UnicodeError) -> tuple[str, int]:
@@ -174,14 +183,15 @@ def codec(model_file: str) -> Codec:
     return Codec(model_file)
 
 
-def digest_of(ids: str, text: str) -> tuple[int, str, str]:
-    return ids.count(" ") + 1, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+def digest_of(model: Codec, ids: np.ndarray) -> tuple[int, str, str]:
+    listed = ids.tolist()
+    return len(listed), hashlib.sha256(model.written(ids).encode()).hexdigest(), hashlib.sha256(model.decode(listed).encode()).hexdigest()
 
 
 DIGESTS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def pieces(column: pa.ChunkedArray | pa.Array, size: int = 4_000_000) -> Iterator[list[str | None]]:
+def pieces(column: pa.ChunkedArray | pa.Array, size: int = 1_000_000) -> Iterator[list[str | None]]:
     """Texts in lists of about ``size`` characters, so that a batch of long texts stays small."""
     out, held = [], 0
     for value in column:
@@ -215,15 +225,22 @@ def run(docs: DataFrame, text_col: str, keep: dict[str, str], extra: str, work:
             names = [n for n in batch.schema.names if n != "text_in_"]
             new = work(texts)
             yield pa.RecordBatch.from_arrays(kept + list(new.values()), names=names + list(new))
+        give_back()
 
     return chosen.mapInArrow(each, schema)
 
 
 def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256) of every whole text; null reads as empty (the end id only)."""
+    """(id, n_tokens, ids_sha256, decoded_sha256) of every whole text, decoded from its ids.
+
+    Null and empty texts have the end id alone and decode to nothing. Rows with null or repeated ids are worked each; an
+    empty table gives no rows; other columns are not read. Batches are cut by characters, so memory is set by the
+    longest text.
+    """
 
     def work(texts: list[str | None]) -> dict[str, pa.Array]:
-        rows = [digest_of(*r) for r in codec(model_file).encode_batch(texts)]
+        model = codec(model_file)
+        rows = [digest_of(model, ids) for ids in model.encode_batch(texts)]
         return {f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(DIGESTS)}
 
     return run(docs, text_col, {id_col: "id"}, "n_tokens long, ids_sha256 string, decoded_sha256 string", work)
@@ -237,16 +254,22 @@ def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text") -> Da
     """
 
     def work(texts: list[str | None]) -> dict[str, pa.Array]:
-        rows = codec(model_file).encode_batch(texts)
-        ids = pa.array([r[0] for r in rows], pa.string())
-        return {"ids": pc.cast(pc.split_pattern(ids, " "), pa.list_(pa.int32())), "decoded": pa.array([r[1] for r in rows], pa.string())}
+        model = codec(model_file)
+        rows = model.encode_batch(texts)
+        ends = np.cumsum([0, *[len(i) for i in rows]], dtype=np.int32)
+        ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else [], pa.int32()))
+        return {"ids": ids, "decoded": pa.array([model.decode(i.tolist()) for i in rows], pa.string())}
 
     keep = {c: f"{c}_in" if c in ("ids", "decoded") else c for c in docs.columns if c != text_col}
     return run(docs, text_col, keep, "ids array<int>, decoded string", work)
 
 
 def decode_ids(tokens: DataFrame, model_file: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
-    """``tokens`` with ``ids_col`` decoded into ``out``; null ids give null. Arrow batches, columns pass through."""
+    """``tokens`` with ``ids_col`` decoded into ``out``, which replaces a column of that name.
+
+    Null ids give null, an empty list an empty text; all other columns and repeated rows pass through; an empty table
+    gives no rows.
+    """
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in tokens.schema.fields if f.name != out] + [f"`{out}` string"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
