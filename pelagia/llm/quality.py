@@ -173,13 +173,17 @@ def quality_scores(
 
     Null and empty texts have statistics of nothing and are scored like any other; null ids keep their rows
     (held_out false). Without labels, or with one kind only, every score is the share of label 1 (one half without
-    any). Rows that repeat an id are scored each.
+    any). Rows that repeat an id are scored each; one of them, by the least hash of its statistics, is learned from. An
+    empty table gives no rows.
     """
     names = STATISTICS
     rows = materialize(with_statistics(docs, id_col, text_col), "statistics")
     train = sample_labels(labels, label, fold(id_col, parts) != held_out, sample, id_col)
-    # At most 2 * sample ids, so the table is small enough to send to every task.
-    fitted = rows.join(F.broadcast(train), "id").select("y", "weight", *names).orderBy("y", *names).limit(4 * sample).toPandas()
+    # At most 2 * sample ids, so the labels are small enough to send to every task.
+    # One row stands for an id, so that rows that repeat it neither crowd out others nor count more.
+    one = F.min(F.struct(F.xxhash64(*names).alias("h"), *names)).alias("one")
+    chosen = rows.join(F.broadcast(train), "id").groupBy("id", "y", "weight").agg(one).select("y", "weight", "one.*")
+    fitted = chosen.drop("h").orderBy("y", *names).toPandas()  # at most 2 * sample rows
     intercept, rules = fit_rules(*(fitted[c].to_numpy(float) for c in (names, "y", "weight")), names)
     z = F.lit(intercept)
     for weight, rule in rules:
