@@ -232,15 +232,19 @@ def mix_plan(
     )
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, id_col: str = "doc_id", **options) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
     """The mixed documents: every taken copy as a row of ``docs``' columns plus ``shard``, shuffled within its shard.
 
-    Rows are dealt to tasks by shard and ordered in it by a seeded hash of id and copy.
+    Rows are dealt to tasks by shard and ordered in it by a seeded hash of id and copy. Ids may be null or repeat: the
+    plan takes rows of equal id, source and size alike, and each row of ``docs`` comes as often as the plan says for
+    these three. Null and empty texts have no words and are never taken. A column of ``docs`` named ``shard`` comes
+    back as it is, next to the new one; other names of any kind pass through. An empty table gives no rows.
     """
-    plan = mix_plan(docs, weights, seed, id_col=id_col, **options).filter(F.size("shards") > 0)
-    plan = plan.dropDuplicates(["id"]).select(F.col("id").alias("mix_id"), F.col("shards").alias("mix_shards"))
-    taken = docs.join(plan, docs[id_col].eqNullSafe(plan["mix_id"])).select(*[docs[f"`{c}`"] for c in docs.columns], F.posexplode("mix_shards").alias("mix_copy", "shard"))
-    return (
-        taken.withColumn("mix_order", F.xxhash64(F.lit(seed + 2), F.col(id_col), F.col("mix_copy")))
-        .repartition("shard").sortWithinPartitions("shard", "mix_order", id_col).drop("mix_copy", "mix_order")
-    )
+    plan = mix_plan(docs, weights, seed, id_col=id_col, text_col=text_col, source_col=source_col, **options).filter(F.size("shards") > 0)
+    plan = plan.select(F.col("id").alias("mix_id"), F.col("source").alias("mix_source"), F.col("size").alias("mix_size"), F.col("shards").alias("mix_shards"))
+    plan = plan.dropDuplicates(["mix_id", "mix_source", "mix_size"])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
+    same = rows["id"].eqNullSafe(plan["mix_id"]) & rows["source"].eqNullSafe(plan["mix_source"]) & (rows["size"] == plan["mix_size"])
+    taken = rows.join(plan, same).select("row", "id", F.posexplode("mix_shards").alias("mix_copy", "mix_shard"))
+    ordered = taken.withColumn("mix_order", F.xxhash64(F.lit(seed + 2), F.col("id"), F.col("mix_copy"))).repartition("mix_shard").sortWithinPartitions("mix_shard", "mix_order", "id")
+    return ordered.select("row.*", F.col("mix_shard").alias("shard"))
