@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pytest
@@ -84,7 +85,7 @@ def test_codec_equals_the_library():
         ids = library.encode(text, add_eos=True)
         assert codec.encode(text) == ids
         assert codec.decode(ids) == library.decode(ids)
-        assert codec.encode_batch([text]) == [(" ".join(map(str, ids)), library.decode(ids))]
+        assert codec.written(codec.encode_batch([text])[0]) == " ".join(map(str, ids))
     for _ in range(500):
         ids = [rnd.choice([rnd.randrange(32000), rnd.randrange(259)]) for _ in range(rnd.randint(0, 9))]
         assert codec.decode(ids) == library.decode(ids)
@@ -163,6 +164,26 @@ def test_mix_rows(spark):
     assert sorted(r.doc_id for r in mixed.collect()) == sorted(r.id for r in plan for _ in r.shards)
 
 
+def test_mix_rows_with_null_and_repeated_ids(spark):
+    rnd = random.Random(8)
+    text = lambda: "w " * rnd.randint(0, 40)
+    rows = [(i, text(), rnd.choice("aab")) for i in range(60)] + [(None, "p q", "a"), (None, "r", "b"), (7, "one two three", "b"), (7, "x y", "a"), (7, "x y", "a"), (None, None, None)]
+    df = spark.createDataFrame([(i, t, s, "clash") for i, t, s in rows], "doc_id long, text string, source string, shard string")
+    for seed in (1, 2, 3):
+        plan = mixing.mix_plan(df, seed=seed, block_words=64, shard_blocks=4).collect()
+        mixed = mixing.mix(df, seed=seed, block_words=64, shard_blocks=4)
+        count = {}
+        for r in mixed.toDF("doc_id", "text", "source", "own", "shard").collect():
+            key = (r.doc_id, r.source, len((r.text or "").split()))
+            count[key] = count.get(key, 0) + 1
+            assert r.own == "clash"
+        want = {}
+        for r in plan:
+            if r.shards:
+                want[r.id, r.source, r.size] = want.get((r.id, r.source, r.size), 0) + len(r.shards)
+        assert count == want
+
+
 def test_splitting_tree_keeps_quotas(spark):
     quotas = [0, 1, 7, 300, 41]
     root = spark.createDataFrame([(0, quotas)], "node long, quotas array<long>")
@@ -198,7 +219,7 @@ def test_rollup_is_additive_and_idempotent(spark, tmp_path):
 
 def test_grammar_reads_clauses():
     lexicon = toxicity.Lexicon({"zork": 6.0})
-    feature = lambda text: {k for k, v in zip(toxicity.FEATURES, lexicon.features(text)) if v} - {"clauses", "strength"}
+    feature = lambda text: {k for k, v in zip(toxicity.FEATURES, lexicon.features(text)) if v} - {"clauses", "aimed", "plain", "softened"}
     assert feature("you are an idiot") == {"insult_at"}
     assert feature("you are not an idiot.") == {"insult_negated"}
     assert feature("he said the idiot left") == {"insult_reported"}
@@ -210,6 +231,49 @@ def test_grammar_reads_clauses():
     assert feature("") == feature(None) == feature("clean words only") == set()
 
 
+def test_strength_goes_by_what_the_grammar_puts_out():
+    lexicon = toxicity.Lexicon({"zork": 6.0})
+    rows = [lexicon.features(t) for t in ("you are a zorkling", "you are not a zorkling", "he said you are a zorkling", "the zorkling sleeps")]
+    at = {n: i for i, n in enumerate(toxicity.FEATURES)}
+    assert [r[at["aimed"]] > 0 for r in rows] == [True, False, False, False]
+    assert [r[at["softened"]] > 0 for r in rows] == [False, True, True, False]
+    assert rows[3][at["plain"]] > rows[1][at["softened"]] > 0 and rows[0][at["aimed"]] > rows[3][at["plain"]]
+    z = [toxicity.PRIOR[0] + sum(w * v for w, v in zip(toxicity.PRIOR[1:], r)) for r in rows]
+    assert z[0] > z[3] > max(z[1], z[2])
+
+
+def test_composed_machine_equals_its_parts_in_turn():
+    rnd = random.Random(9)
+    kinds = [*toxicity.KINDS, "word"]
+    for _ in range(2000):
+        symbols = [rnd.choice(kinds) for _ in range(rnd.randint(0, 12))]
+        out, weight = symbols, [1.0] * len(symbols)
+        for machine in (toxicity.negation_machine(), toxicity.report_machine(), toxicity.target_machine()):
+            step = machine.run(out)
+            out, weight = [o for o, _ in step], [a * b for a, (_, b) in zip(weight, step)]
+        assert toxicity.grammar().run(symbols) == list(zip(out, weight))
+
+
+def test_spelling_machines_equal_a_look_up():
+    stems = {"zork": 6.0, "abc": 4.0, "abcd": 5.0, "idio": 3.0}
+    lexicon = toxicity.Lexicon(stems)
+    rnd = random.Random(10)
+    words = [*toxicity.INSULTS, *toxicity.THREATS, *toxicity.TARGETS, *toxicity.REPORTS, "zork", "zorks", "zor", "abx", "abcdz", "idiots", "kills", "yo", "é"]
+    words += ["".join(rnd.choices("abczorkid", k=rnd.randint(1, 6))) for _ in range(500)]
+    for word in words:
+        stem = min((s for s in stems if word.startswith(s)), key=len, default=None)
+        kind = next((k for k in ("insult", "threat", "report", "negation", "target") if word in toxicity.KINDS[k]), "word")
+        want = ("insult", stems[stem]) if stem else (kind, toxicity.SEED_WEIGHT if kind in ("insult", "threat") else 0.0)
+        assert lexicon.read(word) == want, word
+
+
+def test_drop_toxic_by_id(spark):
+    rows = [(1, "you are a brakka idiot", "s"), (1, "clean words", "s"), (2, "clean words", "s"), (2, "clean words", "s"), (None, "you idiot", "s"), (3, None, "s"), (4, "", "s")]
+    kept = toxicity.drop_toxic(docs(spark, rows), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert sorted((r.doc_id or -1, r.text) for r in kept.collect() if r.text) == [(-1, "you idiot"), (2, "clean words"), (2, "clean words")]
+    assert kept.count() == 5 and toxicity.drop_toxic(docs(spark, []), spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
+
+
 def labelled(spark, make, n=400):
     rnd = random.Random(6)
     rows, labels = [], []
@@ -252,6 +316,30 @@ def test_quality_rules(spark):
     assert {r.score for r in quality.quality_scores(df.limit(3), labels.limit(0), label="y").collect()} == {0.5}
 
 
+def test_quality_with_repeated_ids_and_an_empty_table(spark):
+    good, bad = "Some words stand here in a plain row.", "BUY!!! BUY!!! BUY!!! NOW!!!"
+    rows = [(i, (good if i % 2 else bad) + f" {i} {n}", "s") for i in range(300) for n in range(5)] + [(None, None, None), (400, "", "s"), (401, "word " * 200_000, "s")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, y int")
+    got = quality.quality_scores(docs(spark, rows), labels, label="y", sample=100).collect()
+    assert len(got) == len(rows) and all(r.predicted == r.id % 2 for r in got if r.id is not None and r.id < 300)
+    assert quality.quality_scores(docs(spark, []), labels, label="y").count() == 0
+
+
+def test_compiled_rules_score_as_the_rules_themselves(spark):
+    def make(rnd, y):
+        return " ".join(f"word{rnd.randint(0, 30 if y else 300)}" for _ in range(rnd.randint(5, 40)))
+
+    df, labels = labelled(spark, make)
+    got = quality.quality_scores(df, labels, label="y").collect()
+    keep = {r.doc_id: r.y for r in labels.collect() if r.y is not None and r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5}
+    rows = sorted((keep[r.id], *[r[n] for n in quality.STATISTICS]) for r in got if r.id in keep)
+    table = np.array(rows, dtype=float)
+    intercept, rules = quality.fit_rules(table[:, 1:], table[:, 0], np.ones(len(table)), quality.STATISTICS)
+    for r in got:
+        z = intercept + sum(w for w, rule in rules if all(low < r[name] <= high for name, low, high in rule.bounds))
+        assert abs(r.score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_lasso_drops_useless_rules():
     rng = np.random.default_rng(1)
     m = rng.integers(0, 2, (2000, 12)).astype(float)
