@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pelagia.functions.geo import grid_cell, haversine_km, unit_vector
+from pelagia.functions.geo import grid_cell, unit_vector
+from pelagia.operators.farthest import farthest_km
 from pelagia.operators.ordering import (
     exact_medians,
     exact_quantiles,
@@ -71,33 +72,11 @@ def strided_sample(points: DataFrame, group: str = "cluster_id", order: str = "g
     return slot.where((F.col("_total") <= cap) | on_stride).drop("_h", "_k", "_total", "_i")
 
 
-def max_pairwise_km(points: DataFrame, group: str = "cluster_id", cap: int = 200) -> DataFrame:
-    """Greatest distance between the sampled points of a group, worked out inside one row per group.
+def cluster_ecology(rows: DataFrame, top_n: int = 5, distances: bool = True) -> DataFrame:
+    """Targets, genomes, spread, median depth and top taxa per cluster, most genomes first.
 
-    The sample holds at most ``cap`` points, so the array is bounded and no pair rows are made.
-    Pairs are compared by squared chord, which needs no trigonometry; the great-circle
-    distance is taken once, for the farthest pair.
+    With ``distances`` also the greatest distance between two positions of the cluster.
     """
-    x, y, z = unit_vector(F.col("lat"), F.col("lon"))
-    point = F.struct("lat", "lon", x.alias("x"), y.alias("y"), z.alias("z"))
-    arrays = strided_sample(points, group, cap=cap).groupBy(group).agg(F.collect_list(point).alias("_p"))
-
-    def chord(a: Column, b: Column) -> Column:
-        dx, dy, dz = a["x"] - b["x"], a["y"] - b["y"], a["z"] - b["z"]
-        return dx * dx + dy * dy + dz * dz
-
-    def farthest(a: Column) -> Column:
-        reached = F.transform("_p", lambda b: F.struct(chord(a, b).alias("c"), b["lat"].alias("lat"), b["lon"].alias("lon")))
-        far = F.array_max(reached)
-        return F.struct(far["c"].alias("c"), a["lat"].alias("lat"), a["lon"].alias("lon"), far["lat"].alias("lat2"), far["lon"].alias("lon2"))
-
-    best = arrays.select(group, F.array_max(F.transform("_p", farthest)).alias("_b"))
-    km = haversine_km(F.col("_b.lat"), F.col("_b.lon"), F.col("_b.lat2"), F.col("_b.lon2"))
-    return best.select(group, km.alias("max_pairwise_km"))
-
-
-def cluster_ecology(rows: DataFrame, top_n: int = 5, cap: int = 200) -> DataFrame:
-    """Targets, genomes, spread, median depth and top taxa per cluster, most genomes first."""
     # Read by five aggregates below, so the (cluster, genome) table is written once.
     genomes = cut_lineage(cluster_genomes(rows))
     points = genomes.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
@@ -107,7 +86,9 @@ def cluster_ecology(rows: DataFrame, top_n: int = 5, cap: int = 200) -> DataFram
     depth = exact_quantiles(genomes, ["cluster_id"], {"median_depth_m": F.col("depth_m")}, {"": 0.5}, counts=True)
     depth = depth.withColumnRenamed("n_median_depth_m", "n_genomes_with_depth")
     out = base.join(spherical_dispersion(points), "cluster_id", "left")
-    out = out.join(max_pairwise_km(points, cap=cap), "cluster_id", "left").join(depth, "cluster_id", "left")
+    if distances:
+        out = out.join(farthest_km(points), "cluster_id", "left")
+    out = out.join(depth, "cluster_id", "left")
     names = {"genus": "top_genera", "phylum": "top_phyla", "study": "top_studies"}
     out = out.join(top_categories_texts(genomes, ["cluster_id"], names, top_n), "cluster_id", "left")
     return out.fillna(0, ["geo_n", "n_genomes_with_depth"]).orderBy(F.desc("n_genomes"), "cluster_id")

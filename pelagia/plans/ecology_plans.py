@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pelagia.operators import ecology as ops
+from pelagia.operators.farthest import farthest_km
 from pelagia.plans.common import F, rel, rounded, table
 from pelagia.plans.matrix_plans import _top_sql
 from pelagia.plans.registry import query
@@ -19,11 +20,8 @@ HAV = """2*6371.0088*asin(sqrt(least(1.0, pow(sin(radians(b.lat-a.lat)/2),2)
     + cos(radians(a.lat))*cos(radians(b.lat))*pow(sin(radians(b.lon-a.lon)/2),2))))"""
 
 
-def _sample_sql(cap: int) -> str:
-    return f"""pts AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY cluster_id ORDER BY md5(genome), genome) - 1 AS k,
-        count(*) OVER (PARTITION BY cluster_id) AS n FROM cg WHERE lat IS NOT NULL AND lon IS NOT NULL),
-      smp AS (SELECT * FROM pts WHERE n <= {cap} OR ((((k*{cap} + n - 1)//n) * n)//{cap} = k AND (k*{cap} + n - 1)//n < {cap})),
-      far AS (SELECT a.cluster_id, max({HAV}) AS max_pairwise_km FROM smp a JOIN smp b USING (cluster_id) GROUP BY a.cluster_id)"""
+FAR_SQL = f"""pts AS (SELECT DISTINCT cluster_id, lat, lon FROM cg WHERE lat IS NOT NULL AND lon IS NOT NULL),
+      far AS (SELECT a.cluster_id, max({HAV}) AS max_pairwise_km FROM pts a JOIN pts b USING (cluster_id) GROUP BY a.cluster_id)"""
 
 
 NEEDS = ("annotated", "clusters")
@@ -35,7 +33,7 @@ def _rows(spark, sf):
 
 @query(
     "ag10_cluster_ecology",
-    f"""WITH {CG_SQL}, {DISP_SQL}, {_sample_sql(50)}, {_top_sql('cg', 'cluster_id', 'genus', 5, 'top_genera')},
+    f"""WITH {CG_SQL}, {DISP_SQL}, {FAR_SQL}, {_top_sql('cg', 'cluster_id', 'genus', 5, 'top_genera')},
         {_top_sql('cg', 'cluster_id', 'phylum', 5, 'top_phyla')}, {_top_sql('cg', 'cluster_id', 'study', 5, 'top_studies')},
         base AS (SELECT rep AS cluster_id, count(DISTINCT target_id) AS n_target_ids, count(DISTINCT genome) AS n_genomes
                  FROM annotated JOIN clusters ON member = target_id GROUP BY rep),
@@ -50,7 +48,7 @@ def _rows(spark, sf):
     NEEDS,
 )
 def ag10(spark, sf):
-    out = ops.cluster_ecology(_rows(spark, sf), cap=50)
+    out = ops.cluster_ecology(_rows(spark, sf))
     out = rounded(out, "resultant_length", "centroid_lat", "centroid_lon", "median_depth_m")
     return rounded(out, "max_pairwise_km", digits=2)
 
@@ -68,11 +66,11 @@ def ag11(spark, sf):
 
 @query(
     "ag12_max_pairwise_distance",
-    f"WITH {CG_SQL}, {_sample_sql(40)} SELECT cluster_id, round(max_pairwise_km, 2) AS max_pairwise_km FROM far",
+    f"WITH {CG_SQL}, {FAR_SQL} SELECT cluster_id, round(max_pairwise_km, 2) AS max_pairwise_km FROM far",
     NEEDS,
 )
 def ag12(spark, sf):
-    return rounded(ops.max_pairwise_km(ops.cluster_points(_rows(spark, sf)), cap=40), "max_pairwise_km", digits=2)
+    return rounded(farthest_km(ops.cluster_points(_rows(spark, sf))), "max_pairwise_km", digits=2)
 
 
 @query("ag13_top_categories", f"WITH {_top_sql('facts', 'habitat', 'genus', 4, 'top')} SELECT * FROM top_t", ("facts",))
@@ -217,5 +215,5 @@ def ag55_counts(spark, sf):
     NEEDS,
 )
 def ag56(spark, sf):
-    ecology = ops.cluster_ecology(_rows(spark, sf), cap=20)
+    ecology = ops.cluster_ecology(_rows(spark, sf), distances=False)
     return rounded(ops.global_and_local_clusters(ecology, 0.25, 0.3, 30), "resultant_length", "median_depth_m")
