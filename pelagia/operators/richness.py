@@ -149,55 +149,92 @@ def richness_by_study(pairs: DataFrame, facts: DataFrame, min_genomes: int = 2)
     )
 
 
+# Fixed value: hex digits of the digest that make an order key; 60 bits stay positive in a long.
+KEY_DIGITS = 15
+BUCKET_SHIFT = 48  # key bits below the histogram's 4,096 buckets
+LAST_KEY = (1 << 60) - 1
+
+
+def order_key(unit: Column, perm: Column, seed: int) -> Column:
+    """Place of a unit in a seeded order: the head of md5(unit|perm|seed) as a number.
+
+    The same on every run, partitioning and engine. Units with equal keys share a place.
+    """
+    digest = F.md5(F.concat_ws("|", unit.cast("string"), perm.cast("string"), F.lit(str(seed))))
+    return F.conv(F.substring(digest, 1, KEY_DIGITS), 16, 10).cast("long")
+
+
 def permutations(units: DataFrame, unit: str, n_perm: int, seed: int) -> DataFrame:
-    """(perm, unit, position): ``n_perm`` seeded orders of the units, positions from 1.
+    """(perm, unit, position): ``n_perm`` seeded orders of the distinct units, positions from 1, ties by unit.
 
-    The order of a permutation is a hash of (unit, perm, seed): the same on every
-    run and every partitioning.  Positions come from hash buckets, so no permutation
-    is sorted in one task.
+    Positions come from key buckets, so no order is sorted in one task.
     """
     keyed = units.select(unit).distinct().select(unit, F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    keyed = keyed.withColumn("_h", F.xxhash64(F.col(unit), F.col("perm"), F.lit(seed)))
-    indexed = ordered_index(keyed, ["perm"], F.shiftright("_h", 52), ["_h", unit], "_i")
+    keyed = keyed.withColumn("_h", order_key(F.col(unit), F.col("perm"), seed))
+    indexed = ordered_index(keyed, ["perm"], F.shiftright("_h", BUCKET_SHIFT), ["_h", unit], "_i")
     return indexed.select("perm", unit, (F.col("_i") + 1).alias("position"))
 
 
-def accumulation_curve(pairs: DataFrame, n_perm: int, seed: int, grid: int = 50) -> DataFrame:
-    """Clusters seen after the first x genomes: mean and 2.5/97.5 % band over seeded orders.
+def least_keys(pairs: DataFrame, unit: str, n_perm: int, seed: int) -> DataFrame:
+    """(cluster_id, keys): for every order the least key among a cluster's units.
 
-    Each (perm, cluster) only needs the position of its first genome; the curve is the
-    number of first positions at or before x.
+    That key alone says when the cluster is first met, so pairs are never multiplied by orders: one hash aggregate,
+    combined before the shuffle, keeps ``n_perm`` numbers per cluster.
     """
-    order = permutations(pairs, "genome", n_perm, seed)
-    return _curve_from_positions(pairs, order, "genome", grid)
-
-
-def _curve_from_positions(pairs: DataFrame, order: DataFrame, unit: str, grid: int) -> DataFrame:
-    firsts = pairs.join(order, unit).groupBy("perm", "cluster_id").agg(F.min("position").alias("first"))
-    points = F.transform(
-        F.sequence(F.lit(0), F.lit(grid - 1)),
-        lambda i: F.round(1 + i * (F.max("position") - 1) / (grid - 1)).cast("long"),
-    )
-    return _band(_seen_at(firsts, order.agg(F.array_distinct(points).alias("_xs"))))
+    least = [F.min(order_key(F.col(unit), F.lit(p), seed)).alias(f"_k{p}") for p in range(n_perm)]
+    return pairs.groupBy("cluster_id").agg(*least).select("cluster_id", F.array(*[f"_k{p}" for p in range(n_perm)]).alias("keys"))
 
 
-def _seen_at(firsts: DataFrame, grid: DataFrame) -> DataFrame:
-    """Clusters with first position ≤ x, per permutation and grid point, without a range join.
+def key_cuts(units: DataFrame, unit: str, weight: str, grid: DataFrame, n_perm: int, seed: int) -> DataFrame:
+    """(perm, xs, cuts): for each grid point x the greatest key up to which units weigh no more than x in all.
 
-    ``grid`` is one row with a sorted array of a few dozen points.  Each first position
-    is assigned to its grid slot; slot counts are then summed along the grid.
+    ``units`` has one row per unit and ``grid`` one row with a sorted array ``_xs``. Weights are summed by key bucket;
+    only the buckets in which a cut falls are looked at unit by unit.
     """
-    located = firsts.withColumn("_xs", grid.scalar()).select(
-        "perm", F.expr("size(filter(_xs, v -> v < first))").alias("slot")
+    keyed = units.select(unit, weight, F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
+    keyed = keyed.select("perm", F.col(weight).alias("w"), order_key(F.col(unit), F.col("perm"), seed).alias("key"))
+    keyed = keyed.withColumn("bucket", F.shiftright("key", BUCKET_SHIFT))
+    along = Window.partitionBy("perm").orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    filled = keyed.groupBy("perm", "bucket").agg(F.sum("w").alias("w")).withColumn("upto", F.sum("w").over(along))
+    crossed = filled.withColumn("_xs", grid.scalar()).select(
+        "perm", "bucket", (F.col("upto") - F.col("w")).alias("before"), F.explode(F.expr("filter(_xs, x -> x >= upto - w AND x < upto)")).alias("x")
     )
-    per_slot = located.groupBy("perm", "slot").agg(F.count(F.lit(1)).alias("_n"))
-    frame = firsts.select("perm").distinct().withColumn("_xs", grid.scalar())
-    frame = frame.select("perm", F.posexplode("_xs").alias("slot", "x"))
+    inside = keyed.join(crossed.select("perm", "bucket").distinct(), ["perm", "bucket"]).groupBy("perm", "bucket", "key").agg(F.sum("w").alias("w"))
+    in_bucket = Window.partitionBy("perm", "bucket").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.select("perm", "bucket", "key", F.sum("w").over(in_bucket).alias("upto"))
+    found = crossed.join(inside, ["perm", "bucket"]).groupBy("perm", "bucket", "x").agg(
+        F.max(F.when(F.col("before") + F.col("upto") <= F.col("x"), F.col("key"))).alias("cut")
+    )
+    found = found.select("perm", "x", F.coalesce("cut", F.shiftleft("bucket", BUCKET_SHIFT) - 1).alias("cut"))
+    frame = keyed.select("perm").distinct().withColumn("_xs", grid.scalar()).select("perm", F.explode("_xs").alias("x"))
+    every = frame.join(found, ["perm", "x"], "left").select("perm", "x", F.coalesce("cut", F.lit(LAST_KEY)).alias("cut"))
+    listed = every.groupBy("perm").agg(F.array_sort(F.collect_list(F.struct("x", "cut"))).alias("_l"))
+    return listed.select("perm", F.col("_l.x").alias("xs"), F.col("_l.cut").alias("cuts"))
+
+
+def seen_at(firsts: DataFrame, cuts: DataFrame) -> DataFrame:
+    """(perm, x, seen): clusters whose least key is at or below the cut of each grid point."""
+    located = firsts.select(F.posexplode("keys").alias("perm", "key")).join(cuts, "perm")
+    per_slot = located.select("perm", F.expr("size(filter(cuts, c -> c < key))").alias("slot")).groupBy("perm", "slot").agg(F.count(F.lit(1)).alias("_n"))
+    frame = cuts.select("perm", F.posexplode("xs").alias("slot", "x"))
     filled = frame.join(per_slot, ["perm", "slot"], "left").fillna(0, ["_n"])
     along = Window.partitionBy("perm").orderBy("slot").rowsBetween(Window.unboundedPreceding, 0)
     return filled.select("perm", "x", F.sum("_n").over(along).alias("seen"))
 
 
+def even_grid(total: Column, grid: int) -> Column:
+    """``grid`` evenly spaced whole numbers from 1 to ``total``, repeated ones once."""
+    points = F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda i: F.round(1 + i * (total - 1) / (grid - 1)).cast("long"))
+    return F.array_distinct(points).alias("_xs")
+
+
+def accumulation_curve(pairs: DataFrame, n_perm: int, seed: int, grid: int = 50) -> DataFrame:
+    """Clusters seen after the first x genomes: mean and 2.5/97.5 % band over seeded orders."""
+    units = pairs.select("genome").distinct().withColumn("_one", F.lit(1).cast("long"))
+    xs = units.agg(even_grid(F.count(F.lit(1)), grid))
+    return _band(seen_at(least_keys(pairs, "genome", n_perm, seed), key_cuts(units, "genome", "_one", xs, n_perm, seed)))
+
+
 def _band(curves: DataFrame) -> DataFrame:
     return curves.groupBy("x").agg(
         F.avg("seen").alias("mean"),
@@ -209,16 +246,14 @@ def _band(curves: DataFrame) -> DataFrame:
 def block_accumulation_curve(pairs: DataFrame, blocks: DataFrame, n_perm: int, seed: int, grid: int = 50) -> DataFrame:
     """Accumulation with whole blocks (studies) in random order, read at the last complete block.
 
-    A cluster is first seen when the first block holding it is complete, so its position
-    is the cumulative number of genomes at the end of that block.
+    A cluster is first seen when the first block holding it is complete: a block weighs its genomes, and x genomes
+    reach as far as the blocks that fit into x.
     """
     members = pairs.select("genome").distinct().join(blocks.select("genome", "block"), "genome")
     sizes = members.groupBy("block").agg(F.count(F.lit(1)).alias("_size"))
-    order = permutations(sizes, "block", n_perm, seed).join(sizes, "block")
-    upto = Window.partitionBy("perm").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    ends = order.select("perm", "block", F.sum("_size").over(upto).alias("position"))
     block_pairs = pairs.join(members, "genome").select("cluster_id", "block").distinct()
-    return _curve_from_positions(block_pairs, ends, "block", grid)
+    xs = sizes.agg(even_grid(F.sum("_size"), grid))
+    return _band(seen_at(least_keys(block_pairs, "block", n_perm, seed), key_cuts(sizes, "block", "_size", xs, n_perm, seed)))
 
 
 def expected_accumulation(pairs: DataFrame, xs: Sequence[int]) -> DataFrame:
@@ -269,10 +304,9 @@ def habitat_richness_null(pairs: DataFrame, facts: DataFrame, n_perm: int, seed:
         F.count_distinct("cluster_id").alias("observed"), F.count_distinct("genome").alias("n_genomes")
     )
     observed = observed.where(F.col("n_genomes") >= min_genomes)
-    order = permutations(pairs, "genome", n_perm, seed)
-    firsts = pairs.join(order, "genome").groupBy("perm", "cluster_id").agg(F.min("position").alias("first"))
-    grid = observed.agg(F.array_sort(F.collect_set("n_genomes")).alias("_xs"))
-    drawn = _seen_at(firsts, grid)
+    units = pairs.select("genome").distinct().withColumn("_one", F.lit(1).cast("long"))
+    sizes = observed.agg(F.array_sort(F.collect_set("n_genomes")).alias("_xs"))
+    drawn = seen_at(least_keys(pairs, "genome", n_perm, seed), key_cuts(units, "genome", "_one", sizes, n_perm, seed))
     null = observed.join(drawn, F.col("n_genomes") == F.col("x"))
     return null.groupBy("habitat", "observed", "n_genomes").agg(
         F.avg("seen").alias("expected"),
@@ -299,10 +333,10 @@ def rare_cluster_share(pairs: DataFrame, facts: DataFrame, rare_max: int = 5) ->
 def stratified_sample(rows: DataFrame, stratum: str, key: str, size: int, seed: int) -> DataFrame:
     """Proportional sample of about ``size`` rows, at least one per stratum, the same on every run.
 
-    Rows are ordered by a seeded hash; positions are found per hash bucket.
+    Rows are ordered by a seeded digest; positions are found per digest bucket.
     """
-    keyed = rows.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
-    indexed = ordered_index(keyed, [stratum], F.shiftright("_h", 52), ["_h", key], "_i", total="_n")
+    keyed = rows.withColumn("_h", order_key(F.col(key), F.lit(0), seed))
+    indexed = ordered_index(keyed, [stratum], F.shiftright("_h", BUCKET_SHIFT), ["_h", key], "_i", total="_n")
     counts = rows.agg(F.count(F.lit(1)).alias("_all"))
     quota = F.greatest(F.lit(1), F.round(F.lit(size) * F.col("_n") / F.col("_all")))
     picked = indexed.withColumn("_all", counts.scalar()).where(F.col("_i") < quota)

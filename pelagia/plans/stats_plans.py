@@ -283,9 +283,22 @@ def ag66(spark, sf):
     return richness.richness_by_study(pairs(spark, sf), rel(spark, sf, "facts"))
 
 
-@query("opg10_accumulation_genome_order")
+def _orders_sql(unit: str, weight: str) -> str:
+    """Twenty seeded orders of the rows of ``units``: each unit with the total weight up to and with it."""
+    return f"""o AS (SELECT perm, {unit}, key, CAST(sum({weight}) OVER (PARTITION BY perm ORDER BY key) AS BIGINT) AS upto
+        FROM (SELECT perm, {unit}, {weight}, substr(md5({unit} || '|' || perm || '|7'), 1, 15) AS key FROM units, range(20) r(perm)))"""
+
+
+GRID_SQL = "xs AS (SELECT DISTINCT CAST(round(1 + i * (t - 1) / 49) AS BIGINT) AS x FROM (SELECT sum({weight}) AS t FROM units), range(50) g(i))"
+BAND_SQL = """c AS (SELECT f.perm, x, count(*) FILTER (f.upto <= x) AS seen FROM f, xs GROUP BY ALL),
+    band AS (SELECT x, round(avg(seen), 6) AS mean, round(quantile_cont(seen, 0.025), 6) AS low, round(quantile_cont(seen, 0.975), 6) AS high FROM c GROUP BY x)"""
+CURVE_SQL = f"""{SMALL_SQL}, units AS (SELECT DISTINCT genome, 1 AS w FROM links), {_orders_sql('genome', 'w')}, {GRID_SQL.format(weight='w')},
+    f AS (SELECT perm, cluster_id, min(upto) AS upto FROM links JOIN o USING (genome) GROUP BY ALL), {BAND_SQL}"""
+
+
+@query("opg10_accumulation_genome_order", f"WITH {CURVE_SQL} SELECT * FROM band", ("members",))
 def opg10(spark, sf):
-    return richness.accumulation_curve(_target_pairs(spark, sf), n_perm=20, seed=7)
+    return rounded(richness.accumulation_curve(_target_pairs(spark, sf), n_perm=20, seed=7), "mean", "low", "high")
 
 
 @query(
@@ -299,15 +312,33 @@ def opg10_expected(spark, sf):
     return rounded(richness.expected_accumulation(_target_pairs(spark, sf), [1, 10, 50, 200, 400]), "expected", digits=4)
 
 
-@query("opg11_accumulation_study_blocks")
+@query(
+    "opg11_accumulation_study_blocks",
+    f"""WITH {SMALL_SQL}, m AS (SELECT genome, study FROM (SELECT DISTINCT genome FROM links) JOIN facts USING (genome)),
+        units AS (SELECT study, count(*) AS w FROM m GROUP BY 1), {_orders_sql('study', 'w')}, {GRID_SQL.format(weight='w')},
+        f AS (SELECT perm, cluster_id, min(upto) AS upto FROM links JOIN m USING (genome) JOIN o USING (study) GROUP BY ALL), {BAND_SQL} SELECT * FROM band""",
+    ("members", "facts"),
+)
 def opg11(spark, sf):
     blocks = rel(spark, sf, "facts").select("genome", F.col("study").alias("block"))
-    return richness.block_accumulation_curve(_target_pairs(spark, sf), blocks, n_perm=20, seed=7)
+    return rounded(richness.block_accumulation_curve(_target_pairs(spark, sf), blocks, n_perm=20, seed=7), "mean", "low", "high")
 
 
-@query("opg12_habitat_richness_null")
+@query(
+    "opg12_habitat_richness_null",
+    f"""WITH {SMALL_SQL}, units AS (SELECT DISTINCT genome, 1 AS w FROM links), {_orders_sql('genome', 'w')},
+        h AS (SELECT habitat, count(DISTINCT cluster_id) AS observed, count(DISTINCT genome) AS n_genomes FROM links JOIN facts USING (genome)
+              GROUP BY habitat HAVING count(DISTINCT genome) >= 20),
+        f AS (SELECT perm, cluster_id, min(upto) AS upto FROM links JOIN o USING (genome) GROUP BY ALL),
+        c AS (SELECT habitat, observed, n_genomes, perm, count(*) FILTER (upto <= n_genomes) AS seen FROM h, f GROUP BY ALL)
+        SELECT habitat, observed, n_genomes, round(avg(seen), 6) AS expected, round(quantile_cont(seen, 0.025), 6) AS low,
+               round(quantile_cont(seen, 0.975), 6) AS high, round(observed / avg(seen), 6) AS ratio,
+               round((count(*) FILTER (seen <= observed) + 1) / (count(*) + 1), 6) AS p_low FROM c GROUP BY habitat, observed, n_genomes""",
+    ("members", "facts"),
+)
 def opg12(spark, sf):
-    return richness.habitat_richness_null(_target_pairs(spark, sf), rel(spark, sf, "facts"), n_perm=20, seed=7)
+    out = richness.habitat_richness_null(_target_pairs(spark, sf), rel(spark, sf, "facts"), n_perm=20, seed=7)
+    return rounded(out, "expected", "low", "high", "ratio", "p_low")
 
 
 @query(
@@ -322,11 +353,23 @@ def opg12_rare(spark, sf):
     return rounded(out, "rare_share", "log2_enrichment")
 
 
-@query("opg13_terminal_discovery_rate")
+@query(
+    "opg13_terminal_discovery_rate",
+    f"""WITH {CURVE_SQL}, e AS (SELECT max(x) AS top FROM band), s AS (SELECT max(x) AS x FROM band, e WHERE x <= top * 0.95)
+        SELECT round((b.mean - a.mean) / (b.x - a.x), 6) AS terminal_rate FROM e JOIN band b ON b.x = top CROSS JOIN s JOIN band a ON a.x = s.x""",
+    ("members",),
+)
 def opg13(spark, sf):
-    return richness.terminal_rate(richness.accumulation_curve(_target_pairs(spark, sf), n_perm=20, seed=7))
+    curve = richness.accumulation_curve(_target_pairs(spark, sf), n_perm=20, seed=7)
+    return rounded(richness.terminal_rate(curve), "terminal_rate")
 
 
-@query("opg14_stratified_sample")
+@query(
+    "opg14_stratified_sample",
+    """WITH k AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY phylum ORDER BY substr(md5(genome || '|0|11'), 1, 15), genome) AS _i,
+          count(*) OVER (PARTITION BY phylum) AS _n, count(*) OVER () AS _all FROM facts)
+       SELECT * EXCLUDE (_i, _n, _all) FROM k WHERE _i <= greatest(1, round(100.0 * _n / _all))""",
+    ("facts",),
+)
 def opg14(spark, sf):
     return richness.stratified_sample(rel(spark, sf, "facts"), "phylum", "genome", 100, seed=11)
