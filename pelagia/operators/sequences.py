@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pelagia.functions.text import AMINO_ACIDS, kmers
-from pelagia.operators.graph import component_of_all, connected_components, longest_member
 from pelagia.session import cut_lineage
 
 
@@ -65,37 +64,6 @@ def kmer_sets(sequences: DataFrame, key: str, k: int) -> DataFrame:
     return sequences.select(key, F.length("sequence").alias("length"), hashed.alias("kmers"))
 
 
-def cluster_by_kmers(
-    sequences: DataFrame, key: str, k: int = 8, min_shared: float = 0.8, min_length_ratio: float = 0.9
-) -> DataFrame:
-    """Clusters of similar sequences: (member, rep) with the longest member as representative.
-
-    Each distinct sequence offers all its k-mers; within a k-mer group every
-    sequence is compared with the longest one only, so the work is linear in the number
-    of k-mers whatever the group sizes.  Kept links become connected components.
-    Similarity is the share of the shorter sequence's k-mers, not alignment identity.
-    """
-    distinct = sequences.groupBy("sequence").agg(F.min(key).alias(key))
-    sets = kmer_sets(distinct, key, k).where(F.size("kmers") > 0)
-    offers = sets.select(key, "length", "kmers", F.explode("kmers").alias("_k"))
-    centres = offers.groupBy("_k").agg(F.min_by(key, F.struct(-F.col("length"), F.col(key))).alias("_centre"))
-    links = offers.select(key, "_k").join(centres, "_k").where(F.col(key) != F.col("_centre")).select(key, "_centre").distinct()
-    left = sets.select(key, F.col("length").alias("_la"), F.col("kmers").alias("_ka"))
-    right = sets.select(F.col(key).alias("_centre"), F.col("length").alias("_lb"), F.col("kmers").alias("_kb"))
-    both = links.join(left, key).join(right, "_centre")
-    shared = F.size(F.array_intersect("_ka", "_kb")) / F.least(F.size("_ka"), F.size("_kb"))
-    ratio = F.least("_la", "_lb") / F.greatest("_la", "_lb")
-    edges = both.where((shared >= min_shared) & (ratio >= min_length_ratio))
-    components = connected_components(edges.select(F.col(key).alias("src"), F.col("_centre").alias("dst")))
-    labelled = component_of_all(distinct.select(key, F.length("sequence").alias("length")), components, key)
-    reps = longest_member(labelled, "component", key, "length").select("component", F.col("representative").alias("rep"))
-    by_sequence = labelled.join(reps, "component").select(key, "rep").join(distinct, key).select("sequence", "rep")
-    hashed = by_sequence.withColumn("_h", F.xxhash64("sequence")).withColumnRenamed("sequence", "_s")
-    mine = sequences.withColumn("_mh", F.xxhash64("sequence"))
-    same = (F.col("_mh") == F.col("_h")) & (F.col("sequence") == F.col("_s"))
-    return mine.join(hashed, same).select(F.col(key).alias("member"), "rep")
-
-
 def kmer_search(
     queries: DataFrame, targets: DataFrame, k: int = 8, min_containment: float = 0.2
 ) -> DataFrame:
