@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.functions.geo import ocean_basin
-from pelagia.operators.ordering import first_by
+from pelagia.operators.ordering import block_pairs, first_by
 from pelagia.operators.richness import permutations
 from pelagia.session import cut_lineage
 
@@ -37,14 +37,12 @@ def site_cluster_counts(
 def community_distances(counts: DataFrame) -> DataFrame:
     """Bray–Curtis and Jaccard dissimilarity of every pair of sites (a < b) that share a cluster.
 
-    Only pairs that share a cluster are made, and the minima are summed map-side.
+    All other pairs are at distance 1 and are not listed. Clusters of many sites are joined block by block, and the
+    minima are summed map-side.
     """
     totals = counts.groupBy("site").agg(F.sum("n").alias("_s"), F.count(F.lit(1)).alias("_k"))
-    other = counts.select(F.col("site").alias("site_b"), "cluster_id", F.col("n").alias("_nb"))
-    met = counts.select(F.col("site").alias("site_a"), "cluster_id", F.col("n").alias("_na")).join(other, "cluster_id")
-    shared = met.where("site_a < site_b").groupBy("site_a", "site_b").agg(
-        F.sum(F.least("_na", "_nb")).alias("_min"), F.count(F.lit(1)).alias("_both")
-    )
+    met = block_pairs(counts.select("site", "cluster_id", "n"), "cluster_id", "site")
+    shared = met.groupBy("site_a", "site_b").agg(F.sum(F.least("n_a", "n_b")).alias("_min"), F.count(F.lit(1)).alias("_both"))
     ta = totals.select(F.col("site").alias("site_a"), F.col("_s").alias("_sa"), F.col("_k").alias("_ka"))
     tb = totals.select(F.col("site").alias("site_b"), F.col("_s").alias("_sb"), F.col("_k").alias("_kb"))
     joined = shared.join(ta, "site_a").join(tb, "site_b")
@@ -126,25 +124,34 @@ def principal_coordinates(pairs: DataFrame, value: str, n_components: int = 2) -
     return out.select("site", *axes)
 
 
-def mantel_test(pairs: DataFrame, a: str, b: str, n_perm: int = 999, seed: int = 0) -> DataFrame:
-    """Pearson r of two distances over the same site pairs, and its add-one permutation p.
+def mantel_test(shared: DataFrame, sites: DataFrame, a: str, b: str, n_perm: int = 999, seed: int = 0) -> DataFrame:
+    """Pearson r of two distances over all pairs of sites, and its two-sided, add-one permutation p.
 
-    Sites are relabelled by seeded permutations, and the permuted distance is fetched by
-    its pair; each permutation is one ``corr`` over the pair table.
+    ``shared`` lists the pairs (site_a < site_b) with a distance below 1; every other pair of ``sites`` is at 1 in both.
+    With s = 1 - d the rest are zeros, means and variances are sums over the listed pairs, and relabelling the sites of
+    one distance changes none of them: a permutation only needs the sum of products of pairs listed on both sides, so
+    the full table of pairs is never made. Site i becomes the site that stands in the first order where i stands in the
+    permutation's. r and p are null where a distance does not vary.
     """
-    pairs = cut_lineage(pairs.select("site_a", "site_b", a, b))
-    observed = pairs.agg(F.corr(a, b).alias("r"))
-    sites = pairs.select(F.col("site_a").alias("site")).union(pairs.select("site_b")).distinct()
-    numbered = sites.withColumn("_no", F.row_number().over(Window.orderBy("site")))
-    order = permutations(sites, "site", n_perm, seed)
-    moved = order.join(numbered.select(F.col("site").alias("to"), F.col("_no").alias("position")), "position").select("perm", "site", "to")
+    pairs = cut_lineage(shared.select("site_a", "site_b", (1 - F.col(a)).alias("s"), (1 - F.col(b)).alias("t")))
+    names = sites.select("site").distinct()
+    n = names.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    products = {"s": F.col("s"), "t": F.col("t"), "ss": F.col("s") * F.col("s"), "tt": F.col("t") * F.col("t"), "st": F.col("s") * F.col("t")}
+    sums = pairs.agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(f"_{k}") for k, v in products.items()])
+    orders = cut_lineage(permutations(names, "site", n_perm + 1, seed))
+    start = orders.where("perm = 0").select(F.col("site").alias("to"), "position")
+    moved = orders.where("perm > 0").join(start, "position").select("perm", "site", "to")
     first = moved.select("perm", F.col("site").alias("site_a"), F.col("to").alias("_ta"))
     second = moved.select("perm", F.col("site").alias("site_b"), F.col("to").alias("_tb"))
-    opened = pairs.select("site_a", "site_b", F.col(a).alias("_a")).join(first, "site_a").join(second, ["perm", "site_b"])
-    keyed = opened.select("perm", "_a", F.least("_ta", "_tb").alias("site_a"), F.greatest("_ta", "_tb").alias("site_b"))
-    permuted = keyed.join(pairs.select("site_a", "site_b", F.col(b).alias("_b")), ["site_a", "site_b"])
-    null = permuted.groupBy("perm").agg(F.corr("_a", "_b").alias("rp")).withColumn("r", observed.scalar())
+    opened = pairs.select("site_a", "site_b", "s").join(first, "site_a").join(second, ["perm", "site_b"])
+    keyed = opened.select("perm", "s", F.least("_ta", "_tb").alias("site_a"), F.greatest("_ta", "_tb").alias("site_b"))
+    met = keyed.join(pairs.select("site_a", "site_b", "t"), ["site_a", "site_b"]).groupBy("perm").agg(F.sum(F.col("s") * F.col("t")).alias("_p"))
+    every = orders.where("perm > 0").select("perm").distinct().join(met, "perm", "left").fillna(0.0, ["_p"])
+    known = sums.withColumn("_n", n.scalar()).withColumn("_m", F.col("_n") * (F.col("_n") - 1) / 2)
+    spread = F.sqrt((F.col("_m") * F.col("_ss") - F.col("_s") * F.col("_s")) * (F.col("_m") * F.col("_tt") - F.col("_t") * F.col("_t")))
+    r = lambda product: F.try_divide(F.col("_m") * product - F.col("_s") * F.col("_t"), spread)
+    null = every.join(F.broadcast(known)).select(r(F.col("_st")).alias("r"), r(F.col("_p")).alias("rp"))  # one row of sums
     return null.groupBy("r").agg(
-        ((F.count_if(F.abs("rp") >= F.abs("r")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"),
+        F.when(F.col("r").isNotNull(), (F.count_if(F.abs("rp") >= F.abs("r")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"),
         F.count(F.lit(1)).alias("n_permutations"),
     )

@@ -139,12 +139,19 @@ def candidate_verdicts(candidates: DataFrame, targets: DataFrame, bad_targets: D
 def shared_genome_pairs(hits: DataFrame, links: DataFrame) -> DataFrame:
     """Hits whose two members occur in one genome, once per shared genome; self hits left out.
 
-    The hits are the pair list, so nothing is paired that was not aligned.  Both joins
-    are on (member, genome), which spreads a hot genome over its members.
+    The hits are the pair list, so nothing is paired that was not aligned. A pair of members is opened by the genomes
+    of the member that has fewer, and the other is asked for each, so a member of many genomes multiplies nothing; hits
+    that repeat a pair come in again at the end. Members without genomes drop out before.
     """
-    pairs = hits.where(F.col("query") != F.col("target"))
-    left = pairs.join(links.select(F.col("target").alias("query"), "genome").distinct(), "query")
-    return left.join(links.select("target", "genome").distinct(), ["target", "genome"])
+    links = links.select("target", "genome").distinct()
+    sizes = links.groupBy("target").agg(F.count(F.lit(1)).alias("_n"))
+    named = hits.where(F.col("query") != F.col("target")).select("query", "target").distinct()
+    sized = named.join(sizes.select(F.col("target").alias("query"), F.col("_n").alias("_nq")), "query").join(sizes.withColumnRenamed("_n", "_nt"), "target")
+    fewer = F.col("_nq") <= F.col("_nt")
+    sides = sized.select("query", "target", F.when(fewer, F.col("query")).otherwise(F.col("target")).alias("_few"), F.when(fewer, F.col("target")).otherwise(F.col("query")).alias("_many"))
+    opened = sides.join(links.select(F.col("target").alias("_few"), "genome"), "_few")
+    met = opened.join(links.select(F.col("target").alias("_many"), "genome"), ["_many", "genome"]).select("query", "target", "genome")
+    return hits.join(met, ["query", "target"])
 
 
 def near_duplicate_share(pairs: DataFrame, by: Sequence[str] = ("genome",), cut: float = 95.0) -> DataFrame:

@@ -54,6 +54,26 @@ def ordered_index(
     return joined.withColumn(name, F.col("_local") + F.col("_offset")).drop("_bucket", "_local", "_offset")
 
 
+def block_pairs(rows: DataFrame, key: str, member: str, block: int = 2048) -> DataFrame:
+    """Pairs of rows that share ``key``, once per two members: columns with ``_a`` and ``_b``, the lesser member in a.
+
+    A key with more than ``block`` rows is dealt to g blocks by a hash of the member and joined as g(g+1)/2 pairs of
+    blocks, so that no task reads more than two blocks of it. Each row is copied g + 1 times, others twice.
+    ``member`` is unique within a key; rows with a null key meet nobody.
+    """
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > block)
+    hot = hot.select(key, F.ceil(F.col("_n") / block).cast("int").alias("_g"))
+    dealt = rows.join(hot, key, "left").withColumn("_g", F.coalesce("_g", F.lit(1)))
+    dealt = dealt.withColumn("_own", F.pmod(F.xxhash64(member), F.col("_g")).cast("int"))
+    others = [c for c in rows.columns if c != key]
+    left = dealt.select(key, F.col("_own").alias("_first"), F.explode(F.sequence("_own", F.col("_g") - 1)).alias("_second"), *[F.col(c).alias(f"_{c}_x") for c in others])
+    right = dealt.select(key, F.explode(F.sequence(F.lit(0), "_own")).alias("_first"), F.col("_own").alias("_second"), *[F.col(c).alias(f"_{c}_y") for c in others])
+    x, y = F.col(f"_{member}_x"), F.col(f"_{member}_y")
+    met = left.join(right, [key, "_first", "_second"]).where((x < y) | ((F.col("_first") < F.col("_second")) & (x > y)))
+    pick = lambda c, this, that: F.when(x < y, F.col(f"_{c}_{this}")).otherwise(F.col(f"_{c}_{that}"))
+    return met.select(key, *[pick(c, "x", "y").alias(f"{c}_a") for c in others], *[pick(c, "y", "x").alias(f"{c}_b") for c in others])
+
+
 def coarse_key(value: Column) -> Column:
     """An integer that never decreases with ``value`` and keeps three significant digits."""
     size = F.abs(value)

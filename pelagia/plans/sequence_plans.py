@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pelagia.operators import community, sequences
+from pelagia.operators import community, greedy_clusters, sequences
 from pelagia.plans.common import F, rel, rounded, table
 from pelagia.plans.function_plans import LETTERS, letters
 from pelagia.plans.registry import query
@@ -27,9 +27,26 @@ def opg5_projection(spark, sf):
     return sequences.project_two(sequences.composition_vectors(documents(spark, sf), "id", 2), "id")
 
 
-@query("opg7_kmer_clusters")
+@query(
+    "opg7_kmer_clusters",
+    """WITH RECURSIVE t AS (SELECT doc_id, upper(regexp_replace(coalesce(text, ''), '[^A-Za-z]', '', 'g')) AS s FROM documents),
+       d AS (SELECT min(doc_id) AS id, s FROM t GROUP BY s),
+       km AS (SELECT DISTINCT id, substr(s, i, 8) AS k FROM (SELECT id, s, unnest(range(1, length(s) - 6)) AS i FROM d)),
+       n AS (SELECT id, count(*) AS n, length(any_value(s)) AS len FROM km JOIN d USING (id) GROUP BY id),
+       r AS (SELECT id, n, len, ROW_NUMBER() OVER (ORDER BY n DESC, md5(CAST(id AS VARCHAR)), id) AS r FROM n),
+       sh AS (SELECT a.id AS x, b.id AS y, count(*) AS c FROM km a JOIN km b ON a.k = b.k AND a.id <> b.id GROUP BY ALL),
+       nb AS (SELECT v.r, list(u.r) AS earlier FROM sh JOIN r v ON v.id = x JOIN r u ON u.id = y
+              WHERE u.r < v.r AND c >= ceil(round(v.n * 0.8, 9)) AND least(u.len, v.len) >= 0.9 * greatest(u.len, v.len) GROUP BY v.r),
+       g(step, reps) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL
+              SELECT step + 1, CASE WHEN list_has_any(reps, coalesce(earlier, [])) THEN reps ELSE list_append(reps, step + 1) END
+              FROM g LEFT JOIN nb ON nb.r = step + 1 WHERE step < (SELECT count(*) FROM r)),
+       z AS (SELECT reps FROM g ORDER BY step DESC LIMIT 1),
+       p AS (SELECT r.id, coalesce(list_min(list_intersect(earlier, reps)), r.r) AS rr FROM r LEFT JOIN nb USING (r), z),
+       w AS (SELECT p.id, q.id AS rep FROM p JOIN r q ON q.r = p.rr)
+       SELECT t.doc_id AS member, coalesce(w.rep, d.id) AS rep FROM t JOIN d USING (s) LEFT JOIN w ON w.id = d.id""",
+)
 def opg7(spark, sf):
-    return sequences.cluster_by_kmers(documents(spark, sf), "id")
+    return greedy_clusters.cluster_by_kmers(documents(spark, sf), "id")
 
 
 @query(
@@ -138,9 +155,10 @@ DIST_SQL = f"""{SITE_SQL}, t AS (SELECT site, sum(n) AS s, count(*) AS c FROM k
            FROM t x JOIN t y ON x.site < y.site LEFT JOIN sh ON sh.site_a = x.site AND sh.site_b = y.site)"""
 
 
-@query("opg2_community_distances", f"WITH {DIST_SQL} SELECT site_a, site_b, round(bray_curtis, 6) AS bray_curtis, round(jaccard, 6) AS jaccard FROM ds", NEEDS)
+@query("opg2_community_distances", f"WITH {DIST_SQL} SELECT site_a, site_b, round(bray_curtis, 6) AS bray_curtis, round(jaccard, 6) AS jaccard FROM ds WHERE jaccard < 1", NEEDS)
 def opg2(spark, sf):
-    return rounded(_distances(spark, sf), "bray_curtis", "jaccard")
+    """Pairs that share a cluster; every other pair is at distance 1."""
+    return rounded(community.community_distances(sites(spark, sf)[0]), "bray_curtis", "jaccard")
 
 
 def _distances(spark, sf):
@@ -163,9 +181,19 @@ def opg3(spark, sf):
     return community.principal_coordinates(_distances(spark, sf), "bray_curtis")
 
 
-@query("opg4_mantel_test")
+@query(
+    "opg4_mantel_test",
+    f"""WITH {DIST_SQL}, od AS (SELECT perm, site, ROW_NUMBER() OVER (PARTITION BY perm ORDER BY substr(md5(site || '|' || perm || '|3'), 1, 15), site) AS pos FROM t, range(100) r(perm)),
+        mv AS (SELECT o.perm, o.site, z.site AS dest FROM od o JOIN od z ON z.perm = 0 AND z.pos = o.pos WHERE o.perm > 0),
+        pm AS (SELECT x.perm, d.bray_curtis AS va, least(x.dest, y.dest) AS p, greatest(x.dest, y.dest) AS q FROM ds d JOIN mv x ON x.site = d.site_a JOIN mv y ON y.site = d.site_b AND y.perm = x.perm),
+        nl AS (SELECT perm, corr(va, e.jaccard) AS rp FROM pm JOIN ds e ON e.site_a = p AND e.site_b = q GROUP BY perm), ob AS (SELECT corr(bray_curtis, jaccard) AS r FROM ds)
+        SELECT round(any_value(r), 6) AS r, round((count(*) FILTER (abs(rp) >= abs(r)) + 1) / (count(*) + 1), 6) AS p_value, count(*) AS n_permutations FROM nl, ob""",
+    NEEDS,
+)
 def opg4(spark, sf):
-    return community.mantel_test(_distances(spark, sf), "bray_curtis", "jaccard", n_perm=99, seed=3)
+    counts, meta = sites(spark, sf)
+    found = community.mantel_test(community.community_distances(counts), meta, "bray_curtis", "jaccard", n_perm=99, seed=3)
+    return rounded(found, "r", "p_value")
 
 
 @query("opg4_mantel_statistic", f"WITH {DIST_SQL} SELECT round(corr(bray_curtis, jaccard), 6) AS r FROM ds", NEEDS)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from pelagia.functions.tails import fisher_two_sided
 from pelagia.operators import (
-    audit, community, ecology, enrich, graph, hits, matrix, neighborhood, reference, richness, sequences, spatial, stats,
+    audit, community, ecology, enrich, farthest, graph, greedy_clusters, hits, matrix, neighborhood, reference, richness, sequences, spatial, stats,
 )
 
 ECO = "target_id string, genome string, lat double, lon double, depth_m double, genus string, phylum string, study string, ord int"
@@ -32,7 +32,7 @@ def test_dispersion_limits(frame):
     same = frame([("c", f"g{i}", 12.0, 34.0) for i in range(5)], "cluster_id string, genome string, lat double, lon double")
     opposite = frame([("c", "a", 0.0, 0.0), ("c", "b", 0.0, 180.0)], "cluster_id string, genome string, lat double, lon double")
     assert ecology.spherical_dispersion(same).first()["resultant_length"] == pytest.approx(1.0)
-    assert ecology.max_pairwise_km(same).first()["max_pairwise_km"] == pytest.approx(0.0)
+    assert farthest.farthest_km(same).first()["max_pairwise_km"] == pytest.approx(0.0)
     assert ecology.spherical_dispersion(opposite).first()["resultant_length"] < 0.01
 
 
@@ -254,7 +254,8 @@ def test_mantel(frame):
     a = (a + a.T) / 2
     noisy = a + rng.random((14, 14)) * 0.01
     pairs = _pairs(frame, a).withColumnRenamed("d", "x").join(_pairs(frame, noisy).withColumnRenamed("d", "y"), ["site_a", "site_b"])
-    out = community.mantel_test(pairs, "x", "y", n_perm=49, seed=1).first()
+    sites = frame([(f"s{i:02d}",) for i in range(14)], "site string")
+    out = community.mantel_test(pairs, sites, "x", "y", n_perm=49, seed=1).first()
     assert out["r"] > 0.9 and 0 < out["p_value"] < 0.05
 
 
@@ -264,7 +265,7 @@ def test_kmer_clusters_group_copies(frame):
     rows = []
     for i, s in enumerate(base):
         rows += [(f"m{i}_{j}", s) for j in range(3)] + [(f"m{i}_x", s[:-2] + "AA")]
-    out = {r["member"]: r["rep"] for r in sequences.cluster_by_kmers(frame(rows, "id string, sequence string"), "id").collect()}
+    out = {r["member"]: r["rep"] for r in greedy_clusters.cluster_by_kmers(frame(rows, "id string, sequence string"), "id").collect()}
     assert len(out) == len(rows) and len(set(out.values())) == 4
     assert all(out[m].split("_")[0] == m.split("_")[0] for m in out)
 

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pelagia.operators import ecology, graph, richness
+from pelagia.operators import ecology, farthest, graph, richness
 
 
 @pytest.fixture(scope="module")
@@ -83,7 +83,7 @@ def test_farthest_pair_against_loops(spark):
         h = math.sin((p2 - p1) / 2) ** 2 + math.cos(p1) * math.cos(p2) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
         return 2 * 6371.0088 * math.asin(min(1, math.sqrt(h)))
 
-    got = ecology.max_pairwise_km(spark.createDataFrame(pts, "cluster_id string, genome string, lat double, lon double")).first()["max_pairwise_km"]
+    got = farthest.farthest_km(spark.createDataFrame(pts, "cluster_id string, genome string, lat double, lon double")).first()["max_pairwise_km"]
     assert got == pytest.approx(max(km(a, b) for a in pts for b in pts), abs=1e-3)
 
 
