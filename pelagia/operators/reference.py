@@ -220,58 +220,6 @@ def run_log_row(rows: DataFrame, database: str, query: str, by: str) -> DataFram
     )
 
 
-# ---- master view -----------------------------------------------------------------------
-
-
-def distinct_text(value: Column) -> Column:
-    """Sorted distinct non-blank values joined by ``|``, NULL when there are none."""
-    found = F.sort_array(F.collect_set(F.when(value != "", value)))
-    return F.when(F.size(found) > 0, F.array_join(found, "|"))
-
-
-def master_view(
-    proteins: DataFrame,
-    assignments: DataFrame,
-    evidence: DataFrame,
-    phenotypes: DataFrame,
-    evidence_cols: Sequence[str],
-    phenotype_cols: Sequence[str],
-) -> DataFrame:
-    """Proteins with assignments, evidence and phenotypes; every child is grouped before it is joined.
-
-    A protein without a family appears once with a NULL family.
-    """
-    by_evidence = evidence.groupBy("protein_id").agg(*[distinct_text(F.col(c)).alias(c) for c in evidence_cols])
-    substrate = F.when(F.col("phenotype_type") == "substrate_specificity", F.col("phenotype_raw"))
-    references = F.sort_array(
-        F.array_distinct(
-            F.concat(
-                F.collect_set(F.when(F.col("literature_pmids") != "", F.col("literature_pmids"))),
-                F.collect_set(F.when(F.col("literature_dois") != "", F.col("literature_dois"))),
-            )
-        )
-    )
-    by_phenotype = phenotypes.groupBy("protein_id").agg(
-        *[distinct_text(F.col(c)).alias(c) for c in phenotype_cols],
-        distinct_text(substrate).alias("substrate_specificity_text"),
-        F.when(F.size(references) > 0, F.array_join(references, "|")).alias("phenotype_references"),
-    )
-    return (
-        proteins.join(assignments, "protein_id", "left")
-        .join(by_evidence, "protein_id", "left")
-        .join(by_phenotype, "protein_id", "left")
-    )
-
-
-def master_export(view: DataFrame, columns: Sequence[str], token_columns: Sequence[str]) -> DataFrame:
-    """Fixed column order with repeated tokens removed; columns the view lacks are NULL."""
-    out = []
-    for name in columns:
-        column = F.col(name) if name in view.columns else F.lit(None).cast("string")
-        out.append((dedupe_tokens(column) if name in token_columns else column).alias(name))
-    return view.select(*out)
-
-
 # ---- exact duplicates and cluster write-back -------------------------------------------
 
 

@@ -93,6 +93,69 @@ BINDINGS: dict[str, str] = {
     "bad_targets": """
         SELECT CAST(p_partkey AS STRING) AS target FROM {part} WHERE p_size = 13
     """,
+    # the four tables of the protein database; every line item is a row of one of the children
+    "core_protein": """
+        SELECT CAST(p_partkey AS STRING) AS protein_id,
+               'P' || CAST(p_partkey AS STRING) AS uniprot_accession,
+               p_type || '|' || p_brand || '|' || p_type AS secondary_accessions,
+               CASE WHEN p_partkey % 3 = 0 THEN 'reviewed' ELSE 'unreviewed' END AS reviewed,
+               p_name AS protein_name,
+               CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE p_type || '||' || p_type || '|' || p_name END AS alternative_protein_names,
+               p_brand AS gene_name,
+               CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_brand || '|c' || CAST(p_size % 7 AS STRING) END AS gene_synonyms,
+               p_type AS organism,
+               'c' || CAST(p_size % 7 AS STRING) AS strain,
+               p_size * 10 AS ncbi_taxid,
+               'root; ' || p_type AS taxonomic_lineage,
+               CASE WHEN p_partkey % 10 = 0 THEN NULL ELSE length(p_name || p_type) END AS sequence_length,
+               'sha' || CAST(p_partkey % 97 AS STRING) AS sequence_sha256,
+               CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_name || p_type END AS sequence,
+               CAST(p_size % 5 AS STRING) || ': level' AS protein_existence,
+               p_size % 6 AS annotation_score,
+               '2.3.1.' || CAST(p_size AS STRING) || '|2.3.1.' || CAST(p_size AS STRING) AS ec_numbers,
+               'RHEA:' || CAST(p_size * 100 AS STRING) AS rhea_ids,
+               CASE WHEN p_partkey % 2 = 0 THEN p_name END AS function_text,
+               p_type || ' = ' || p_brand AS catalytic_activity_text,
+               'path ' || CAST(p_size % 11 AS STRING) AS pathway_text,
+               CASE WHEN p_partkey % 6 = 0 THEN '1.1.1.36|1.1.1.36|2.3.1.9' END AS brenda_ec_numbers,
+               CAST(p_size AS STRING) || '|' || CAST(p_size + 1 AS STRING) AS brenda_record_ids,
+               'swissprot|uniprot|swissprot' AS brenda_sources,
+               'R' || CAST(p_partkey % 3 AS STRING) || '|R' || CAST(p_size % 3 AS STRING) AS source_releases,
+               '2025-01-0' || CAST(1 + p_partkey % 9 AS STRING) AS retrieved_at
+        FROM {part}
+    """,
+    "core_assignment": """
+        SELECT CAST(l_partkey AS STRING) AS protein_id, l_returnflag AS family_id,
+               min(CASE WHEN l_suppkey % 3 = 0 THEN 'sub' || l_linestatus END) AS pha_subfamily,
+               'gene_name|' || min(('m' || CAST(l_suppkey % 6 AS STRING))) || '|gene_name' AS retrieval_reasons, max(l_linestatus) || '_TIER' AS evidence_tier,
+               l_returnflag || ':' || CAST(l_partkey % 50 AS STRING) AS cluster95_id, CAST(l_partkey % 50 AS STRING) AS cluster95_representative,
+               count(*) AS cluster95_size
+        FROM {lineitem} WHERE l_linenumber IN (3, 6, 7)
+        GROUP BY l_partkey, l_returnflag
+    """,
+    "core_evidence": """
+        SELECT CAST(l_partkey AS STRING) AS protein_id, CASE WHEN l_tax > CAST(0.05 AS DOUBLE) THEN '' ELSE CAST(l_suppkey AS STRING) END AS literature_pmids,
+               CASE WHEN l_linenumber = 4 THEN l_linestatus || '/' || CAST(l_suppkey % 7 AS STRING) END AS literature_dois
+        FROM {lineitem} WHERE l_linenumber IN (1, 4)
+    """,
+    "core_phenotype": """
+        SELECT CAST(l_partkey AS STRING) AS protein_id,
+               CASE WHEN l_suppkey % 2 = 0 THEN 'substrate_specificity' ELSE 'other' END AS phenotype_type,
+               ('m' || CAST(l_suppkey % 6 AS STRING)) || ' ' || l_returnflag AS phenotype_raw,
+               CASE WHEN l_tax > CAST(0.04 AS DOUBLE) THEN 'M' || CAST(l_linenumber AS STRING) || '|M' || CAST(l_suppkey % 3 AS STRING) END AS demonstrated_monomers,
+               CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 'PH' || l_returnflag END AS demonstrated_polymers,
+               ('m' || CAST(l_suppkey % 6 AS STRING)) AS composition_text,
+               l_returnflag || '_level' AS phenotype_evidence_level,
+               CAST(l_suppkey % 10 AS STRING) AS literature_pmids,
+               CASE WHEN l_suppkey % 4 = 0 THEN NULL ELSE l_linestatus || '/' || CAST(l_suppkey % 7 AS STRING) END AS literature_dois,
+               CASE WHEN l_suppkey % 5 = 0 THEN CAST(20 + l_suppkey % 40 AS STRING) END AS temperature_optimum,
+               CASE WHEN l_suppkey % 6 = 0 THEN '10-' || CAST(30 + l_suppkey % 9 AS STRING) ELSE '' END AS temperature_range,
+               CASE WHEN l_suppkey % 7 = 1 THEN ('m' || CAST(l_suppkey % 6 AS STRING)) END AS temperature_stability,
+               CAST(5 + l_suppkey % 5 AS STRING) AS ph_optimum,
+               CASE WHEN l_suppkey % 8 = 3 THEN '6-' || CAST(7 + l_suppkey % 3 AS STRING) END AS ph_range,
+               CASE WHEN l_suppkey % 9 = 2 THEN CAST(l_suppkey AS STRING) END AS specific_activity
+        FROM {lineitem} WHERE l_linenumber IN (2, 5)
+    """,
 }
 
 

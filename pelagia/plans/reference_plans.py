@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 
+from pelagia.operators import master as master_ops
 from pelagia.operators import reference as ops
 from pelagia.plans.common import F, rel, table
 from pelagia.plans.function_plans import VOCAB, _codes_sql
 from pelagia.plans.registry import query
+from pelagia.sources.schemas import MASTER_COLUMNS
 
 # Upsert stream: events per user in event order; tokens and blanks vary with the event.
 STREAM = [
@@ -136,63 +138,59 @@ def up7(spark, sf):
     return ops.accession_coverage(wanted, entries)
 
 
-CORE_SQL = """pr AS (SELECT CAST(p_partkey AS VARCHAR) AS protein_id, p_brand AS gene_name, p_type AS organism, CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_name || p_type END AS sequence FROM part),
-    fa AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS protein_id, l_returnflag AS family FROM lineitem WHERE l_discount = 0.1 AND l_quantity > 30),
-    ev AS (SELECT CAST(l_partkey AS VARCHAR) AS protein_id, CASE WHEN l_tax > 0.05 THEN '' ELSE CAST(l_suppkey AS VARCHAR) END AS literature_pmids, l_linestatus AS literature_dois FROM lineitem WHERE l_discount = 0.02),
-    ph AS (SELECT CAST(l_partkey AS VARCHAR) AS protein_id, CASE WHEN l_linenumber > 3 THEN 'substrate_specificity' ELSE 'other' END AS phenotype_type, 'raw' || l_linenumber AS phenotype_raw,
-           CASE WHEN l_tax > 0.04 THEN 'M' || l_linenumber END AS demonstrated_monomers, l_returnflag AS phenotype_evidence_level, CAST(l_suppkey % 10 AS VARCHAR) AS literature_pmids, l_linestatus AS literature_dois FROM lineitem WHERE l_discount = 0.04)"""
+CORE = ("core_protein", "core_assignment", "core_evidence", "core_phenotype")
 
 
 def core(spark, sf):
-    line = table(spark, sf, "lineitem")
-    proteins = table(spark, sf, "part").selectExpr(
-        "CAST(p_partkey AS STRING) AS protein_id", "p_brand AS gene_name", "p_type AS organism", "CASE WHEN p_partkey % 10 = 0 THEN '' ELSE p_name || p_type END AS sequence"
-    )
-    assignments = line.where("l_discount = CAST(0.1 AS DOUBLE) AND l_quantity > 30").selectExpr("CAST(l_partkey AS STRING) AS protein_id", "l_returnflag AS family").distinct()
-    evidence = line.where("l_discount = CAST(0.02 AS DOUBLE)").selectExpr(
-        "CAST(l_partkey AS STRING) AS protein_id", "CASE WHEN l_tax > CAST(0.05 AS DOUBLE) THEN '' ELSE CAST(l_suppkey AS STRING) END AS literature_pmids", "l_linestatus AS literature_dois"
-    )
-    phenotypes = line.where("l_discount = CAST(0.04 AS DOUBLE)").selectExpr(
-        "CAST(l_partkey AS STRING) AS protein_id", "CASE WHEN l_linenumber > 3 THEN 'substrate_specificity' ELSE 'other' END AS phenotype_type", "concat('raw', l_linenumber) AS phenotype_raw",
-        "CASE WHEN l_tax > CAST(0.04 AS DOUBLE) THEN concat('M', l_linenumber) END AS demonstrated_monomers", "l_returnflag AS phenotype_evidence_level", "CAST(l_suppkey % 10 AS STRING) AS literature_pmids", "l_linestatus AS literature_dois",
-    )
-    return proteins, assignments, evidence, phenotypes
+    return tuple(rel(spark, sf, name) for name in CORE)
+
+
+def _distinct_sql(column: str, source: str | None = None, where: str | None = None) -> str:
+    """Sorted distinct values of a child column, blank ones left out unless ``where`` says otherwise."""
+    value = source or column
+    return f"string_agg(DISTINCT {value}, '|' ORDER BY {value}) FILTER ({where or value + " <> ''"}) AS {column}"
 
 
-def _distinct_sql(column: str) -> str:
-    return f"string_agg(DISTINCT {column}, '|' ORDER BY {column}) FILTER ({column} <> '')"
+def _master_sql() -> str:
+    plain = [_distinct_sql(c, master_ops.PHENOTYPE_NAMES.get(c)) for c in master_ops.PHENOTYPE_COLUMNS]
+    names = {c: f"fa.{master_ops.ASSIGNMENT_NAMES.get(c, c)} AS {c}" for c in master_ops.ASSIGNMENT_COLUMNS}
+    names |= {c: f"p.{c}" for c in master_ops.PROTEIN_COLUMNS} | {c: f"ee.{c}" for c in master_ops.EVIDENCE_COLUMNS}
+    names |= {c: f"pp.{c}" for c in master_ops.PHENOTYPE_COLUMNS} | {c: f"pp.{c}" for c in ("substrate_specificity_text", "phenotype_evidence_level")}
+    names["phenotype_references"] = "rf.phenotype_references"
+    return f"""ee AS (SELECT protein_id, {', '.join(_distinct_sql(c) for c in master_ops.EVIDENCE_COLUMNS)} FROM core_evidence GROUP BY 1),
+        pp AS (SELECT protein_id, {', '.join(plain)}, {_distinct_sql('substrate_specificity_text', 'phenotype_raw', "phenotype_type = 'substrate_specificity'")},
+               {_distinct_sql('phenotype_evidence_level', where='phenotype_evidence_level IS NOT NULL')} FROM core_phenotype GROUP BY 1),
+        rf AS (SELECT protein_id, string_agg(v, '|' ORDER BY v) AS phenotype_references FROM (SELECT protein_id, literature_pmids AS v FROM core_phenotype WHERE literature_pmids <> ''
+               UNION SELECT protein_id, literature_dois FROM core_phenotype WHERE literature_dois <> '') GROUP BY 1),
+        master AS (SELECT {', '.join(names[c] for c in MASTER_COLUMNS)} FROM core_protein p LEFT JOIN core_assignment fa ON fa.protein_id = p.protein_id
+               LEFT JOIN ee ON ee.protein_id = p.protein_id LEFT JOIN pp ON pp.protein_id = p.protein_id LEFT JOIN rf ON rf.protein_id = p.protein_id)"""
 
 
-MASTER_SQL = f"""{CORE_SQL}, ee AS (SELECT protein_id, {_distinct_sql('literature_pmids')} AS literature_pmids, {_distinct_sql('literature_dois')} AS literature_dois FROM ev GROUP BY 1),
-    pp AS (SELECT protein_id, {_distinct_sql('demonstrated_monomers')} AS demonstrated_monomers, {_distinct_sql('phenotype_evidence_level')} AS phenotype_evidence_level,
-           string_agg(DISTINCT phenotype_raw, '|' ORDER BY phenotype_raw) FILTER (phenotype_type = 'substrate_specificity') AS substrate_specificity_text FROM ph GROUP BY 1),
-    rf AS (SELECT protein_id, string_agg(v, '|' ORDER BY v) AS phenotype_references FROM (SELECT protein_id, literature_pmids AS v FROM ph UNION SELECT protein_id, literature_dois FROM ph) GROUP BY 1),
-    master AS (SELECT pr.protein_id, gene_name, organism, sequence, family, literature_pmids, literature_dois, demonstrated_monomers, phenotype_evidence_level, substrate_specificity_text, phenotype_references
-      FROM pr LEFT JOIN fa ON fa.protein_id = pr.protein_id LEFT JOIN ee ON ee.protein_id = pr.protein_id LEFT JOIN pp ON pp.protein_id = pr.protein_id LEFT JOIN rf ON rf.protein_id = pr.protein_id)"""
+MASTER_SQL = _master_sql()
 
 
 def master(spark, sf):
-    return ops.master_view(*core(spark, sf), ["literature_pmids", "literature_dois"], ["demonstrated_monomers", "phenotype_evidence_level"])
+    return master_ops.master_view(*core(spark, sf))
 
 
-@query("jn1_family_members", f"WITH {CORE_SQL} SELECT pr.protein_id, gene_name, organism, sequence, family FROM pr JOIN fa ON fa.protein_id = pr.protein_id WHERE sequence <> ''")
+@query("jn1_family_members", "SELECT p.*, a.* EXCLUDE (protein_id) FROM core_protein p JOIN core_assignment a ON a.protein_id = p.protein_id WHERE sequence <> ''", CORE[:2])
 def jn1(spark, sf):
     proteins, assignments, _, _ = core(spark, sf)
     return ops.family_members(proteins, assignments)
 
 
-@query("jn2_master_view", f"WITH {MASTER_SQL} SELECT * FROM master")
+@query("jn2_master_view", f"WITH {MASTER_SQL} SELECT * FROM master", CORE)
 def jn2(spark, sf):
     return master(spark, sf)
 
 
 @query(
     "ag62_distinct_text_per_key",
-    f"WITH {CORE_SQL} SELECT protein_id, {_distinct_sql('literature_pmids')} AS pmids FROM ev GROUP BY protein_id",
+    f"SELECT protein_id, {', '.join(_distinct_sql(c) for c in ('literature_pmids', 'literature_dois'))} FROM core_evidence GROUP BY protein_id",
+    ("core_evidence",),
 )
 def ag62(spark, sf):
-    evidence = core(spark, sf)[2]
-    return evidence.groupBy("protein_id").agg(ops.distinct_text(F.col("literature_pmids")).alias("pmids"))
+    return master_ops.evidence_texts(core(spark, sf)[2])
 
 
 DOC_SQL = f"""mem AS (SELECT 'd' || CAST(doc_id AS VARCHAR) AS protein_id, lang AS family, sha256(text) AS sequence_sha256,

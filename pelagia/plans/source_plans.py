@@ -7,10 +7,10 @@ from pelagia.operators import enrich
 from pelagia.plans.common import F, rel, table
 from pelagia.plans.enrich_plans import CAP_SQL, WANTED, wanted
 from pelagia.plans.function_plans import LETTERS, letters
-from pelagia.plans.reference_plans import MASTER_SQL, master
+from pelagia.plans.reference_plans import CORE, MASTER_SQL, master
 from pelagia.plans.registry import query
 from pelagia.sources import readers, writers
-from pelagia.sources.schemas import ENZYME_STATEMENT_FIELDS
+from pelagia.sources.schemas import ENZYME_STATEMENT_FIELDS, MASTER_COLUMNS, MASTER_TOKEN_COLUMNS
 
 
 @query("src1_headered_tsv", "SELECT CAST(o_orderkey AS VARCHAR) AS o_orderkey, o_orderstatus, CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE o_orderpriority END AS o_orderpriority, '' AS not_there FROM orders")
@@ -217,15 +217,20 @@ def src18(spark, sf):
     return readers.download_status(landed, published)
 
 
-@query(
-    "snk1_master_csv",
-    f"WITH {MASTER_SQL} SELECT protein_id, coalesce(family, '') AS pha_family, gene_name, coalesce(literature_pmids, '') AS literature_pmids, coalesce(phenotype_references, '') AS phenotype_references, '' AS retrieved_at FROM master",
-)
+def _exported_sql(column: str) -> str:
+    """A cell of the written master table: blank for NULL, repeated and blank tokens of token columns removed."""
+    text = f"coalesce(CAST({column} AS VARCHAR), '')"
+    if column not in MASTER_TOKEN_COLUMNS:
+        return f"{text} AS {column}"
+    tokens = f"string_split({text}, '|')"
+    return f"array_to_string([{tokens}[i] FOR i IN range(1, len({tokens}) + 1) IF {tokens}[i] <> '' AND list_position({tokens}, {tokens}[i]) = i], '|') AS {column}"
+
+
+@query("snk1_master_csv", f"WITH {MASTER_SQL} SELECT {', '.join(_exported_sql(c) for c in MASTER_COLUMNS)} FROM master", CORE)
 def snk1(spark, sf):
     path = writers.scratch_path(spark, "master.csv")
-    writers.write_master_csv(master(spark, sf).withColumnRenamed("family", "pha_family"), path)
-    out = readers.read_tsv(spark, path, sep=",")
-    return out.select("protein_id", "pha_family", "gene_name", "literature_pmids", "phenotype_references", "retrieved_at")
+    writers.write_master_csv(master(spark, sf), path)
+    return readers.read_tsv(spark, path, sep=",")
 
 
 @query(

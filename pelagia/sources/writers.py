@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from pelagia.functions.text import clean_sequence, wrap_text
 from pelagia.operators.ordering import ordered_index
-from pelagia.operators.reference import master_export
+from pelagia.operators.master import master_export
 from pelagia.session import ensure_checkpoint_dir
-from pelagia.sources.schemas import MASTER_COLUMNS, MASTER_TOKEN_COLUMNS
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -41,9 +40,8 @@ def write_tsv(df: DataFrame, path: str, formats: Mapping[str, str] | None = None
 
 
 def write_master_csv(view: DataFrame, path: str) -> None:
-    """The master table in its fixed column order, repeated tokens removed."""
-    out = master_export(view, MASTER_COLUMNS, MASTER_TOKEN_COLUMNS)
-    formatted(out, {}).write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(path)
+    """The master table in its fixed column order, repeated tokens removed; a missing column is an error."""
+    formatted(master_export(view), {}).write.mode("overwrite").options(header=True, escape='"', emptyValue="").csv(path)
 
 
 def fasta_header(name: str, tags: Sequence[tuple[str, str]] = ()) -> Column:
