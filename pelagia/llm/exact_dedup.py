@@ -60,9 +60,12 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Rows are matched by id and digest; of rows that repeat both, the first in the order of the columns stays.
     """
-    groups = exact_groups(docs, id_col, text_col).filter("kept").select(F.col("id").alias("keep_id_"), F.col("digest").alias("keep_digest_"))
-    rows = docs.withColumn("digest_", F.unhex(F.sha2(without_separators(F.col(text_col)), 256)))
-    same = rows[id_col].eqNullSafe(groups["keep_id_"]) & (rows["digest_"] == groups["keep_digest_"])
+    null_safe = [F.coalesce(F.col("id"), F.lit(0)).alias("id0_"), F.col("id").isNull().alias("no_id_")]
+    groups = exact_groups(docs, id_col, text_col).filter("kept").select(*null_safe, F.col("digest").alias("digest_"))
+    keys = ["digest_", "id0_", "no_id_"]  # of the join and of the window, so that whole texts are dealt out once
+    digest = F.unhex(F.sha2(without_separators(F.col(text_col)), 256))
+    rows = docs.withColumn("digest_", F.coalesce(digest, F.lit(b"")))  # never null, and Spark sees so
+    rows = rows.withColumn("id0_", F.coalesce(F.col(id_col), F.lit(0))).withColumn("no_id_", F.col(id_col).isNull())
     order = [F.col(f"`{c}`") for c in docs.columns if c != text_col] or [F.lit(1)]
-    first = F.row_number().over(Window.partitionBy(id_col, "digest_").orderBy(*order))
-    return rows.join(groups, same, "left_semi").withColumn("nth_", first).filter("nth_ = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    return rows.join(groups, keys, "left_semi").withColumn("nth_", first).filter("nth_ = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
