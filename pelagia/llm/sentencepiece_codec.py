@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pelagia.llm.shared import give_back
 
 SPACE = "▁"  # fixed value: what a vocabulary writes for a space
-CACHE_SEGMENTS = 50_000  # segments in one generation of a worker's memory, which so never grows with the data
+CACHE_SEGMENTS = 250_000  # segments in one generation of a task's memory, which so never grows with the data
 LIBRARY_BATCH = 4096
 
 
@@ -27,7 +27,7 @@ class Codec:
 
     A text is cut where no piece can reach across: before a run of spaces, around white space that occurs in no longer
     piece, and between a word and a mark that follows a letter in no piece. Within a segment, an agenda of adjacent symbol pairs ordered by (score, place) yields the next
-    merge. Each segment is worked out once per worker and then remembered.
+    merge. Each segment is worked out once per task and then remembered.
     """
 
     def __init__(self, model_file: str):
@@ -153,6 +153,10 @@ class Codec:
         memory, end = self.memory, array("i", [self.end_id]).tobytes()
         return [np.frombuffer(b"".join([memory[s] for s in c]) + end, dtype=np.int32) for c in cuts]
 
+    def forget(self) -> None:
+        """Drop the memory: workers outlive a task, and what is rare in one task is as rare in the next."""
+        self.memory, self.old = {}, {}
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text followed by the end id."""
         return self.encode_batch([text])[0].tolist()
@@ -191,7 +195,7 @@ def digest_of(model: Codec, ids: np.ndarray) -> tuple[int, str, str]:
 DIGESTS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def pieces(column: pa.ChunkedArray | pa.Array, size: int = 1_000_000) -> Iterator[list[str | None]]:
+def pieces(column: pa.ChunkedArray | pa.Array, size: int = 2_000_000) -> Iterator[list[str | None]]:
     """Texts in lists of about ``size`` characters, so that a batch of long texts stays small."""
     out, held = [], 0
     for value in column:
@@ -213,8 +217,11 @@ def text_batches(batches: Iterator[pa.RecordBatch], text_col: str) -> Iterator[t
             at += len(texts)
 
 
-def run(docs: DataFrame, text_col: str, keep: dict[str, str], extra: str, work: Callable) -> DataFrame:
-    """``docs`` through ``work(texts) -> arrays``; ``keep`` maps source columns to the names they get."""
+def run(docs: DataFrame, text_col: str, keep: dict[str, str], extra: str, work: Callable, done: Callable = lambda: None) -> DataFrame:
+    """``docs`` through ``work(texts) -> arrays``; ``keep`` maps source columns to the names they get.
+
+    ``done`` is called at the end of every task.
+    """
     chosen = docs.select(F.col(text_col).alias("text_in_"), *[F.col(f"`{a}`").alias(b) for a, b in keep.items()])
     fields = [f for f in chosen.schema.fields if f.name != "text_in_"]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [extra])
@@ -225,6 +232,7 @@ def run(docs: DataFrame, text_col: str, keep: dict[str, str], extra: str, work:
             names = [n for n in batch.schema.names if n != "text_in_"]
             new = work(texts)
             yield pa.RecordBatch.from_arrays(kept + list(new.values()), names=names + list(new))
+        done()
         give_back()
 
     return chosen.mapInArrow(each, schema)
@@ -243,7 +251,7 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
         rows = [digest_of(model, ids) for ids in model.encode_batch(texts)]
         return {f.name: pa.array([r[i] for r in rows], f.type) for i, f in enumerate(DIGESTS)}
 
-    return run(docs, text_col, {id_col: "id"}, "n_tokens long, ids_sha256 string, decoded_sha256 string", work)
+    return run(docs, text_col, {id_col: "id"}, "n_tokens long, ids_sha256 string, decoded_sha256 string", work, lambda: codec(model_file).forget())
 
 
 def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
@@ -261,7 +269,7 @@ def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text") -> Da
         return {"ids": ids, "decoded": pa.array([model.decode(i.tolist()) for i in rows], pa.string())}
 
     keep = {c: f"{c}_in" if c in ("ids", "decoded") else c for c in docs.columns if c != text_col}
-    return run(docs, text_col, keep, "ids array<int>, decoded string", work)
+    return run(docs, text_col, keep, "ids array<int>, decoded string", work, lambda: codec(model_file).forget())
 
 
 def decode_ids(tokens: DataFrame, model_file: str, ids_col: str = "ids", out: str = "text") -> DataFrame:
