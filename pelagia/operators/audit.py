@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 from pelagia.operators.ordering import (
     category_counts,
+    coarse_key,
     exact_medians,
     exact_quantiles,
+    ordered_index,
     top_categories_text,
 )
 from pelagia.operators.stats import mantel_haenszel, two_by_two_by_stratum
@@ -74,7 +76,7 @@ def excluded_gene_filter(entries: DataFrame, excluded: Sequence[str]) -> DataFra
 
 
 def extreme_quadrant_taxa(
-    rows: DataFrame, max_temp: float = 5.0, min_predicted: float = 82.5, by: Sequence[str] = ("genus", "species", "phylum")
+    rows: DataFrame, max_temp: float = 5.0, min_predicted: float = 82.5, by: Sequence[str] = ("genus", "species", "family_name", "phylum")
 ) -> DataFrame:
     """Taxa of rows from cold water with a hot prediction: count, medians and studies."""
     chosen = rows.where((F.col("temp") <= max_temp) & (F.col("predicted") >= min_predicted))
@@ -641,5 +643,15 @@ def top_with_extras(ranked: DataFrame, key: str, value: str, top_n: int, extras:
 
 
 def ranked_list(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Rows by value descending, key ascending, with their rank; meant for aggregated tables."""
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(value), key)))
+    """Rows by value descending, key ascending, with their rank.
+
+    Rows are cut into ranges of the value, those of one small whole value also by the head of their key, and numbered
+    range by range, so no task sorts them all.
+    """
+    coarse = coarse_key(F.col(value))
+    kinds = dict(rows.dtypes)
+    whole = kinds[value] in ("tinyint", "smallint", "int", "bigint") and kinds[key] == "string"
+    small = F.abs(F.col(value)) < 1000 if whole else F.lit(False)  # a range holds one value then
+    head = F.when(small, F.substring(F.col(key), 1, 2)).otherwise("")
+    indexed = ordered_index(rows, [], F.struct((-coarse).alias("range"), head.alias("head")), [F.desc(value), F.col(key).asc()], "_rank")
+    return indexed.withColumn("rank", (F.col("_rank") + 1).cast("int")).drop("_rank")

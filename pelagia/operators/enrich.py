@@ -66,14 +66,23 @@ def enrich_targets(targets: DataFrame, capped: DataFrame, genomes: DataFrame, sa
 
 
 def enrichment_counts(enriched: DataFrame) -> DataFrame:
-    """Coverage counts of :func:`enrich_targets` in one pass."""
-    return enriched.agg(
-        F.count(F.lit(1)).alias("n_output_rows"),
-        F.count_distinct("target_id").alias("n_target_ids"),
-        F.count_distinct(F.when(F.col("genome").isNotNull(), F.col("target_id"))).alias("n_targets_matched"),
-        F.count_distinct("genome").alias("n_genomes_needed"),
-        F.count_distinct(F.when(F.col("genome_metadata_found"), F.col("genome"))).alias("n_genomes_resolved"),
-        F.count_distinct(F.when(F.col("sample_metadata_found"), F.col("sample_id"))).alias("n_samples_resolved"),
+    """Coverage counts of :func:`enrich_targets` in one pass.
+
+    Each row gives its target, genome and sample, with whether they were found. Equal ones are merged map-side, so
+    that all counts of different values are plain counts; several distinct counts would copy every row once for each.
+    """
+    parts = {"target": ("target_id", F.col("genome").isNotNull()), "genome": ("genome", F.col("genome_metadata_found")), "sample": ("sample_id", F.col("sample_metadata_found"))}
+    entries = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).cast("string").alias("value"), flag.cast("int").alias("found")) for k, (c, flag) in parts.items()])
+    merged = enriched.select(F.inline(entries)).groupBy("kind", "value").agg(F.max("found").alias("found"), F.count(F.lit(1)).alias("n"))
+    known = F.col("value").isNotNull()
+    is_kind = lambda k: F.col("kind") == k
+    return merged.agg(
+        F.coalesce(F.sum(F.when(is_kind("target"), F.col("n"))), F.lit(0)).alias("n_output_rows"),
+        F.count_if(known & is_kind("target")).alias("n_target_ids"),
+        F.count_if(known & is_kind("target") & (F.col("found") == 1)).alias("n_targets_matched"),
+        F.count_if(known & is_kind("genome")).alias("n_genomes_needed"),
+        F.count_if(known & is_kind("genome") & (F.col("found") == 1)).alias("n_genomes_resolved"),
+        F.count_if(known & is_kind("sample") & (F.col("found") == 1)).alias("n_samples_resolved"),
     )
 
 

@@ -52,12 +52,15 @@ def study_profile(pairs: DataFrame, facts: DataFrame, min_genomes: int = 50, glo
     """Per study: clusters by global size bucket, dominant habitat, mean |latitude|, longitude span."""
     sized = pairs.join(cluster_sizes(pairs).withColumn("bucket", occupancy_bucket(F.col("n_genomes"))), "cluster_id")
     placed = sized.select("cluster_id", "genome", "bucket").join(facts.select("genome", "study"), "genome")
-    per_bucket = [
-        F.count_distinct(F.when(F.col("bucket") == name, F.col("cluster_id"))).alias(f"n_{name}")
-        for name, _, _ in OCCUPANCY_BUCKETS
-    ]
-    clusters = placed.groupBy("study").agg(
-        F.count_distinct("genome").alias("n_genomes"), F.count_distinct("cluster_id").alias("n_clusters"), *per_bucket
+    # A row gives its genome and its cluster; equal ones of a study merge map-side and are then counted plainly.
+    entries = F.array(
+        F.struct(F.lit(True).alias("is_genome"), F.col("genome").alias("value"), F.lit("").alias("bucket")),
+        F.struct(F.lit(False).alias("is_genome"), F.col("cluster_id").alias("value"), F.col("bucket").alias("bucket")),
+    )
+    merged = placed.select("study", F.inline(entries)).distinct()
+    per_bucket = [F.count_if(F.col("bucket") == name).alias(f"n_{name}") for name, _, _ in OCCUPANCY_BUCKETS]
+    clusters = merged.groupBy("study").agg(
+        F.count_if("is_genome").alias("n_genomes"), F.count_if(~F.col("is_genome")).alias("n_clusters"), *per_bucket
     )
     hosts = facts.join(pairs.select("genome").distinct(), "genome", "left_semi")
     places = hosts.groupBy("study").agg(

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.functions.tails import chi2_tail_1df, fisher_exact_p, normal_two_sided
-from pelagia.operators.ordering import cumulative_counts, exact_quantiles, null_safe_join
+from pelagia.operators.ordering import coarse_key, cumulative_counts, exact_quantiles, null_safe_join
 
 
 def two_by_two_by_stratum(rows: DataFrame, group: str, stratum: str, positive: Column) -> DataFrame:
@@ -87,17 +87,20 @@ def fisher_exact(tables: DataFrame) -> DataFrame:
 def benjamini_hochberg(tests: DataFrame, p: str, alpha: float = 0.05, name: str = "q_value") -> DataFrame:
     """BH q-values and the Bonferroni bound over all tests (one row per test, NULL p counts as one).
 
-    Ranks come from counts per distinct p, so equal p-values are collapsed first.
+    Equal p-values are collapsed first and ranked by counts. The running minimum from the greatest p down is taken
+    within ranges of p, after the least value of every range has been passed down through the ranges, whose number is
+    bounded by three significant digits and the exponents of a double.
     """
     value = F.coalesce(F.col(p), F.lit(1.0))
     tests = tests.withColumn("_p", value)
     ranked = cumulative_counts(tests, [], "_p")
-    scaled = ranked.withColumn("_scaled", F.col("_p") * F.col("n_total") / (F.col("n_before") + F.col("n")))
-    from_top = Window.orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
-    q = scaled.select(
-        "_p",
-        F.least(F.lit(1.0), F.min("_scaled").over(from_top)).alias(name),
-        (F.lit(alpha) / F.col("n_total")).alias("bonferroni_bound"),
+    scaled = ranked.select("_p", "n_total", (F.col("_p") * F.col("n_total") / (F.col("n_before") + F.col("n"))).alias("_scaled"), coarse_key(F.col("_p")).alias("_range"))
+    above = Window.orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = scaled.groupBy("_range").agg(F.min("_scaled").alias("_least"))
+    ranges = ranges.select("_range", F.min("_least").over(above).alias("_above"))
+    from_top = Window.partitionBy("_range").orderBy(F.desc("_p")).rowsBetween(Window.unboundedPreceding, 0)
+    q = scaled.withColumn("_within", F.min("_scaled").over(from_top)).join(ranges, "_range").select(
+        "_p", F.least(F.lit(1.0), "_within", "_above").alias(name), (F.lit(alpha) / F.col("n_total")).alias("bonferroni_bound")
     )
     return tests.join(q, "_p").drop("_p")
 

@@ -108,7 +108,7 @@ def flt8(spark, sf):
 
 @query(
     "flt9_extreme_quadrant_taxa",
-    f"""WITH {PRED_SQL} SELECT genus, species, phylum, count(*) AS n_proteins, string_agg(DISTINCT study, ',' ORDER BY study) AS studies,
+    f"""WITH {PRED_SQL} SELECT genus, species, family_name, phylum, count(*) AS n_proteins, string_agg(DISTINCT study, ',' ORDER BY study) AS studies,
         round(median(temp), 6) AS median_temp, round(median(depth_m), 6) AS median_depth FROM pm WHERE temp <= 5 AND predicted >= 82.5 GROUP BY ALL""",
     ("facts",),
 )

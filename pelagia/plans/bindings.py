@@ -30,6 +30,7 @@ BINDINGS: dict[str, str] = {
         SELECT CAST(c_custkey AS STRING) AS genome, r_name AS phylum, n_name AS genus,
                r_name || '-c' || CAST(c_custkey % 4 AS STRING) AS class_name,
                r_name || '-c' || CAST(c_custkey % 4 AS STRING) || '-o' || CAST(c_custkey % 20 AS STRING) AS order_name,
+               r_name || '-f' || CAST(c_custkey % 60 AS STRING) AS family_name,
                n_name || ' sp' || CAST(c_custkey % 5 AS STRING) AS species,
                CASE WHEN c_custkey % 2 = 0 THEN 'Bacteria' ELSE 'Archaea' END AS domain_name,
                c_mktsegment AS habitat, 'ST' || CAST(c_custkey % 12 AS STRING) AS study,

@@ -41,7 +41,9 @@ def read_tsv(
         reader = reader.option("pathGlobFilter", pattern)
     raw = reader.csv(list(paths) if not isinstance(paths, str) else paths)
     if skip_prefix:
-        raw = raw.where(~F.startswith(F.col("_metadata.file_name"), F.lit(skip_prefix)))
+        # A table lands as a file or as a folder of part files; either may carry the name.
+        names = F.slice(F.split(F.col("_metadata.file_path"), "/"), -2, 2)
+        raw = raw.where(~F.exists(names, lambda n: F.startswith(n, F.lit(skip_prefix))))
     names = list(columns) if columns is not None else raw.columns
     wanted = [F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) if c in raw.columns else F.lit("").alias(c) for c in names]
     return raw.select(*wanted, *([file_order().alias("ord")] if ordered else []))
