@@ -60,27 +60,31 @@ def src6(spark, sf):
 
 @query(
     "src7_enzyme_statements",
-    """SELECT 'ec.' || (o_custkey % 5) AS ec, 'general_information' AS field, o_orderpriority || ' c' || o_orderstatus AS text, CAST(o_orderkey AS VARCHAR) AS protein, CAST(o_custkey % 10 AS VARCHAR) AS pmid FROM orders WHERE o_custkey % 5 <= 2""",
+    """SELECT 'ec.' || o_custkey AS ec, 'general_information' AS field, o_orderpriority || ' c}"' || o_orderstatus AS text, CAST(o_orderkey AS VARCHAR) AS protein,
+       CAST(o_custkey % 10 AS VARCHAR) AS pmid, 'r{1}' AS release FROM orders""",
 )
 def src7(spark, sf):
     path = writers.scratch_path(spark, "enzymes.json")
-    orders = table(spark, sf, "orders").withColumn("ec", F.concat(F.lit("ec."), (F.col("o_custkey") % 5).cast("string")))
-    statement = F.to_json(
-        F.struct(
-            F.col("o_orderpriority").alias("value"), F.concat(F.lit("c"), "o_orderstatus").alias("comment"),
-            F.array(F.col("o_orderkey").cast("string")).alias("proteins"), F.array((F.col("o_custkey") % 10).cast("string")).alias("references"),
-        )
+    statement = F.struct(
+        F.col("o_orderpriority").alias("value"), F.concat(F.lit('c}"'), "o_orderstatus").alias("comment"),
+        F.array(F.col("o_orderkey").cast("string")).alias("proteins"), F.array((F.col("o_custkey") % 10).cast("string")).alias("references"),
     )
-    # One small file per EC, as landed by a splitter of the single-object original.
-    lines = orders.select(
-        "ec", F.concat(F.lit('{"release":"r1","data":{"'), "ec", F.lit('":{"reference":{"'), (F.col("o_custkey") % 10).cast("string"), F.lit('":{"pmid":"'),
-                       (F.col("o_custkey") % 10).cast("string"), F.lit('"}},"general_information":['), statement, F.lit("]}}}")).alias("value"),
+    entry = F.struct(
+        F.create_map((F.col("o_custkey") % 10).cast("string"), F.struct((F.col("o_custkey") % 10).cast("string").alias("pmid"))).alias("reference"),
+        F.col("s").alias("general_information"),
     )
-    lines.select("value").write.text(path)
-    raw = spark.read.schema(readers.ENZYME_SCHEMA).json(path)
-    records = raw.select("release", F.explode("data").alias("ec", "record")).where(F.col("ec").isin("ec.0", "ec.1", "ec.2"))
+    entries = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(statement).alias("s"))
+    lines = entries.select(F.col("o_custkey").alias("ord"), F.concat(F.lit('"ec.'), F.col("o_custkey").cast("string"), F.lit('":'), F.to_json(entry)).alias("value"))
+    # The file is one object, as it is published: a first line, the entries behind commas, a last line.
+    first = spark.createDataFrame([(-2, '{"release":"r{1}","note":{"data":1,"x":{}},"data":{"ec.none":{}')], "ord long, value string")
+    last = spark.createDataFrame([(2**62, "}}")], "ord long, value string")
+    middle = lines.select("ord", F.concat(F.lit(","), "value").alias("value"))
+    first.unionByName(middle).unionByName(last).repartition(1).sortWithinPartitions("ord").select("value").write.text(path)
+    records = readers.read_enzyme_json(spark, path)
     out = readers.enzyme_statements(records, ENZYME_STATEMENT_FIELDS)
-    return out.select("ec", "field", "text", F.col("proteins")[0].alias("protein"), F.col("pmids")[0].alias("pmid"))
+    return out.select("ec", "field", "text", F.col("proteins")[0].alias("protein"), F.col("pmids")[0].alias("pmid")).withColumn(
+        "release", records.agg(F.max("release")).scalar()
+    )
 
 
 @query(

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pelagia.sources.schemas import ENTRY_SCHEMA, ENZYME_SCHEMA, SAMPLE_XML_SCHEMA
+from pelagia.sources.json_split import json_records
+from pelagia.sources.schemas import ENTRY_SCHEMA, ENZYME_RECORD, SAMPLE_XML_SCHEMA
 
 # The script assignment that holds a page's record, and the quality fields read from it.
 EMBEDDED_JSON_PATTERN = r"(?s)JSON\.parse\(`(.+?)`\);"
@@ -95,11 +96,16 @@ def count_fasta(spark: SparkSession, path: str) -> DataFrame:
     return lines.groupBy(F.col("_metadata.file_name").alias("file_name")).agg(F.count(F.lit(1)).alias("n_records"))
 
 
-def read_enzyme_json(spark: SparkSession, path: str, ec_numbers: Sequence[str]) -> DataFrame:
-    """(release, ec, record) of the wanted EC numbers from a one-object enzyme file."""
-    raw = spark.read.schema(ENZYME_SCHEMA).json(path, multiLine=True)
-    opened = raw.select("release", F.explode("data").alias("ec", "record"))
-    return opened.where(F.col("ec").isin(list(ec_numbers)))
+def read_enzyme_json(spark: SparkSession, path: str, ec_numbers: Sequence[str] | None = None) -> DataFrame:
+    """(release, ec, record) of the wanted EC numbers (all, if none are named) of a one-object enzyme file.
+
+    The file is read by byte ranges and cut into its records; each record is parsed on its own.
+    """
+    records, around = json_records(spark, path, "data")
+    release = around.agg(F.max(F.nullif(F.regexp_extract("text", r'"release"\s*:\s*"([^"]*)"', 1), F.lit(""))).alias("release"))
+    opened = records.select(F.explode(F.from_json("record", f"map<string,{ENZYME_RECORD}>")).alias("ec", "record"))
+    named = opened if ec_numbers is None else opened.where(F.col("ec").isin(list(ec_numbers)))
+    return named.withColumn("release", release.scalar()).select("release", "ec", "record")
 
 
 def enzyme_proteins(records: DataFrame) -> DataFrame:
@@ -332,7 +338,7 @@ def family_dimension(spark: SparkSession, definitions: Sequence[dict]) -> DataFr
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, size_bytes, md5, sha256) of landed files."""
+    """(file_name, size_bytes, md5, sha256) of landed files of up to 2 GiB each; empty files have no row."""
     files = spark.read.format("binaryFile").load(path)
     return files.select(
         F.substring_index("path", "/", -1).alias("file_name"),

@@ -1,4 +1,6 @@
+import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,6 +59,55 @@ def test_enzyme_json(spark, tmp_path):
     assert readers.enzyme_proteins(records).first()["accessions"] == ["A1"]
 
 
+def test_enzyme_json_over_many_byte_ranges(spark, tmp_path):
+    rnd = random.Random(3)
+    awkward = ["a}b", '{"', "\\\\", '\\"}', "}{", ",", 'x "data": {"', "é\u2028}", "", "\n}\n"]
+    text = lambda: "".join(rnd.choices(awkward, k=rnd.randint(0, 5)))
+    data = {
+        f"{i}.1": {"general_information": [{"value": text(), "comment": text(), "proteins": ["1"], "references": []} for _ in range(rnd.randint(0, 4))], "recommended_name": text()}
+        for i in range(120)
+    }
+    before = {"release": "2024.1", "note": {"a": {"b": {}}, "c}": "}"}}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        for n, (indent, ascii_) in enumerate(((None, True), (1, False))):
+            path = tmp_path / f"e{n}.json"
+            path.write_text(json.dumps({**before, "data": data, "version": {"v": {"x": 1}}}, indent=indent, ensure_ascii=ascii_), encoding="utf-8")
+            assert spark.read.option("lineSep", "}").text(str(path)).rdd.getNumPartitions() > 5
+            got = {r["ec"]: r for r in readers.read_enzyme_json(spark, str(path)).collect()}
+            assert set(got) == set(data) and {r["release"] for r in got.values()} == {"2024.1"}
+            for ec, record in data.items():
+                found = got[ec]["record"]
+                assert found["recommended_name"] == record["recommended_name"]
+                assert [(s["value"], s["comment"]) for s in found["general_information"]] == [(s["value"], s["comment"]) for s in record["general_information"]]
+            assert [r["ec"] for r in readers.read_enzyme_json(spark, str(path), ["7.1"]).collect()] == ["7.1"]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_own_output_is_left_out(spark, tmp_path):
+    for name in ("a_targets.tsv", "all_families_targets.tsv"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part-0.csv").write_text(f"x\n{name}\n")
+    (tmp_path / "all_families_b_targets.tsv").write_text("x\nfile\n")
+    (tmp_path / "c_targets.tsv").write_text("x\nc\n")
+    out = readers.read_tsv(spark, f"{tmp_path}/*_targets.tsv", ["x"], skip_prefix="all_families_")
+    assert sorted(r.x for r in out.collect()) == ["a_targets.tsv", "c"]
+
+
+def test_stale_checksums_are_a_mismatch(spark, tmp_path):
+    (tmp_path / "a").write_bytes(b"abc")
+    (tmp_path / "b").write_bytes(b"xyz")
+    (tmp_path / "c").write_bytes(b"c")
+    landed = readers.file_checksums(spark, str(tmp_path))
+    published = spark.createDataFrame([("a", "md5", hashlib.md5(b"abc").hexdigest().upper()), ("b", "sha256", "0" * 64)], "file_name string, algorithm string, expected string")
+    got = {r.file_name: (r.checksum_status, r.checksum) for r in readers.download_status(landed, published).collect()}
+    assert got["a"] == ("verified_against_published", hashlib.md5(b"abc").hexdigest()) and got["b"][0] == "mismatch"
+    assert got["c"] == ("computed_no_published_hash", hashlib.sha256(b"c").hexdigest())
+
+
 def test_sample_xml(spark, tmp_path):
     path = tmp_path / "s.xml"
     path.write_text('<BioSampleSet><BioSample accession="S1"><Attributes><Attribute attribute_name="Depth">9 m</Attribute><Attribute harmonized_name="depth" attribute_name="d"> 0 m </Attribute></Attributes></BioSample>'
