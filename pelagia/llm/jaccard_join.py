@@ -18,7 +18,8 @@ from pelagia.llm.spans import numbered
 from pelagia.operators.graph import connected_components
 
 GROUPS = 256  # coordinates of a count vector
-CELLS = 64  # coordinates of the short vectors that buckets are compared on
+CELLS = 64  # least coordinates of the short vectors that buckets are compared on
+PER_CELL = 16  # elements to a coordinate; sets beyond that have vectors four times as long, and so on
 BUCKET = 20_000  # members of a bucket that are compared with each other; a larger bucket hangs together unseen
 LEAF = 512  # documents of a leaf
 NODE = 16  # documents of an inner box
@@ -103,6 +104,52 @@ def cell_counts(text: np.ndarray, value: np.ndarray, n: int, cells: int, kind: t
     return [row.tobytes() for row in counts]
 
 
+def short_vectors(text: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+    """Cell counts with as many cells as the size of a set asks for, so that unlike sets of any size look unlike."""
+    out = [b""] * len(sizes)
+    wide = CELLS
+    open_ = np.arange(len(sizes))
+    while len(open_):
+        fits = sizes[open_] < PER_CELL * wide
+        rows = open_[fits]
+        if len(rows):
+            place = np.full(len(sizes), -1)
+            place[rows] = np.arange(len(rows))
+            mine = place[text] >= 0
+            for row, cells in zip(rows.tolist(), cell_counts(place[text[mine]], value[mine], len(rows), wide, np.uint32)):
+                out[row] = cells
+        open_, wide = open_[~fits], 4 * wide
+    return out
+
+
+class ShortVectors:
+    """The vectors of a block by width; a longer one folds to a shorter width by adding up its stretches."""
+
+    def __init__(self, column: list[bytes]):
+        self.width = np.array([len(c) // 4 for c in column], dtype=np.int64)
+        self.by_width = {}
+        for wide in np.unique(self.width).tolist():
+            rows = np.flatnonzero(self.width >= wide)
+            folded = np.zeros((len(rows), wide), dtype=np.int32)
+            for own in np.unique(self.width[rows]).tolist():
+                same = np.flatnonzero(self.width[rows] == own)
+                raw = np.frombuffer(b"".join([column[r] for r in rows[same].tolist()]), np.uint32)
+                folded[same] = raw.reshape(len(same), own // wide, wide).sum(axis=1)
+            place = np.zeros(len(column), dtype=np.int64)
+            place[rows] = np.arange(len(rows))
+            self.by_width[wide] = (place, folded)
+
+    def shared(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """At most how many elements rows i and j share: summed minima at the shorter width of each two."""
+        out = np.zeros(len(i), dtype=np.int64)
+        both = np.minimum(self.width[i], self.width[j])
+        for wide, (place, folded) in self.by_width.items():
+            at = np.flatnonzero(both == wide)
+            for part in np.array_split(at, 1 + len(at) * wide // 4_000_000):
+                out[part] = np.minimum(folded[place[i[part]]], folded[place[j[part]]]).sum(axis=1)
+        return out
+
+
 def set_classes(docs: DataFrame, n: int) -> DataFrame:
     """(id, n_shingles, rep, cells): documents with equal sets share the least id as ``rep``; ``cells`` counts elements."""
 
@@ -111,7 +158,7 @@ def set_classes(docs: DataFrame, n: int) -> DataFrame:
             text, value = sets_of(data, offsets, n)
             size = np.bincount(text, minlength=len(rows))
             sums = [pa.array(x) for x in set_sums(text, value, len(rows))]
-            cells = pa.array(cell_counts(text, value, len(rows), CELLS, np.uint32), pa.binary())
+            cells = pa.array(short_vectors(text, value, size), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(ids_of(rows)), pa.array(size), *sums, cells], names=["id", "n_shingles", "a", "b", "cells"])
 
     rows = materialize(docs.mapInArrow(each, "id long, n_shingles long, a long, b long, cells binary"), "sets")
@@ -147,8 +194,8 @@ def bucket_ties(block: pa.Table, threshold: Fraction, hot: int | None) -> tuple[
     """
     num, den = threshold.numerator, threshold.denominator
     key, ids, size = (block[c].to_numpy() for c in ("key", "id", "n_shingles"))
-    cells = np.frombuffer(b"".join(block["cells"].to_pylist()), np.uint32).reshape(-1, CELLS).astype(np.int64)
-    fits = lambda i, j: np.minimum(cells[i], cells[j]).sum(axis=1) * (num + den) >= num * (size[i] + size[j])
+    cells = ShortVectors(block["cells"].to_pylist())
+    fits = lambda i, j: cells.shared(i, j) * (num + den) >= num * (size[i] + size[j])
     begin = np.r_[True, key[1:] != key[:-1]]
     number = np.cumsum(begin) - 1
     starts = np.flatnonzero(begin)
@@ -180,6 +227,10 @@ def shared_signatures(docs: DataFrame, classes: DataFrame, n: int, threshold: Fr
     rows = signature_rows(docs, n, threshold).withColumn("n", several).filter("n > 1").select("key", "id")
     rep = classes.groupBy("id").agg(F.min("rep").alias("rep"))
     buckets = materialize(rows.join(rep, "id").select("key", F.col("rep").alias("id")).distinct(), "buckets")
+    # Near copies meet in hundreds of buckets; of buckets with the same members one says it all.
+    alike = [F.count(F.lit(1)).alias("n"), *[F.sum(F.shiftright(F.xxhash64("id", F.lit(salt)), 30)).alias(f"s{salt}") for salt in (1, 2, 3)]]
+    one = buckets.groupBy("key").agg(*alike).groupBy("n", "s1", "s2", "s3").agg(F.min("key").alias("key")).filter("n > 1").select("key")
+    buckets = materialize(buckets.join(one, "key"), "bucket-members")
     cells = classes.filter("id = rep").dropDuplicates(["id"]).select("id", "n_shingles", "cells")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -435,7 +486,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each class, the one with the least id; documents without words all stay."""
+    """``docs`` with one document of each class, the one with the least id; documents without words all stay.
+
+    Null ids count as the last id, so they go if a document with an id is in their class, and else stay together. Rows
+    that repeat an id stay or go together. All columns pass through; an empty table gives no rows.
+    """
     found = jaccard_components(docs, n, threshold, id_col, text_col)
     drop = found.filter((F.col("n_shingles") > 0) & F.coalesce(F.col("id") != F.col("component"), F.col("component") != LAST_ID)).select(F.col("id").alias("drop_id_")).distinct()
+    drop = materialize(drop, "near-copies")  # of a size that Spark knows, so that few ids do not make it deal out all texts
     return docs.join(drop, docs[id_col].eqNullSafe(drop["drop_id_"]), "left_anti")

@@ -71,3 +71,23 @@ def test_one_document_of_each_class_stays(spark):
     assert kept.columns == ["doc_id", "text", "part", "leaf"]
     assert sorted([r.doc_id for r in kept.collect()], key=str) == [1, 3, 4, 5, None]
     assert drop_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_short_vectors_bound_the_overlap_at_every_width():
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+    base = rnd.integers(1, 1 << 62, 30_000).astype(np.uint64)
+    sets = [np.unique(np.r_[base[: int(n * 0.7)], rnd.integers(1, 1 << 62, n - int(n * 0.7)).astype(np.uint64)]) for n in (5, 300, 1023, 1025, 1300, 4000, 4200, 17_000, 0)]
+    sizes = np.array([len(s) for s in sets])
+    text = np.repeat(np.arange(len(sets)), sizes)
+    vectors = jaccard_join.short_vectors(text, np.concatenate(sets), sizes)
+    assert [len(v) // 4 for v in vectors] == [64, 64, 64, 256, 256, 256, 1024, 4096, 64]
+    held = jaccard_join.ShortVectors(vectors)
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    true = np.array([len(np.intersect1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    bound = held.shared(i, j)
+    assert (bound >= true).all() and (bound[i == j] == sizes).all()
+    unlike = [np.unique(rnd.integers(1, 1 << 62, 3000).astype(np.uint64)) for _ in range(2)]
+    pair = jaccard_join.ShortVectors(jaccard_join.short_vectors(np.repeat([0, 1], 3000), np.concatenate(unlike), np.array([3000, 3000])))
+    assert pair.shared(np.array([0]), np.array([1]))[0] < 0.88 * 3000
