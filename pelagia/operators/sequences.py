@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.functions.text import AMINO_ACIDS, kmers
+from pelagia.functions.text import AMINO_ACIDS, kmers, motif_positions
 from pelagia.session import cut_lineage
 
 
@@ -205,6 +205,23 @@ def triad_with_fallback(atoms: DataFrame, tight: float = 4.5) -> DataFrame:
     return chosen.select("structure", label, picked.alias("_p")).select("structure", "kind", "_p.*")
 
 
+def triad_details(triads: DataFrame, atoms: DataFrame, proteins: DataFrame, nucleophile: str = "C") -> DataFrame:
+    """``triads`` with ``nuc_in_motif`` and the model confidence of each of its three residues.
+
+    ``nuc_in_motif``: the nucleophile is the middle of a ``G.x.G`` match in the protein's ``sequence`` (matches left to
+    right, none overlapping another); NULL without a sequence. A confidence is that of the residue's CA atom (the
+    greatest, if it is listed twice), NULL if there is none. One join serves the three residues.
+    """
+    motif = motif_positions(F.col("sequence"), f"G.[{nucleophile}].G", 5, 2)
+    known = triads.join(proteins.select("structure", motif.alias("_m")), "structure", "left")
+    roles = {"nuc": "nucleophile", "asp": "asp", "his": "his"}
+    parts = F.array(*[F.struct(F.lit(role).alias("role"), F.col(column).alias("position")) for role, column in roles.items()])
+    levels = atoms.where("atom = 'CA'").groupBy("structure", "position").agg(F.max("confidence").alias("confidence"))
+    found = triads.select("structure", F.inline(parts)).join(levels, ["structure", "position"])
+    sides = found.groupBy("structure").agg(*[F.max(F.when(F.col("role") == role, F.col("confidence"))).alias(f"{role}_confidence") for role in roles])
+    return known.join(sides, "structure", "left").withColumn("nuc_in_motif", F.array_contains("_m", F.col("nucleophile"))).drop("_m")
+
+
 # ---- model scores ----------------------------------------------------------------------
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,10 +13,9 @@ from pelagia.functions.geo import (
     cell_centre,
     haversine_km,
     longitude_gap,
-    unit_vector,
     wrap_longitude,
 )
-from pelagia.operators.graph import component_of_all, connected_components
+from pelagia.operators.neighbours import linked_groups, neighbours_within
 
 
 def climate_profiles(grid: DataFrame) -> DataFrame:
@@ -162,53 +160,17 @@ def nearest_place(rows: DataFrame, places: Sequence[tuple[str, float, float]], m
     return rows.withColumn("place", name)
 
 
-def geographic_distances(sites: DataFrame, max_sites: int = 2000, radius: float = EARTH_RADIUS_KM) -> DataFrame:
-    """Great-circle distance of every pair (a < b) of a bounded site list.
-
-    The list is the capped set of a community matrix; it is refused above ``max_sites``
-    rather than cut.  Each site meets the list as one array, so no join is needed.
-    """
-    listed = sites.agg(
-        F.when(F.count(F.lit(1)) <= max_sites, F.array_sort(F.collect_list(F.struct("site", "lat", "lon"))))
-        .otherwise(F.raise_error(F.lit(f"more than {max_sites} sites")).cast("array<struct<site:string,lat:double,lon:double>>"))
-        .alias("_all")
-    )
-    opened = sites.withColumn("_all", listed.scalar()).select(
-        F.col("site").alias("site_a"),
-        F.col("lat").alias("_lat"),
-        F.col("lon").alias("_lon"),
-        F.explode(F.filter("_all", lambda s: s["site"] > F.col("site"))).alias("_b"),
-    )
-    km = haversine_km(F.col("_lat"), F.col("_lon"), F.col("_b.lat"), F.col("_b.lon"), radius)
-    return opened.select("site_a", F.col("_b.site").alias("site_b"), km.alias("km"))
+def geographic_distances(sites: DataFrame, max_km: float | None = None, radius: float = EARTH_RADIUS_KM) -> DataFrame:
+    """Great-circle distance of every pair of sites (a < b), or of those no more than ``max_km`` apart."""
+    return neighbours_within(sites, "site", max_km, radius).withColumnsRenamed({"id_a": "site_a", "id_b": "site_b"})
 
 
 def distance_groups(points: DataFrame, key: str, max_km: float = 500.0, radius: float = EARTH_RADIUS_KM) -> DataFrame:
-    """Groups of points linked by steps shorter than ``max_km``; the group is its least id.
+    """Points with the group they are linked into by steps shorter than ``max_km``; the group is its least id.
 
-    Positions become unit vectors in a cubic grid whose cells are small enough that all
-    points of a cell are linked; those get star edges to the least point.  Only points of
-    neighbouring cells are compared, one per distinct position.
+    Each position counts once, under its least id, so repeated positions add nothing.
     """
-    chord = 2.0 * math.sin(max_km / (2.0 * radius))
-    side = chord / 3.0**0.5
-    x, y, z = unit_vector(F.col("lat"), F.col("lon"))
-    spots = points.groupBy("lat", "lon").agg(F.min(key).alias("_spot"))
-    cells = spots.select("_spot", "lat", "lon", *[F.floor(v / (side * 0.999)).alias(n) for v, n in ((x, "cx"), (y, "cy"), (z, "cz"))])
-    roots = cells.groupBy("cx", "cy", "cz").agg(F.min("_spot").alias("_root"))
-    same_cell = cells.join(roots, ["cx", "cy", "cz"]).select(F.col("_spot").alias("src"), F.col("_root").alias("dst"))
-    offsets = F.sequence(F.lit(-2), F.lit(2))
-    spread = cells
-    for axis in ("cx", "cy", "cz"):
-        spread = spread.withColumn(f"_{axis}", F.explode(offsets)).withColumn(axis, F.col(axis) + F.col(f"_{axis}"))
-    # Points of one cell are linked already, so they are never compared with each other.
-    spread = spread.where("_cx <> 0 OR _cy <> 0 OR _cz <> 0").drop("_cx", "_cy", "_cz")
-    there = cells.select(
-        F.col("_spot").alias("_b"), F.col("lat").alias("_blat"), F.col("lon").alias("_blon"), "cx", "cy", "cz"
-    )
-    met = spread.join(there, ["cx", "cy", "cz"]).where(F.col("_spot") < F.col("_b"))
-    km = haversine_km(F.col("lat"), F.col("lon"), F.col("_blat"), F.col("_blon"), radius)
-    near = met.where(km < max_km).select(F.col("_spot").alias("src"), F.col("_b").alias("dst"))
-    components = connected_components(same_cell.unionByName(near))
-    labelled = component_of_all(spots.select("lat", "lon", F.col("_spot").alias("spot")), components, "spot")
-    return points.join(labelled.select("lat", "lon", "component"), ["lat", "lon"])
+    spots = points.groupBy("lat", "lon").agg(F.min(key).alias("spot"))
+    groups = linked_groups(spots, "spot", max_km, radius)
+    labelled = spots.join(groups.withColumnRenamed("id", "spot"), "spot").select("lat", "lon", "component")
+    return points.join(labelled, ["lat", "lon"])

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from pelagia.functions.tails import chi2_tail_1df, fisher_exact_p, normal_two_sided
 from pelagia.operators.ordering import coarse_key, cumulative_counts, exact_quantiles, null_safe_join
+from pelagia.session import cut_lineage
 
 
 def two_by_two_by_stratum(rows: DataFrame, group: str, stratum: str, positive: Column) -> DataFrame:
@@ -167,6 +168,7 @@ def mann_whitney(rows: DataFrame, value: str, first_group: Column, by: Sequence[
 
 def group_summary(rows: DataFrame, group: str, value: str, cuts: Sequence[float] = (50, 70, 90)) -> DataFrame:
     """n, n with a value, median, exclusive quartiles, mean and shares at or over each cut."""
+    rows = cut_lineage(rows.select(group, value))  # read by the plain aggregates and twice by the quantiles
     known = F.col(value).isNotNull()
     base = rows.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"),

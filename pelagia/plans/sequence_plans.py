@@ -106,6 +106,25 @@ TRIAD_SQL = f"""{ATOM_SQL}, pt AS (SELECT *, bool_or(atom <> 'CA') OVER (PARTITI
            QUALIFY ROW_NUMBER() OVER (PARTITION BY n1.structure, n1.kind ORDER BY n1.d + d1.d, n1.his) = 1)"""
 
 
+@query(
+    "jn20_triad_details",
+    f"""WITH {TRIAD_SQL}, ca AS (SELECT l_suppkey AS structure, CAST(l_partkey AS INT) AS position, max(l_tax) AS confidence FROM lineitem
+          WHERE l_partkey % 12 > 3 GROUP BY ALL)
+        SELECT tr.* EXCLUDE (kind), CASE WHEN structure % 2 = 0 THEN (nucleophile - 3) % 7 = 0 ELSE (nucleophile - 3) % 10 = 0 END AS nuc_in_motif,
+               n.confidence AS nuc_confidence, a.confidence AS asp_confidence, h.confidence AS his_confidence
+        FROM tr LEFT JOIN ca n ON n.structure = tr.structure AND n.position = nucleophile LEFT JOIN ca a ON a.structure = tr.structure AND a.position = asp
+             LEFT JOIN ca h ON h.structure = tr.structure AND h.position = his WHERE kind = 'C'""".replace("CASE WHEN structure %", "CASE WHEN tr.structure %"),
+)
+def jn20_details(spark, sf):
+    levels = table(spark, sf, "lineitem").selectExpr(
+        "l_suppkey AS structure", "CAST(l_partkey AS INT) AS position", "CASE WHEN l_partkey % 12 > 3 THEN 'CA' ELSE 'side' END AS atom", "l_tax AS confidence"
+    )
+    # Stretches with one motif each; in the second kind another match would overlap it.
+    proteins = table(spark, sf, "supplier").selectExpr("s_suppkey AS structure", "CASE WHEN s_suppkey % 2 = 0 THEN repeat('GACAGAC', 6000) ELSE repeat('GACAGTCTGW', 4200) END AS sequence")
+    found = rounded(sequences.structural_triads(atoms(spark, sf)), "nuc_his", "his_asp", "nuc_asp", "score")
+    return sequences.triad_details(found, levels, proteins)
+
+
 @query("jn20_structural_triads", f"WITH {TRIAD_SQL} SELECT * EXCLUDE (kind) FROM tr WHERE kind = 'C'")
 def jn20(spark, sf):
     return rounded(sequences.structural_triads(atoms(spark, sf)), "nuc_his", "his_asp", "nuc_asp", "score")

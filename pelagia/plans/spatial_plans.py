@@ -91,6 +91,17 @@ def jn15(spark, sf):
     return rounded(spatial.geographic_distances(sites), "km", digits=4)
 
 
+@query(
+    "jn15_neighbours_within_radius",
+    f"""SELECT a.genome AS genome_a, b.genome AS genome_b, round({_hav('a.lat', 'b.lat', 'b.lon-a.lon', '6371.0088')}, 4) AS km
+        FROM facts a JOIN facts b ON a.genome < b.genome AND {_hav('a.lat', 'b.lat', 'b.lon-a.lon', '6371.0088')} <= 300""",
+    ("facts",),
+)
+def jn15_neighbours(spark, sf):
+    found = spatial.neighbours_within(rel(spark, sf, "facts"), "genome", 300.0)
+    return rounded(found.withColumnsRenamed({"id_a": "genome_a", "id_b": "genome_b"}), "km", digits=4)
+
+
 @query(
     "jn16_groups_within_distance",
     f"""WITH RECURSIVE p AS (SELECT CAST(s_suppkey AS VARCHAR) AS id, CAST((s_suppkey * 37) % 181 - 90 AS DOUBLE) AS lat, CAST((s_suppkey * 53) % 361 - 180 AS DOUBLE) AS lon FROM supplier),

@@ -59,9 +59,20 @@ def ag31_p(spark, sf):
     return stats.mantel_haenszel(tables, ["habitat"])
 
 
-@query("ag33_fisher_exact")
+@query(
+    "ag33_fisher_exact",
+    f"""WITH {MARK_SQL}, h AS (SELECT habitat, count(*) FILTER (hit) AS a, count(*) FILTER (NOT hit) AS b FROM g GROUP BY 1),
+        t AS (SELECT habitat, a, b, CAST(sum(a) OVER () - a AS BIGINT) AS c, CAST(sum(b) OVER () - b AS BIGINT) AS d FROM h),
+        k AS (SELECT *, unnest(range(greatest(0, a - d), least(a + b, a + c) + 1)) AS k FROM t),
+        w AS (SELECT *, -(lgamma(k + 1) + lgamma(a + b - k + 1) + lgamma(a + c - k + 1) + lgamma(d - a + k + 1)) AS w,
+                     -(lgamma(a + 1) + lgamma(b + 1) + lgamma(c + 1) + lgamma(d + 1)) AS seen FROM k),
+        m AS (SELECT *, max(w) OVER (PARTITION BY habitat) AS top FROM w)
+        SELECT habitat, a, b, c, d, round(any_value(a::DOUBLE * d / nullif(b::DOUBLE * c, 0)), 6) AS fisher_or,
+               round(sum(exp(w - top)) FILTER (w <= seen + 1e-7) / sum(exp(w - top)), 6) AS fisher_p FROM m GROUP BY habitat, a, b, c, d""",
+    ("annotated", "facts"),
+)
 def ag33(spark, sf):
-    return stats.fisher_exact(stats.raw_two_by_two(marked(spark, sf), "habitat", F.col("hit")))
+    return rounded(stats.fisher_exact(stats.raw_two_by_two(marked(spark, sf), "habitat", F.col("hit"))), "fisher_or", "fisher_p")
 
 
 @query(

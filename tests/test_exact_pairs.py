@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pelagia.operators import community, enrich, farthest, greedy_clusters, ordering, richness
+from pelagia.operators import audit, community, enrich, farthest, greedy_clusters, neighbours, ordering, richness, spatial, stats
 
 PLACES = "cluster_id string, genome string, lat double, lon double"
 
@@ -160,3 +160,67 @@ def test_shared_genomes_from_the_rarer_member(spark):
         of.setdefault(m, set()).add(g)
     want = sorted((q, t, p, g) for q, t, p in hits if q != t and q for g in of.get(q, set()) & of.get(t, set()))
     assert sorted((r["query"], r["target"], r["pident"], r["genome"]) for r in got.collect()) == want
+
+
+def places(rnd):
+    pts = [(rnd.uniform(-90, 90), rnd.uniform(-180, 180)) for _ in range(60)]
+    pts += [(10 + rnd.gauss(0, 0.5), 179.8 + rnd.gauss(0, 0.5)) for _ in range(70)]  # a crowd over the date line
+    pts += [(89.5 + rnd.uniform(0, 0.5), rnd.uniform(-180, 180)) for _ in range(20)]
+    pts += [(10.0, 20.0)] * 5
+    return [(f"p{i:03d}", a, b if -180 <= b <= 180 else b - 360) for i, (a, b) in enumerate(pts)]
+
+
+@pytest.mark.parametrize("max_km, per_point", [(40.0, 16), (700.0, 1), (5000.0, 0), (None, 16), (30_000.0, 16)])
+def test_neighbours_within_a_radius(spark, monkeypatch, max_km, per_point):
+    monkeypatch.setattr(neighbours, "PAIRS_PER_POINT", per_point)
+    rows = places(random.Random(8))
+    df = spark.createDataFrame([*rows, ("none", None, 1.0), ("nan", float("nan"), 1.0)], "id string, lat double, lon double")
+    got = {(r.id_a, r.id_b): r.km for r in neighbours.neighbours_within(df, "id", max_km).collect()}
+    want = {(a[0], b[0]): km(a[1:], b[1:]) for a in rows for b in rows if a[0] < b[0]}
+    want = {k: v for k, v in want.items() if max_km is None or v <= max_km}
+    assert set(got) == set(want) and all(abs(got[k] - want[k]) < 1e-3 for k in want)
+
+
+@pytest.mark.parametrize("max_km, per_point", [(30.0, 0), (600.0, 1), (2500.0, 16)])
+def test_linked_groups(spark, monkeypatch, max_km, per_point):
+    monkeypatch.setattr(neighbours, "PAIRS_PER_POINT", per_point)
+    rows = places(random.Random(9))
+    got = {r["id"]: r["component"] for r in spatial.distance_groups(spark.createDataFrame(rows, "id string, lat double, lon double"), "id", max_km).collect()}
+    label = {r[0]: r[0] for r in rows}
+    moved = True
+    while moved:
+        moved = False
+        for a in rows:
+            for b in rows:
+                if label[b[0]] < label[a[0]] and km(a[1:], b[1:]) < max_km:
+                    label[a[0]], moved = label[b[0]], True
+    assert got == label
+
+
+def test_step_up_adjustment_and_ranks(spark):
+    rnd = random.Random(10)
+    ps = [rnd.choice([0.0, 1.0, 0.05, rnd.random(), rnd.random() ** 9, 1e-200, None]) for _ in range(300)]
+    got = {r.i: r.q_value for r in stats.benjamini_hochberg(spark.createDataFrame(list(enumerate(ps)), "i int, p double"), "p").collect()}
+    flat = [1.0 if p is None else p for p in ps]
+    for i, p in enumerate(flat):
+        q = min(min(1.0, v * len(flat) / sum(u <= v for u in flat)) for v in flat if v >= p)
+        assert got[i] == pytest.approx(q, rel=1e-12, abs=1e-300)
+    rows = [(f"k{rnd.randint(0, 10**6)}", rnd.choice([1, 1, 1, 2, 999, 1000, 1001, 1004, 123456, -3, 0])) for _ in range(200)]
+    rows = sorted(set(rows))
+    ranked = audit.ranked_list(spark.createDataFrame(rows, "key string, n long"), "key", "n").collect()
+    want = sorted(rows, key=lambda r: (-r[1], r[0]))
+    assert [(r["key"], r["n"]) for r in sorted(ranked, key=lambda r: r["rank"])] == want and sorted(r["rank"] for r in ranked) == list(range(1, len(rows) + 1))
+
+
+def test_counts_of_enriched_targets(spark):
+    rnd = random.Random(11)
+    rows = [(rnd.choice(["t1", "t2", "t3", None]), *rnd.choice([(None, False, None, False), ("g1", True, "s1", True), ("g2", False, "s1", True), ("g3", True, None, False)])) for _ in range(60)]
+    df = spark.createDataFrame(rows, "target_id string, genome string, genome_metadata_found boolean, sample_id string, sample_metadata_found boolean")
+    distinct = lambda values: len({v for v in values if v is not None})
+    want = (
+        len(rows), distinct(r[0] for r in rows), distinct(r[0] for r in rows if r[1]), distinct(r[1] for r in rows),
+        distinct(r[1] for r in rows if r[2]), distinct(r[3] for r in rows if r[4]),
+    )
+    out = enrich.enrichment_counts(df)
+    assert tuple(out.first()) == want and "Expand" not in out._jdf.queryExecution().executedPlan().toString()
+    assert tuple(enrich.enrichment_counts(df.limit(0)).first()) == (0,) * 6

@@ -1,3 +1,4 @@
+import math
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,12 @@ def test_haversine_and_basin(frame):
     assert abs(km - 3.141592653589793 * geo.EARTH_RADIUS_KM) < 1e-6
     assert row.select(geo.ocean_basin(F.lit(10.0), F.lit(70.0))).first()[0] == "Indian Ocean"
     assert row.select(geo.wrap_longitude(F.lit(190.0))).first()[0] == -170.0
+
+
+def test_log_factorial_series():
+    import numpy as np
+
+    from pelagia.functions.tails import log_factorial
+
+    n = np.array([0, 1, 2, 5, 10, 100, 12345, 10**7, 10**12], dtype=float)
+    assert np.allclose(log_factorial(n), [math.lgamma(v + 1) for v in n], rtol=1e-14, atol=1e-12)
