@@ -69,3 +69,22 @@ def test_ids_are_the_library_s(stages):
         ids = library.encode(by_id[r.doc_id] or "", add_eos=True)
         assert r.ids == ids and r.n_tokens == len(ids)
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_stages_with_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_path):
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(1, long, "en", "a", 1, "x", [1], "y"), (2, long + " more", "en", "a", 2, None, None, None), (None, None, None, None, None, None, None, None), (3, "", "en", "b", 0, "x", [], "y")]
+    rows += [(4, "one two three four five six", "en", "b", 27, "x", [2], "z")] * 2 + [(None, "q r s", "de", None, 5, "x", [2], "z"), (5, " \n ", "en", "c", 3, "x", [2], "z")]
+    rows += [(10 + i, " ".join(f"w{i}x{j}" for j in range(20)), "en", "abc"[i % 3], 100, "x", [3], "z") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, shard string, ids array<int>, decoded string")
+    for start in (df, df.limit(0)):
+        docs = start
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns or name == "sentencepiece"
+            out.write.parquet(f"{tmp_path}/{start is df}-{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{start is df}-{name}")
+            if name == "jaccard_join" and start is df:
+                kept = {r.doc_id for r in docs.collect()}
+                assert 1 in kept and 2 not in kept and 4 in kept and set(range(10, 40)) <= kept
+        assert (docs.count() > 20) == (start is df)
