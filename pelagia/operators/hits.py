@@ -54,8 +54,8 @@ def divergent_filter(
 def best_hit_per_target(hits: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Least e-value, then greatest bits, then least query; with the number of distinct queries.
 
-    One hash aggregate with map-side combine; the distinct count expands to
-    (target, query) before the shuffle, so a hot target is spread over its queries.
+    One aggregate combined before the shuffle, by sorting, since the best row is no single number;
+    the distinct count expands to (target, query) first, so a hot target is spread over its queries.
     """
     order = F.struct("evalue", -F.col("bits"), "query", "pident", "qcov", "tcov")
     row = F.struct(F.col("query").alias("best_query"), *HIT_VALUES)
