@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.mllib.linalg import Vectors
 from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.functions.geo import ocean_basin
@@ -124,20 +124,54 @@ def principal_coordinates(pairs: DataFrame, value: str, n_components: int = 2) -
     return out.select("site", *axes)
 
 
-def mantel_test(shared: DataFrame, sites: DataFrame, a: str, b: str, n_perm: int = 999, seed: int = 0) -> DataFrame:
+def _pair_sums(pairs: DataFrame, sites: DataFrame) -> DataFrame:
+    """One row of sums over the listed pairs (s, t): pairs in all, products, and whether s or t is one value throughout."""
+    n = sites.agg(F.count(F.lit(1)).cast("double").alias("n"))
+    products = {"s": F.col("s"), "t": F.col("t"), "ss": F.col("s") * F.col("s"), "tt": F.col("t") * F.col("t"), "st": F.col("s") * F.col("t")}
+    sums = pairs.agg(
+        F.count(F.lit(1)).alias("_listed"),
+        *[F.coalesce(F.sum(v), F.lit(0.0)).alias(f"_{k}") for k, v in products.items()],
+        *[f(c).alias(f"_{name}_{c}") for c in "st" for name, f in (("low", F.min), ("high", F.max))],
+    )
+    known = sums.withColumn("_n", n.scalar()).withColumn("_m", F.col("_n") * (F.col("_n") - 1) / 2)
+    zero = F.when(F.col("_listed") < F.col("_m"), F.lit(0.0))  # of the pairs that are not listed
+    flat = [F.coalesce(F.least(f"_low_{c}", zero) == F.greatest(f"_high_{c}", zero), F.lit(True)) for c in "st"]
+    return known.withColumn("_flat", flat[0] | flat[1])
+
+
+def _pearson(product: Column, flat: float | None) -> Column:
+    """r of a row of :func:`_pair_sums` with this sum of products; ``flat`` where a distance does not vary, NULL without pairs."""
+    s, t, m = F.col("_s"), F.col("_t"), F.col("_m")
+    spread = F.sqrt((m * F.col("_ss") - s * s) * (m * F.col("_tt") - t * t))
+    constant = F.when(m > 0, F.lit(flat).cast("double"))
+    return F.when(F.col("_flat"), constant).otherwise(F.try_divide(m * product - s * t, spread))
+
+
+def _similarities(shared: DataFrame, a: str, b: str) -> DataFrame:
+    return shared.select("site_a", "site_b", (1 - F.col(a)).alias("s"), (1 - F.col(b)).alias("t"))
+
+
+def mantel_statistic(shared: DataFrame, sites: DataFrame, a: str, b: str, flat: float | None = None) -> DataFrame:
+    """Pearson r of two distances over all pairs of sites, one row; arguments as in :func:`mantel_test`."""
+    known = _pair_sums(_similarities(shared, a, b), sites.select("site").distinct())
+    return known.select(_pearson(F.col("_st"), flat).alias("r"))
+
+
+def mantel_test(
+    shared: DataFrame, sites: DataFrame, a: str, b: str, n_perm: int = 999, seed: int = 0, flat: float | None = None
+) -> DataFrame:
     """Pearson r of two distances over all pairs of sites, and its two-sided, add-one permutation p.
 
     ``shared`` lists the pairs (site_a < site_b) with a distance below 1; every other pair of ``sites`` is at 1 in both.
     With s = 1 - d the rest are zeros, means and variances are sums over the listed pairs, and relabelling the sites of
     one distance changes none of them: a permutation only needs the sum of products of pairs listed on both sides, so
     the full table of pairs is never made. Site i becomes the site that stands in the first order where i stands in the
-    permutation's. r and p are null where a distance does not vary.
+    permutation's. Where a distance does not vary, r is ``flat``: None makes r and p null; with NaN, which equals
+    itself, every permutation counts and p is 1.
     """
-    pairs = cut_lineage(shared.select("site_a", "site_b", (1 - F.col(a)).alias("s"), (1 - F.col(b)).alias("t")))
+    pairs = cut_lineage(_similarities(shared, a, b))
     names = sites.select("site").distinct()
-    n = names.agg(F.count(F.lit(1)).cast("double").alias("n"))
-    products = {"s": F.col("s"), "t": F.col("t"), "ss": F.col("s") * F.col("s"), "tt": F.col("t") * F.col("t"), "st": F.col("s") * F.col("t")}
-    sums = pairs.agg(*[F.coalesce(F.sum(v), F.lit(0.0)).alias(f"_{k}") for k, v in products.items()])
+    known = _pair_sums(pairs, names)
     orders = cut_lineage(permutations(names, "site", n_perm + 1, seed))
     start = orders.where("perm = 0").select(F.col("site").alias("to"), "position")
     moved = orders.where("perm > 0").join(start, "position").select("perm", "site", "to")
@@ -147,10 +181,7 @@ def mantel_test(shared: DataFrame, sites: DataFrame, a: str, b: str, n_perm: int
     keyed = opened.select("perm", "s", F.least("_ta", "_tb").alias("site_a"), F.greatest("_ta", "_tb").alias("site_b"))
     met = keyed.join(pairs.select("site_a", "site_b", "t"), ["site_a", "site_b"]).groupBy("perm").agg(F.sum(F.col("s") * F.col("t")).alias("_p"))
     every = orders.where("perm > 0").select("perm").distinct().join(met, "perm", "left").fillna(0.0, ["_p"])
-    known = sums.withColumn("_n", n.scalar()).withColumn("_m", F.col("_n") * (F.col("_n") - 1) / 2)
-    spread = F.sqrt((F.col("_m") * F.col("_ss") - F.col("_s") * F.col("_s")) * (F.col("_m") * F.col("_tt") - F.col("_t") * F.col("_t")))
-    r = lambda product: F.try_divide(F.col("_m") * product - F.col("_s") * F.col("_t"), spread)
-    null = every.join(F.broadcast(known)).select(r(F.col("_st")).alias("r"), r(F.col("_p")).alias("rp"))  # one row of sums
+    null = every.join(F.broadcast(known)).select(_pearson(F.col("_st"), flat).alias("r"), _pearson(F.col("_p"), flat).alias("rp"))  # one row of sums
     return null.groupBy("r").agg(
         F.when(F.col("r").isNotNull(), (F.count_if(F.abs("rp") >= F.abs("r")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_value"),
         F.count(F.lit(1)).alias("n_permutations"),

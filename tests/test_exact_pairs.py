@@ -224,3 +224,19 @@ def test_counts_of_enriched_targets(spark):
     out = enrich.enrichment_counts(df)
     assert tuple(out.first()) == want and "Expand" not in out._jdf.queryExecution().executedPlan().toString()
     assert tuple(enrich.enrichment_counts(df.limit(0)).first()) == (0,) * 6
+
+
+def test_mantel_where_a_distance_does_not_vary(spark):
+    sites = spark.createDataFrame([(c,) for c in "abcd"], "site string")
+    every = [(a, b) for a in "abcd" for b in "abcd" if a < b]
+    listed = spark.createDataFrame([(a, b, 0.1 + 0.1 * i, 0.3) for i, (a, b) in enumerate(every)], "site_a string, site_b string, x double, y double")
+    nan = float("nan")
+    assert math.isnan(community.mantel_statistic(listed, sites, "x", "y", flat=nan).first()["r"])
+    assert community.mantel_statistic(listed, sites, "x", "y").first()["r"] is None
+    out = community.mantel_test(listed, sites, "x", "y", n_perm=9, seed=3, flat=nan).first()
+    assert math.isnan(out["r"]) and out["p_value"] == 1.0 and out["n_permutations"] == 9
+    # A pair that is not listed is at distance 1, so y varies now.
+    fewer = listed.where("site_a <> 'a' or site_b <> 'b'")
+    x, y = [1.0, *[0.1 + 0.1 * i for i in range(1, 6)]], [1.0, *[0.3] * 5]
+    assert community.mantel_statistic(fewer, sites, "x", "y", flat=nan).first()["r"] == pytest.approx(np.corrcoef(x, y)[0, 1])
+    assert community.mantel_statistic(listed.limit(0), sites.limit(1), "x", "y", flat=nan).first()["r"] is None
