@@ -217,4 +217,6 @@ def opg4(spark, sf):
 
 @query("opg4_mantel_statistic", f"WITH {DIST_SQL} SELECT round(corr(bray_curtis, jaccard), 6) AS r FROM ds", NEEDS)
 def opg4_r(spark, sf):
-    return rounded(_distances(spark, sf).agg(F.corr("bray_curtis", "jaccard").alias("r")), "r")
+    counts, meta = sites(spark, sf)
+    found = community.mantel_statistic(community.community_distances(counts), meta, "bray_curtis", "jaccard", flat=float("nan"))
+    return rounded(found, "r")
