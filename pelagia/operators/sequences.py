@@ -9,7 +9,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.functions.text import AMINO_ACIDS, kmers, motif_positions
+from pelagia.functions.text import AMINO_ACIDS, kmers, motif_at
 from pelagia.session import cut_lineage
 
 
@@ -129,80 +129,92 @@ def triad_residues(atoms: DataFrame) -> DataFrame:
     )
 
 
-def _nearest(points: Column, others: Column) -> Column:
-    """Least distance between two short point lists."""
+def triad_points(atoms: DataFrame) -> DataFrame:
+    """(structure, position, residue, acts, acting, x, y, z): a row for each acting or CA atom; ``acts`` of the residue."""
+    entry = lambda kind: lambda p: F.struct(F.lit(kind).alias("acting"), p["x"].alias("x"), p["y"].alias("y"), p["z"].alias("z"))
+    opened = F.inline(F.concat(F.transform("acting", entry(True)), F.transform("ca", entry(False))))
+    return triad_residues(atoms).select("structure", "position", "residue", (F.size("acting") > 0).alias("acts"), opened)
 
-    def one(p: Column) -> Column:
-        return F.array_min(
-            F.transform(
-                others,
-                lambda o: F.sqrt(F.pow(p["x"] - o["x"], 2) + F.pow(p["y"] - o["y"], 2) + F.pow(p["z"] - o["z"], 2)),
-            )
-        )
 
-    return F.array_min(F.transform(points, one))
+def _side(points: DataFrame, name: str) -> DataFrame:
+    return points.select("structure", *[F.col(c).alias(f"{c}_{name}") for c in points.columns if c != "structure"])
 
 
-def residue_gap(a: Column, b: Column) -> Column:
-    """Acting atoms to acting atoms; CA to CA if either residue lacks its acting atom."""
-    both = (F.size(a["acting"]) > 0) & (F.size(b["acting"]) > 0)
-    return F.when(both, _nearest(a["acting"], b["acting"])).otherwise(_nearest(a["ca"], b["ca"]))
+def _gap(a: str, b: str) -> tuple[Column, Column]:
+    """Whether two atoms count for the gap of their residues, and their distance.
+
+    Acting atoms meet acting atoms; CA meets CA if either residue lacks its acting atom.
+    """
+    both = F.col(f"acts_{a}") & F.col(f"acts_{b}")
+    counts = (F.col(f"acting_{a}") == F.col(f"acting_{b}")) & (F.col(f"acting_{a}") == both)
+    off = [F.col(f"{c}_{a}") - F.col(f"{c}_{b}") for c in "xyz"]
+    return counts, F.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2])
 
 
 TRIAD_COLUMNS = ["nucleophile", "his", "asp", "nuc_his", "his_asp", "nuc_asp", "score", "in_order", "tight"]
 
 
+def best_triads(atoms: DataFrame, kinds: dict[str, Sequence[str]], tight: float) -> DataFrame:
+    """(structure, kind, triad): the best triad of every structure for each kind of nucleophile (kind -> residues).
+
+    The sum splits at the histidine, so each histidine only needs its least distance to a nucleophile and to an
+    aspartate: one join of a structure's histidines with its other residues, whose rows go straight into a hash
+    aggregate of least distances. Only for the best histidine are the partners looked up, by that distance.
+    """
+    points = cut_lineage(triad_points(atoms))  # met four times
+    his = _side(points.where("residue = 'H' AND position IS NOT NULL"), "h")
+    others = points.where("residue <> 'H'")
+    counts, gap = _gap("h", "o")
+    met = his.join(_side(others, "o"), "structure").where(counts)
+    of = lambda letters, side: F.col(f"residue_{side}").isin(list(letters))
+    near = met.groupBy("structure", F.col("position_h").alias("his")).agg(
+        F.min(F.when(of("D", "o"), gap)).alias("his_asp"),
+        *[F.min(F.when(of(letters, "o"), gap)).alias(f"_{kind}") for kind, letters in kinds.items()],
+    )
+    each = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(f"_{kind}").alias("nuc_his")) for kind in kinds])
+    scored = near.select("structure", "his", "his_asp", F.inline(each)).withColumn("score", F.col("nuc_his") + F.col("his_asp"))
+    best = F.min(F.struct("score", "his", "nuc_his", "his_asp")).alias("_b")
+    best = scored.where("score IS NOT NULL").groupBy("structure", "kind").agg(best).select("structure", "kind", "_b.*")
+    best = cut_lineage(best)  # a row per structure and kind
+
+    def nucleophile(side: str) -> Column:
+        return F.array_contains(F.create_map(*[x for k, v in kinds.items() for x in (F.lit(k), F.array(*[F.lit(r) for r in v]))])[F.col("kind")], F.col(f"residue_{side}"))
+
+    chosen = best.join(his, "structure").where("position_h = his").join(_side(others, "o"), "structure").where(counts)
+    partners = chosen.groupBy("structure", "kind").agg(
+        F.min(F.when(nucleophile("o") & (gap == F.col("nuc_his")), F.col("position_o"))).alias("nucleophile"),
+        F.min(F.when(of("D", "o") & (gap == F.col("his_asp")), F.col("position_o"))).alias("asp"),
+    )
+    third_counts, third = _gap("n", "d")
+    ends = partners.join(_side(others, "n"), "structure").where((F.col("position_n") == F.col("nucleophile")) & nucleophile("n"))
+    ends = ends.join(_side(others, "d"), "structure").where((F.col("position_d") == F.col("asp")) & of("D", "d") & third_counts)
+    thirds = ends.groupBy("structure", "kind").agg(F.min(third).alias("nuc_asp"))
+    full = best.join(partners, ["structure", "kind"]).join(thirds, ["structure", "kind"], "left").select(
+        "*",
+        ((F.col("nucleophile") < F.col("asp")) & (F.col("asp") < F.col("his"))).alias("in_order"),
+        ((F.col("nuc_his") <= tight) & (F.col("his_asp") <= tight)).alias("tight"),
+    )
+    return full.select("structure", "kind", F.struct(*TRIAD_COLUMNS).alias("triad"))
+
+
 def structural_triads(atoms: DataFrame, nucleophiles: Sequence[str] = ("C",), tight: float = 4.5) -> DataFrame:
     """Best (nucleophile, His, Asp) of every structure by the sum of its two distances.
 
-    The sum splits at the histidine, so each histidine only needs its nearest nucleophile
-    and its nearest aspartate: no triple product, and all of it inside one row.
     ``nuc_asp`` is the third distance; ``in_order`` tells whether the three follow in the
     order nucleophile, Asp, His.
     """
-    residues = triad_residues(atoms)
-    entry = F.struct("position", "acting", "ca")
-
-    def of(letters: Sequence[str]) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("residue").isin(list(letters)), entry)))
-
-    sides = residues.groupBy("structure").agg(of(nucleophiles).alias("_n"), of(["H"]).alias("_h"), of(["D"]).alias("_d"))
-    sides = sides.where((F.size("_n") > 0) & (F.size("_h") > 0) & (F.size("_d") > 0))
-
-    def partner(his: Column, side: str) -> Column:
-        gaps = F.transform(F.col(side), lambda r: F.struct(residue_gap(r, his).alias("gap"), r["position"].alias("position"), r.alias("r")))
-        return F.array_min(F.filter(gaps, lambda g: g["gap"].isNotNull()))
-
-    def scored(his: Column) -> Column:
-        # Bound once: every mention of a partner would search for it anew.
-        both = F.array(F.struct(partner(his, "_n").alias("n"), partner(his, "_d").alias("d")))
-        return F.transform(both, lambda p: F.struct(
-            (p["n"]["gap"] + p["d"]["gap"]).alias("score"), his["position"].alias("his"), p["n"]["position"].alias("nucleophile"),
-            p["d"]["position"].alias("asp"), p["n"]["gap"].alias("nuc_his"), p["d"]["gap"].alias("his_asp"),
-            residue_gap(p["n"]["r"], p["d"]["r"]).alias("nuc_asp"),
-        ))[0]
-
-    found = F.filter(F.transform("_h", scored), lambda t: t["score"].isNotNull())
-    best = sides.select("structure", F.array_min(found).alias("_b")).where("_b IS NOT NULL").select("structure", "_b.*")
-    return best.select(
-        "structure", *TRIAD_COLUMNS[:-2],
-        ((F.col("nucleophile") < F.col("asp")) & (F.col("asp") < F.col("his"))).alias("in_order"),
-        ((F.col("nuc_his") <= tight) & (F.col("his_asp") <= tight)).alias("tight"),
-    )
+    return best_triads(atoms, {"nuc": nucleophiles}, tight).select("structure", "triad.*")
 
 
 def triad_with_fallback(atoms: DataFrame, tight: float = 4.5) -> DataFrame:
     """Cysteine triad where it is tight, else a tight serine one, else a tight threonine one, else the cysteine result."""
-
-    def of(letter: str) -> DataFrame:
-        return structural_triads(atoms, [letter], tight).select("structure", F.struct(*TRIAD_COLUMNS).alias(f"_{letter}"))
-
-    joined = of("C").join(of("S").where("_S.tight"), "structure", "full_outer").join(of("T").where("_T.tight"), "structure", "full_outer")
-    kind = F.when(F.coalesce(F.col("_C.tight"), F.lit(False)), "C").when(F.col("_S").isNotNull(), "S").when(F.col("_T").isNotNull(), "T").otherwise("C")
-    chosen = joined.withColumn("kind", kind)
-    picked = F.when(F.col("kind") == "S", F.col("_S")).when(F.col("kind") == "T", F.col("_T")).otherwise(F.col("_C"))
-    label = F.when(F.col("kind") == "C", "C").otherwise("S/T").alias("kind")
-    return chosen.select("structure", label, picked.alias("_p")).select("structure", "kind", "_p.*")
+    found = best_triads(atoms, {r: [r] for r in "CST"}, tight)
+    is_c, is_tight = F.col("kind") == "C", F.col("triad.tight")
+    turn = F.when(is_c & is_tight, 1).when((F.col("kind") == "S") & is_tight, 2).when((F.col("kind") == "T") & is_tight, 3).when(is_c, 4)
+    label = F.when(is_c, "C").otherwise("S/T").alias("kind")
+    ranked = found.withColumn("turn", turn).where("turn IS NOT NULL")
+    picked = ranked.groupBy("structure").agg(F.min_by(F.struct(label, "triad"), "turn").alias("_p"))
+    return picked.select("structure", "_p.kind", "_p.triad.*")
 
 
 def triad_details(triads: DataFrame, atoms: DataFrame, proteins: DataFrame, nucleophile: str = "C") -> DataFrame:
@@ -212,14 +224,19 @@ def triad_details(triads: DataFrame, atoms: DataFrame, proteins: DataFrame, nucl
     right, none overlapping another); NULL without a sequence. A confidence is that of the residue's CA atom (the
     greatest, if it is listed twice), NULL if there is none. One join serves the three residues.
     """
-    motif = motif_positions(F.col("sequence"), f"G.[{nucleophile}].G", 5, 2)
-    known = triads.join(proteins.select("structure", motif.alias("_m")), "structure", "left")
+    triads = cut_lineage(triads)  # a row per structure, met three times
+    inside_motif = motif_at(F.col("sequence"), f"G.[{nucleophile}].G", 5, F.col("nucleophile"), 2).alias("nuc_in_motif")
+    # Settled beside the sequence, so that no list of matches is sent anywhere; dealt by number, since a small file of
+    # long sequences would be one task.
+    parts = int(triads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    inside = proteins.repartition(parts, "structure").join(triads.select("structure", "nucleophile"), "structure")
+    known = triads.join(inside.select("structure", inside_motif), "structure", "left")
     roles = {"nuc": "nucleophile", "asp": "asp", "his": "his"}
     parts = F.array(*[F.struct(F.lit(role).alias("role"), F.col(column).alias("position")) for role, column in roles.items()])
     levels = atoms.where("atom = 'CA'").groupBy("structure", "position").agg(F.max("confidence").alias("confidence"))
     found = triads.select("structure", F.inline(parts)).join(levels, ["structure", "position"])
     sides = found.groupBy("structure").agg(*[F.max(F.when(F.col("role") == role, F.col("confidence"))).alias(f"{role}_confidence") for role in roles])
-    return known.join(sides, "structure", "left").withColumn("nuc_in_motif", F.array_contains("_m", F.col("nucleophile"))).drop("_m")
+    return known.join(sides, "structure", "left")
 
 
 # ---- model scores ----------------------------------------------------------------------

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from pelagia.functions import text
 from pelagia.functions.tails import fisher_two_sided
 from pelagia.operators import (
     audit, community, ecology, enrich, farthest, graph, greedy_clusters, hits, matrix, neighborhood, reference, richness, sequences, spatial, stats,
@@ -301,3 +302,42 @@ def test_triad_needs_both_acting_atoms_or_takes_ca(frame):
     df = frame(atoms, "structure string, position int, residue string, atom string, x double, y double, z double")
     out = sequences.triad_with_fallback(df).collect()
     assert [(r["structure"], r["kind"], r["nuc_his"], r["his_asp"], r["nuc_asp"], r["in_order"], r["tight"]) for r in out] == [("a", "C", 10.0, 3.0, 30.0, False, False)]
+
+
+def test_triads_against_loops_and_many_matches(frame):
+    rng = random.Random(11)
+    names = {"C": "SG", "S": "OG", "T": "OG1", "H": "NE2", "D": "OD1"}
+    atoms = []
+    for s in ("p", "q", "r"):
+        for i in range(60):
+            residue = rng.choice("CSTHDA")
+            for atom in (names.get(residue, "CB"), "CA"):
+                if rng.random() < 0.7:
+                    atoms.append((s, i, residue, atom, *[float(rng.randint(0, 12)) for _ in range(3)]))
+    held = {}
+    for s, i, r, a, *xyz in atoms:
+        held.setdefault((s, i, r), {}).setdefault("act" if a == names.get(r) else a, []).append(xyz)
+
+    def gap(s, a, b):
+        x, y = held[(s, *a)], held[(s, *b)]
+        kind = "act" if "act" in x and "act" in y else "CA"
+        return min((math.sqrt(sum((u - v) ** 2 for u, v in zip(p, q))) for p in x.get(kind, []) for q in y.get(kind, [])), default=None)
+
+    want = {}
+    for s in ("p", "q", "r"):
+        at = lambda letters: [(i, r) for t, i, r in held if t == s and r in letters]
+        near = lambda h, others: min(((g, o[0], o) for o in others if (g := gap(s, o, h)) is not None), default=None)
+        both = [(n[0] + d[0], h[0], n, d) for h in at("H") if (n := near(h, at("C"))) and (d := near(h, at("D")))]
+        if both:
+            score, his, n, d = min(both)
+            want[s] = (n[1], his, d[1], score, gap(s, n[2], d[2]))
+    df = frame(atoms, "structure string, position int, residue string, atom string, x double, y double, z double")
+    got = {r["structure"]: (r["nucleophile"], r["his"], r["asp"], r["score"], r["nuc_asp"]) for r in sequences.structural_triads(df).collect()}
+    assert got == want and len(want) == 3
+    # A long chain of matches takes time in proportion to its length (200,000 matches never ended as a growing list).
+    long = frame([("p", "GACAG" * 200_000)], "structure string, sequence string")
+    positions = text.motif_positions(F.col("sequence"), "G.C.G", 5, 2)
+    assert tuple(long.select(F.size(positions), positions[199_999]).first()) == (200_000, 999_998)
+    short = frame([("GACAGACAG", i) for i in (1, 2, 3, 7, 8, 9, 20, None)], "m string, p int").unionByName(frame([(None, 3)], "m string, p int"))
+    at = [r[0] for r in short.select(text.motif_at(F.col("m"), "G.C.G", 5, F.col("p"), 2)).collect()]
+    assert at == [False, False, True, False, False, False, False, None, None]
