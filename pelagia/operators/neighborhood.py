@@ -12,10 +12,16 @@ from pelagia.operators.ordering import ordered_index
 
 
 def anchor_sequences(hits: DataFrame, sequences: DataFrame) -> DataFrame:
-    """Distinct (genome, sequence) of the hit targets; missing and empty sequences dropped."""
+    """Distinct (genome, sequence) of the hit targets; missing and empty sequences dropped.
+
+    Pairs are made distinct by the digest of the sequence, and the sequence itself is fetched last, so that it is dealt
+    out once per different text and not once per hit.
+    """
     known = sequences.where(F.col("sequence").isNotNull() & (F.col("sequence") != ""))
-    pairs = hits.select("genome", "target").distinct()
-    return pairs.join(known, "target").select("genome", "sequence").distinct()
+    known = known.select("target", "sequence", F.unhex(F.sha2("sequence", 256)).alias("_h"))
+    texts = known.dropDuplicates(["_h"]).select("_h", "sequence")
+    pairs = hits.select("genome", "target").join(known.select("target", "_h").distinct(), "target")
+    return pairs.select("genome", "_h").distinct().join(texts, "_h").select("genome", "sequence")
 
 
 def gene_positions(genes: DataFrame, scaffold: str, order: Sequence[str], bucket: Column) -> DataFrame:

@@ -341,3 +341,14 @@ def test_triads_against_loops_and_many_matches(frame):
     short = frame([("GACAGACAG", i) for i in (1, 2, 3, 7, 8, 9, 20, None)], "m string, p int").unionByName(frame([(None, 3)], "m string, p int"))
     at = [r[0] for r in short.select(text.motif_at(F.col("m"), "G.C.G", 5, F.col("p"), 2)).collect()]
     assert at == [False, False, True, False, False, False, False, None, None]
+
+
+def test_anchor_sequences_send_a_text_once(frame):
+    hits_ = frame([(f"g{i % 7}", f"t{i % 5}") for i in range(200)] + [("g0", "t9"), (None, "t0")], "genome string, target string")
+    texts = [("t0", "AA"), ("t1", "AA"), ("t2", "B"), ("t3", ""), ("t4", None), ("t0", "CC"), ("t8", "D")]
+    df = frame(texts, "target string, sequence string")
+    out = neighborhood.anchor_sequences(hits_, df)
+    assert sorted(map(tuple, out.collect()), key=repr) == sorted([(g, s) for g in [None, *[f"g{i}" for i in range(7)]] for s in ("AA", "B", "CC") if g or s != "B"], key=repr)
+    # Pairs are told apart without their text: no grouping key of the plan after the join is the sequence.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("sequence" in line.split("],")[0] for line in plan.splitlines() if "Aggregate [genome" in line)
