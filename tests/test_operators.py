@@ -352,3 +352,17 @@ def test_anchor_sequences_send_a_text_once(frame):
     # Pairs are told apart without their text: no grouping key of the plan after the join is the sequence.
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not any("sequence" in line.split("],")[0] for line in plan.splitlines() if "Aggregate [genome" in line)
+
+
+def test_facts_come_from_a_table_of_genomes(spark, frame):
+    from pelagia.plans.common import FAMILY_ORDER, MATRIX_FACTS, family_matrix, rel
+
+    sf = "/root/testdata/sf0.001"
+    kept = matrix.drop_bad_queries(rel(spark, sf, "annotated"), rel(spark, sf, "bad_queries"))
+    want = matrix.genome_family_matrix(kept, FAMILY_ORDER, MATRIX_FACTS)
+    got = family_matrix(spark, sf)
+    assert got.columns == want.columns and sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert "min_by" not in got._jdf.queryExecution().optimizedPlan().toString()  # no hit carries facts to an aggregate
+    counts = frame([("g1", 2), ("g2", 1)], "genome string, n long")
+    facts = frame([("g1", "a"), ("g1", "a"), ("g3", "b")], "genome string, genus string")
+    assert [tuple(r) for r in matrix.add_facts(counts, facts, ["genus"]).collect()] == [("g1", 2, "a")]
