@@ -26,10 +26,20 @@ def with_clusters(rows: DataFrame, clusters: DataFrame) -> DataFrame:
 
 
 def cluster_genomes(
-    rows: DataFrame, facts: Sequence[str] = ("lat", "lon", "depth_m", "genus", "phylum", "study"), order: str = "ord"
+    rows: DataFrame,
+    facts: Sequence[str] = ("lat", "lon", "depth_m", "genus", "phylum", "study"),
+    order: str = "ord",
+    genomes: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per (cluster, genome): first-seen facts and the number of distinct targets."""
+    """One row per (cluster, genome): first-seen facts and the number of distinct targets.
+
+    With a table of ``genomes`` the facts come from there, so that no hit carries them; genomes it lacks are dropped.
+    """
     placed = rows.where(F.col("genome").isNotNull() & (F.col("genome") != ""))
+    if genomes is not None:
+        about = genomes.select("genome", *facts).dropDuplicates(["genome"])
+        counted = placed.groupBy("cluster_id", "genome").agg(F.count_distinct("target_id").alias("n_target_ids"))
+        return counted.join(about, "genome").select("cluster_id", "genome", *facts, "n_target_ids")
     first = F.min_by(F.struct(*facts), F.col(order)).alias("_first")
     return (
         placed.groupBy("cluster_id", "genome")
@@ -38,9 +48,11 @@ def cluster_genomes(
     )
 
 
-def cluster_points(rows: DataFrame, facts: Sequence[str] = ("lat", "lon", "depth_m")) -> DataFrame:
+def cluster_points(
+    rows: DataFrame, facts: Sequence[str] = ("lat", "lon", "depth_m"), genomes: DataFrame | None = None
+) -> DataFrame:
     """(cluster, genome) rows that have a position."""
-    return cluster_genomes(rows, facts).where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    return cluster_genomes(rows, facts, genomes=genomes).where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
 def spherical_dispersion(points: DataFrame, group: str = "cluster_id") -> DataFrame:
@@ -72,13 +84,16 @@ def strided_sample(points: DataFrame, group: str = "cluster_id", order: str = "g
     return slot.where((F.col("_total") <= cap) | on_stride).drop("_h", "_k", "_total", "_i")
 
 
-def cluster_ecology(rows: DataFrame, top_n: int = 5, distances: bool = True) -> DataFrame:
+def cluster_ecology(rows: DataFrame, top_n: int = 5, distances: bool = True, facts: DataFrame | None = None) -> DataFrame:
     """Targets, genomes, spread, median depth and top taxa per cluster, most genomes first.
 
-    With ``distances`` also the greatest distance between two positions of the cluster.
+    With ``distances`` also the greatest distance between two positions of the cluster. ``facts`` is a table of genomes
+    (see :func:`cluster_genomes`); without it the rows carry their facts.
     """
+    if facts is not None:
+        rows = rows.join(facts.select("genome"), "genome", "left_semi")
     # Read by five aggregates below, so the (cluster, genome) table is written once.
-    genomes = cut_lineage(cluster_genomes(rows))
+    genomes = cut_lineage(cluster_genomes(rows, genomes=facts))
     points = genomes.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
     placed = rows.where(F.col("genome").isNotNull() & (F.col("genome") != ""))
     targets = placed.groupBy("cluster_id").agg(F.count_distinct("target_id").alias("n_target_ids"))

@@ -366,3 +366,12 @@ def test_facts_come_from_a_table_of_genomes(spark, frame):
     counts = frame([("g1", 2), ("g2", 1)], "genome string, n long")
     facts = frame([("g1", "a"), ("g1", "a"), ("g3", "b")], "genome string, genus string")
     assert [tuple(r) for r in matrix.add_facts(counts, facts, ["genus"]).collect()] == [("g1", 2, "a")]
+
+
+def test_cluster_facts_come_from_a_table_of_genomes(frame):
+    rows = eco_rows(frame)
+    about = rows.groupBy("genome").agg(*[F.min_by(c, "ord").alias(c) for c in ("lat", "lon", "depth_m", "genus", "phylum", "study")])
+    lean = rows.select("target_id", "genome", "ord", "cluster_id")
+    stray = lean.unionByName(frame([("T8", "G8", 9, "REP1")], "target_id string, genome string, ord int, cluster_id string"))
+    want = [tuple(r) for r in ecology.cluster_ecology(rows).collect()]
+    assert [tuple(r) for r in ecology.cluster_ecology(stray, facts=about).collect()] == want
