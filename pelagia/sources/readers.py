@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pelagia.functions.text import from_hybrid36
 from pelagia.sources.json_split import json_records
 from pelagia.sources.schemas import ENTRY_SCHEMA, ENZYME_RECORD, SAMPLE_XML_SCHEMA
 
@@ -308,7 +309,10 @@ def embedded_json(pages: DataFrame, html: str = "html", fields: Sequence[str] =
 
 
 def read_atoms(spark: SparkSession, path: str) -> DataFrame:
-    """Atom lines of fixed-width structure files: residue, atom, coordinates and confidence."""
+    """Atom lines of fixed-width structure files: residue, atom, coordinates and confidence.
+
+    Residue numbers from 10,000 on are read in the hybrid base-36 form that keeps them four characters wide.
+    """
     lines = spark.read.text(path).where(F.startswith("value", F.lit("ATOM")))
 
     def cut(start: int, length: int) -> Column:
@@ -317,7 +321,7 @@ def read_atoms(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(
         F.regexp_replace("_metadata.file_name", r"\.pdb$", "").alias("structure"),
         cut(18, 3).alias("resn"),
-        cut(23, 4).try_cast("int").alias("position"),
+        from_hybrid36(cut(23, 4), 4).cast("int").alias("position"),
         cut(13, 4).alias("atom"),
         *[cut(s, 8).try_cast("double").alias(n) for n, s in (("x", 31), ("y", 39), ("z", 47))],
         cut(61, 6).try_cast("double").alias("confidence"),

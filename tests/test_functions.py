@@ -97,3 +97,14 @@ def test_log_factorial_series():
 
     n = np.array([0, 1, 2, 5, 10, 100, 12345, 10**7, 10**12], dtype=float)
     assert np.allclose(log_factorial(n), [math.lgamma(v + 1) for v in n], rtol=1e-14, atol=1e-12)
+
+
+def test_hybrid36_keeps_the_width(frame):
+    numbers = [0, 7, -999, 9999, 10000, 10035, 90001, 1223055, 1223056, 2436111]
+    df = frame([(n,) for n in numbers], "n long").withColumn("w", text.to_hybrid36(F.col("n"), 4))
+    rows = df.select("n", "w", text.from_hybrid36(F.col("w"), 4).alias("back")).collect()
+    assert [r["w"] for r in rows[:8]] == ["0", "7", "-999", "9999", "A000", "A00Z", "BPQ9", "ZZZZ"]
+    assert [r["w"] for r in rows[8:]] == ["a000", "zzzz"] and all(r["back"] == r["n"] for r in rows)
+    with pytest.raises(Exception, match="does not fit"):
+        frame([(2436112,)], "n long").select(text.to_hybrid36(F.col("n"), 4)).collect()
+    assert [r[0] for r in frame([("A00",), ("A-00",), ("",)], "w string").select(text.from_hybrid36(F.col("w"), 4)).collect()] == [None] * 3
