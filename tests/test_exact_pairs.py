@@ -240,3 +240,16 @@ def test_mantel_where_a_distance_does_not_vary(spark):
     x, y = [1.0, *[0.1 + 0.1 * i for i in range(1, 6)]], [1.0, *[0.3] * 5]
     assert community.mantel_statistic(fewer, sites, "x", "y", flat=nan).first()["r"] == pytest.approx(np.corrcoef(x, y)[0, 1])
     assert community.mantel_statistic(listed.limit(0), sites.limit(1), "x", "y", flat=nan).first()["r"] is None
+
+
+def test_pairs_without_a_common_genome_go_by_signature_and_hot_members_keep_theirs(spark, monkeypatch):
+    rnd = random.Random(5)
+    links = [(f"t{rnd.randrange(12)}", f"g{rnd.randrange(25)}") for _ in range(60)] + [("t0", f"g{i}") for i in range(25)] + [("t1", None)]
+    hits = [(f"t{rnd.randrange(13)}", f"t{rnd.randrange(13)}", float(i)) for i in range(80)]
+    held = {t: {g for u, g in links if u == t and g} for t in {f"t{i}" for i in range(13)}}
+    expected = sorted((q, t, p, g) for q, t, p in hits if q != t for g in held[q] & held[t])
+    for most in (0, 4, 256):
+        monkeypatch.setattr(enrich, "SIGNED", most)
+        got = enrich.shared_genome_pairs(spark.createDataFrame(hits, "query string, target string, pident double"), spark.createDataFrame(links, "target string, genome string"))
+        assert sorted((r.query, r.target, r.pident, r.genome) for r in got.collect()) == expected
+        assert "arrays_overlap" in got._jdf.queryExecution().optimizedPlan().toString()
