@@ -137,3 +137,15 @@ def test_reports_are_text(spark):
     df = spark.createDataFrame([(1.23456, None, True)], "a double, b string, c boolean")
     assert tuple(writers.formatted(df, {"a": "%.4f"}).first()) == ("1.2346", "", "True")
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_enzyme_json_over_several_files(spark, tmp_path):
+    entry = lambda i: f'"{i}.1":' + json.dumps({"general_information": [{"value": f"v{i}}}\"", "comment": "{", "proteins": ["1"], "references": []}]})
+    (tmp_path / "part-00000").write_text('{"release":"r1","note":{"x":{}},"data":{' + entry(0))
+    for n in range(1, 9):
+        (tmp_path / f"part-{n:05}").write_text("".join("," + entry(i) for i in range(n * 1000, n * 1000 + 3 * n)))
+    (tmp_path / "part-00009").write_text("}}\n")
+    got = readers.read_enzyme_json(spark, str(tmp_path)).collect()
+    assert sorted(r.ec for r in got) == sorted(f"{i}.1" for i in [0, *[n * 1000 + k for n in range(1, 9) for k in range(3 * n)]])
+    assert {r.release for r in got} == {"r1"}
+    assert all(r.record["general_information"][0]["value"] == f'v{r.ec[:-2]}}}"' for r in got)
