@@ -375,3 +375,12 @@ def test_cluster_facts_come_from_a_table_of_genomes(frame):
     stray = lean.unionByName(frame([("T8", "G8", 9, "REP1")], "target_id string, genome string, ord int, cluster_id string"))
     want = [tuple(r) for r in ecology.cluster_ecology(rows).collect()]
     assert [tuple(r) for r in ecology.cluster_ecology(stray, facts=about).collect()] == want
+
+
+def test_variant_table_deals_rows_before_it_makes_them_distinct(frame):
+    rows = [("t", f"g{i}", g) for i, g in enumerate(["a", "a", "b", None, "", "c", "c", "d", "e", "f"])] * 2 + [("u", "g1", ""), ("u", "g2", None)]
+    out = audit.variant_table(frame(rows, "target_id string, genome string, genus string"))
+    got = {r.target_id: (r.n_genomes, r.genera) for r in out.collect()}
+    assert got == {"t": (10, "a (2); c (2); b (1); d (1); e (1)"), "u": (2, None)}
+    plan = out._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert "REPARTITION_BY_COL" in [line for line in plan if "Exchange" in line][-1]
