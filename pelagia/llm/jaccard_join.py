@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pelagia.llm.byte_kernels import LAST_ID, LOWER, Words, ids_of, mix, shingles, slices
-from pelagia.llm.shared import materialize, running_total
+from pelagia.llm.shared import giving_back, materialize, running_total
 from pelagia.llm.spans import numbered
 from pelagia.operators.graph import connected_components
 
@@ -161,7 +161,7 @@ def set_classes(docs: DataFrame, n: int) -> DataFrame:
             cells = pa.array(short_vectors(text, value, size), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(ids_of(rows)), pa.array(size), *sums, cells], names=["id", "n_shingles", "a", "b", "cells"])
 
-    rows = materialize(docs.mapInArrow(each, "id long, n_shingles long, a long, b long, cells binary"), "sets")
+    rows = materialize(docs.mapInArrow(giving_back(each), "id long, n_shingles long, a long, b long, cells binary"), "sets")
     reps = rows.filter("n_shingles > 0").groupBy("n_shingles", "a", "b").agg(F.min("id").alias("rep"))
     return rows.join(reps, ["n_shingles", "a", "b"], "left").select("id", "n_shingles", F.coalesce("rep", "id").alias("rep"), "cells")
 
@@ -184,7 +184,7 @@ def signature_rows(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
                 signed, sign = signatures(text[pick], value[pick], len(rows), threshold)
                 yield pa.RecordBatch.from_arrays([pa.array(sign.view(np.int64)), pa.array(ids[signed])], names=["key", "id"])
 
-    return docs.mapInArrow(each, "key long, id long")
+    return docs.mapInArrow(giving_back(each), "key long, id long")
 
 
 def bucket_ties(block: pa.Table, threshold: Fraction, hot: int | None) -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +257,7 @@ def shared_signatures(docs: DataFrame, classes: DataFrame, n: int, threshold: Fr
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["src", "dst"])
 
     dealt = buckets.join(cells, "id").repartition("key").sortWithinPartitions("key", "id")
-    return dealt.select("key", "id", "n_shingles", "cells").mapInArrow(each, "src long, dst long").distinct()
+    return dealt.select("key", "id", "n_shingles", "cells").mapInArrow(giving_back(each), "src long, dst long").distinct()
 
 
 def count_vectors(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
@@ -276,7 +276,7 @@ def count_vectors(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
                 names=["part", "leaf", "id", "size", "elements", "counts"],
             )
 
-    return joined.mapInArrow(each, "part long, leaf long, id long, size long, elements binary, counts binary")
+    return joined.mapInArrow(giving_back(each), "part long, leaf long, id long, size long, elements binary, counts binary")
 
 
 class Forest:
@@ -402,7 +402,7 @@ def leaf_links(vectors: DataFrame, threshold: Fraction) -> DataFrame:
         types = [pa.int64()] * 6 + [pa.list_(pa.int32())]
         yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), types)], names=list(out))
 
-    return vectors.repartition("part", "leaf").sortWithinPartitions("part", "leaf").mapInArrow(each, LINKS)
+    return vectors.repartition("part", "leaf").sortWithinPartitions("part", "leaf").mapInArrow(giving_back(each), LINKS)
 
 
 def cross_links(vectors: DataFrame, leaves: DataFrame, within: DataFrame, threshold: Fraction) -> DataFrame:
@@ -448,8 +448,8 @@ def cross_links(vectors: DataFrame, leaves: DataFrame, within: DataFrame, thresh
 
     # First the count vectors alone, to see which documents have an open partner; then only those with their sets.
     dealt = lambda df: df.repartition(*pair).sortWithinPartitions(*pair)
-    wanted = materialize(dealt(rows.drop("elements")).mapInArrow(open_ones, "part long, leaf_a long, leaf_b long, id long"), "open")
-    return dealt(rows.join(wanted, [*pair, "id"])).mapInArrow(verified, "src long, dst long")
+    wanted = materialize(dealt(rows.drop("elements")).mapInArrow(giving_back(open_ones), "part long, leaf_a long, leaf_b long, id long"), "open")
+    return dealt(rows.join(wanted, [*pair, "id"])).mapInArrow(giving_back(verified), "src long, dst long")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pelagia.llm.shared import give_back
+from pelagia.llm.shared import giving_back
 
 SPACE = "▁"  # fixed value: what a vocabulary writes for a space
 CACHE_SEGMENTS = 250_000  # segments in one generation of a task's memory, which so never grows with the data
@@ -213,7 +213,7 @@ def digest_of(model: Codec, ids: np.ndarray) -> tuple[int, str, str]:
 DIGESTS = pa.schema([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
-def pieces(column: pa.ChunkedArray | pa.Array, size: int = 2_000_000) -> Iterator[list[str | None]]:
+def pieces(column: pa.ChunkedArray | pa.Array, size: int = 500_000) -> Iterator[list[str | None]]:
     """Texts in lists of about ``size`` characters, so that a batch of long texts stays small."""
     out, held = [], 0
     for value in column:
@@ -250,10 +250,8 @@ def run(docs: DataFrame, text_col: str, keep: dict[str, str], extra: str, work:
             names = [n for n in batch.schema.names if n != "text_in_"]
             new = work(texts)
             yield pa.RecordBatch.from_arrays(kept + list(new.values()), names=names + list(new))
-        done()
-        give_back()
 
-    return chosen.mapInArrow(each, schema)
+    return chosen.mapInArrow(giving_back(each, done), schema)
 
 
 def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

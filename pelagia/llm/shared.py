@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,6 +40,17 @@ def give_back() -> None:
         pass  # another C library
 
 
+def giving_back(each: Callable, done: Callable = lambda: None) -> Callable:
+    """``each`` for ``mapInArrow``, followed by ``done`` and :func:`give_back` once its own batches and arrays are gone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from each(batches)
+        done()
+        give_back()
+
+    return run
+
+
 def without_separators(text: Column) -> Column:
     """The text with every separator deleted; null reads as empty."""
     out = F.coalesce(text, F.lit(""))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from pelagia.llm.labelled import fold, logistic, sample_labels, sigmoid
 from pelagia.llm.sentencepiece_codec import text_batches
-from pelagia.llm.shared import give_back, materialize
+from pelagia.llm.shared import giving_back, materialize
 
 # Seed words of each class. Insults are extended from the labels.
 INSULTS = """asshole bastard bitch clown coward creep cretin dimwit disgusting dumb dumbass fool freak garbage hideous idiot
@@ -225,7 +225,7 @@ def count_stems(texts: DataFrame) -> DataFrame:
                 names=["stem", "toxic", "clean"],
             )
 
-    return texts.select("text", "y").mapInArrow(each, "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    return texts.select("text", "y").mapInArrow(giving_back(each), "stem string, toxic long, clean long").groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def support(texts: DataFrame, stems: list[str]) -> DataFrame:
@@ -241,7 +241,7 @@ def support(texts: DataFrame, stems: list[str]) -> DataFrame:
             listed = list(met)
             yield pa.RecordBatch.from_arrays([pa.array([m[i] for m in listed], pa.string()) for i in (0, 1)], names=["stem", "before"])
 
-    rows = texts.filter("y = 1").select("text").mapInArrow(each, "stem string, before string").distinct()
+    rows = texts.filter("y = 1").select("text").mapInArrow(giving_back(each), "stem string, before string").distinct()
     return rows.groupBy("stem").agg(F.count(F.lit(1)).alias("ways"))
 
 
@@ -273,10 +273,9 @@ def clause_features(docs: DataFrame, stems: dict[str, float], id_col: str, text_
         for batch, texts in text_batches(batches, "text"):
             rows = np.array([lexicon.features(t) for t in texts]).reshape(-1, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(rows[:, i]) for i in range(rows.shape[1])]], names=["id", *FEATURES])
-        give_back()
 
     chosen = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(each, ", ".join(["id long", *[f"{f} double" for f in FEATURES]]))
+    return chosen.mapInArrow(giving_back(each), ", ".join(["id long", *[f"{f} double" for f in FEATURES]]))
 
 
 # Weights used where no labels are given (intercept, then FEATURES).

@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import weakref
 from fractions import Fraction
 
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
-from pelagia.llm import mixing, toxicity
+from pelagia.llm import mixing, sentencepiece_codec, shared, toxicity
 from pelagia.llm.queries import piece_model
 from test_jaccard_join import brute
 
@@ -88,3 +90,20 @@ def test_stages_with_nulls_repeats_long_texts_and_clashing_columns(spark, tmp_pa
                 kept = {r.doc_id for r in docs.collect()}
                 assert 1 in kept and 2 not in kept and 4 in kept and set(range(10, 40)) <= kept
         assert (docs.count() > 20) == (start is df)
+
+
+def test_a_task_gives_memory_back_after_its_own_arrays_are_gone():
+    class Held:
+        pass
+
+    seen, alive = [], []
+
+    def each(batches):
+        for batch in batches:
+            held = Held()
+            seen.append(weakref.ref(held))
+            yield batch
+
+    run = shared.giving_back(each, lambda: alive.append([r() is not None for r in seen]))
+    assert list(run(iter([1, 2]))) == [1, 2] and alive == [[False, False]]
+    assert [len(p) for p in sentencepiece_codec.pieces(pa.array(["x" * 300_000] * 5))] == [2, 2, 1]
