@@ -23,6 +23,7 @@ PER_CELL = 16  # elements to a coordinate; sets beyond that have vectors four ti
 BUCKET = 20_000  # members of a bucket that are compared with each other; a larger bucket hangs together unseen
 LEAF = 512  # documents of a leaf
 NODE = 16  # documents of an inner box
+SLICE = 250_000  # bytes of text that are hashed at once, which sets the memory of a task; a longer text is one slice
 BAND = Fraction(3, 2)
 _ONE = np.uint64(1)
 
@@ -154,7 +155,7 @@ def set_classes(docs: DataFrame, n: int) -> DataFrame:
     """(id, n_shingles, rep, cells): documents with equal sets share the least id as ``rep``; ``cells`` counts elements."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in slices(batches):
+        for rows, data, offsets in slices(batches, size=SLICE):
             text, value = sets_of(data, offsets, n)
             size = np.bincount(text, minlength=len(rows))
             sums = [pa.array(x) for x in set_sums(text, value, len(rows))]
@@ -172,7 +173,7 @@ def signature_rows(docs: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: set[tuple[int, int]] = set()
-            for rows, data, offsets in slices(iter([batch])):
+            for rows, data, offsets in slices(iter([batch]), size=SLICE):
                 text, value = sets_of(data, offsets, n)
                 sums = list(zip(*(x.tolist() for x in set_sums(text, value, len(rows)))))
                 ids, new = ids_of(rows), np.zeros(len(rows), dtype=bool)
@@ -265,7 +266,7 @@ def count_vectors(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     joined = docs.join(members, "id").select("part", "leaf", "id", "text")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in slices(batches):
+        for rows, data, offsets in slices(batches, size=SLICE):
             text, value = sets_of(data, offsets, n)
             size = np.bincount(text, minlength=len(rows))
             ends = np.concatenate([[0], np.cumsum(size)])

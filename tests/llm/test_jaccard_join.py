@@ -91,3 +91,27 @@ def test_short_vectors_bound_the_overlap_at_every_width():
     unlike = [np.unique(rnd.integers(1, 1 << 62, 3000).astype(np.uint64)) for _ in range(2)]
     pair = jaccard_join.ShortVectors(jaccard_join.short_vectors(np.repeat([0, 1], 3000), np.concatenate(unlike), np.array([3000, 3000])))
     assert pair.shared(np.array([0]), np.array([1]))[0] < 0.88 * 3000
+
+
+def test_signing_takes_little_memory(monkeypatch):
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from pelagia.llm import byte_kernels
+
+    monkeypatch.setattr(byte_kernels, "_powers", [np.ones(1, np.uint64), np.ones(1, np.uint64)])
+
+    class Docs:
+        def mapInArrow(self, each, schema):
+            return each
+
+    rnd = random.Random(5)
+    texts = [" ".join(f"w{rnd.randrange(10**6)}" for _ in range(300)) for _ in range(2000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    tracemalloc.start()
+    signed = {i for out in jaccard_join.signature_rows(Docs(), 5, Fraction(4, 5))(iter([batch])) for i in out.column(1).to_pylist()}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert signed == set(range(len(texts))) and peak < 30e6
