@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pelagia.functions.text import from_hybrid36
+from pelagia.session import cut_lineage
+from pelagia.sources import checksums
 from pelagia.sources.json_split import json_records
 from pelagia.sources.schemas import ENTRY_SCHEMA, ENZYME_RECORD, SAMPLE_XML_SCHEMA
 
@@ -342,14 +344,20 @@ def family_dimension(spark: SparkSession, definitions: Sequence[dict]) -> DataFr
 
 
 def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(file_name, size_bytes, md5, sha256) of landed files of up to 2 GiB each; empty files have no row."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select(
-        F.substring_index("path", "/", -1).alias("file_name"),
-        F.col("length").alias("size_bytes"),
-        F.md5("content").alias("md5"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    """(file_name, size_bytes, md5, sha256) of landed files; empty files have no row.
+
+    Files of more than ``checksums.BLOCK`` bytes are hashed by blocks in rounds, so no task reads one whole; between
+    two line feeds they have less than 2 GiB. Compressed files by their name are read whole, up to 2 GiB each.
+    """
+    files = spark.read.format("binaryFile").load(path).withColumn("file", F.xxhash64("_metadata.file_path"))
+    name, size = F.substring_index("path", "/", -1).alias("file_name"), F.col("length").alias("size_bytes")
+    apart = checksums.hashed_apart()
+    whole = files.where(~apart).select(name, size, F.md5("content").alias("md5"), F.sha2("content", 256).alias("sha256"))
+    large = cut_lineage(files.where(apart).select("file", name, size))
+    if large.isEmpty():
+        return whole
+    chained = checksums.chained_digests(spark, path, large.select("file", F.col("size_bytes").alias("size")))
+    return whole.unionByName(large.join(chained, "file").drop("file"))
 
 
 def download_status(checksums: DataFrame, published: DataFrame) -> DataFrame:

@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import json
 import random
@@ -5,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pelagia.sources import readers, writers
+from pelagia.sources import checksums, readers, writers
 
 
 def test_tsv_blanks_and_missing_columns(spark, tmp_path):
@@ -149,3 +150,22 @@ def test_enzyme_json_over_several_files(spark, tmp_path):
     assert sorted(r.ec for r in got) == sorted(f"{i}.1" for i in [0, *[n * 1000 + k for n in range(1, 9) for k in range(3 * n)]])
     assert {r.release for r in got} == {"r1"}
     assert all(r.record["general_information"][0]["value"] == f'v{r.ec[:-2]}}}"' for r in got)
+
+
+def test_large_files_are_hashed_block_by_block(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(checksums, "BLOCK", 10_000)
+    rnd = random.Random(4)
+    files = {
+        "random name.bin": rnd.randbytes(95_000), "ends.bin": rnd.randbytes(41_000) + b"\n", "mark.txt": b"\xef\xbb\xbf" + rnd.randbytes(30_000),
+        "both.txt": b"\xef\xbb\xbf" + b"a\r\n" * 9000, "feeds.bin": b"\n" * 20_001, "one.bin": b"x" * 50_000, "small.bin": b"\r\n\x00", "z.gz": gzip.compress(rnd.randbytes(20_000)),
+    }
+    for name, data in files.items():
+        (tmp_path / name).write_bytes(data)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "7000b")
+    try:
+        landed = readers.file_checksums(spark, str(tmp_path))
+        got = {r.file_name: (r.size_bytes, r.md5, r.sha256) for r in landed.collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {n: (len(d), hashlib.md5(d).hexdigest(), hashlib.sha256(d).hexdigest()) for n, d in files.items()}
