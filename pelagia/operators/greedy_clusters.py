@@ -16,21 +16,24 @@ def ranked_sets(sequences: DataFrame, k: int, min_shared: float) -> DataFrame:
     """(r, id, n, length, kmers, prefix) of sequences (id, sequence) that have a k-mer.
 
     ``r`` counts sequences by falling number of k-mers, ties in digest order of the id. ``prefix`` holds a sequence's
-    n - ceil(min_shared * n) + 1 rarest k-mers: who shares the wanted part of them all shares one of these.
+    n - ceil(min_shared * n) + 1 rarest k-mers: who shares the wanted part of them all shares one of these. K-mers of
+    one sequence alone, which nobody shares, count in ``n`` but are left out of ``kmers`` and ``prefix``.
     """
+    sequences = cut_lineage(sequences.select("id", "sequence"))
     hashed = F.array_distinct(F.transform(kmers(F.col("sequence"), k), lambda m: F.xxhash64(m)))
     sets = sequences.select("id", F.length("sequence").alias("length"), hashed.alias("kmers")).withColumn("n", F.size("kmers")).where("n > 0")
-    sets = cut_lineage(sets)
     opened = sets.select("id", F.explode("kmers").alias("k"))
     frequency = opened.groupBy("k").agg(F.count(F.lit(1)).alias("df"))
     rare = opened.join(frequency, "k").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "k"))).alias("e"))
     wanted = F.size("e") - F.ceil(F.round(F.size("e") * F.lit(min_shared), 9)).cast("int") + 1
-    prefix = rare.select("id", F.transform(F.slice("e", F.lit(1), wanted), lambda x: x["k"]).alias("prefix"))
+    met = lambda e: F.transform(F.filter(e, lambda x: x["df"] > 1), lambda x: x["k"])
+    held = rare.select("id", met(F.col("e")).alias("kmers"), met(F.slice("e", F.lit(1), wanted)).alias("prefix"))
+    sets = cut_lineage(sets.select("id", "length", "n"))
     digest = F.md5(F.col("id").cast("string"))
     numbered = ordered_index(
         sets.select("id", "n").withColumn("d", digest), [], F.struct(-F.col("n"), F.substring("d", 1, 2)), [-F.col("n"), "d", "id"], "r"
     )
-    return cut_lineage(sets.join(prefix, "id").join(numbered.select("id", "r"), "id"))
+    return cut_lineage(sets.join(numbered.select("id", "r"), "id").join(held, "id"))
 
 
 def similar_to(later: DataFrame, reps: DataFrame, min_shared: float, min_length_ratio: float) -> DataFrame:

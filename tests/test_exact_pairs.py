@@ -87,6 +87,12 @@ def test_greedy_clusters_against_one_by_one(spark):
     assert greedy_clusters.cluster_by_kmers(df.limit(0), "id").count() == 0
 
 
+def test_kmers_of_one_sequence_alone_are_not_written(spark):
+    df = spark.createDataFrame([("a", "ACDEFGHIKL"), ("b", "ACDEFGHIKM"), ("c", "WWYYWYWYYY")], "id string, sequence string")
+    got = {r.id: (r.n, len(r.kmers), len(r.prefix)) for r in greedy_clusters.ranked_sets(df, 5, 0.8).collect()}
+    assert got == {"a": (6, 5, 1), "b": (6, 5, 1), "c": (6, 0, 0)}
+
+
 @pytest.mark.parametrize("block", [2048, 7])
 def test_block_pairs_list_each_pair_once(spark, block):
     rnd = random.Random(3)
