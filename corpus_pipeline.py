@@ -1,4 +1,7 @@
-"""The corpus pipeline: documents through five stages, each written as Parquet and read again."""
+"""The corpus pipeline: documents through five stages, each written as Parquet and read again.
+
+Executors and workers live through all stages, so those with Python lower the session's limit of an Arrow batch.
+"""
 
 from __future__ import annotations
 
@@ -9,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pelagia.llm import exact_dedup, jaccard_join, mixing, sentencepiece_codec, toxicity
 from pelagia.llm.queries import piece_model
-from pelagia.llm.shared import table
+from pelagia.llm.shared import small_batches, table
 from pelagia.session import ensure_checkpoint_dir
 
 ORACLE_SQL = None  # learned weights, the splitting tree and the vocabulary have no SQL form
@@ -21,6 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     All rows of an id go if one of its texts is rejected; null ids, null and empty texts stay, repeated clean rows stay
     each, and every column passes through.
     """
+    small_batches(spark)
     return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
@@ -37,6 +41,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Texts without words link with nothing and stay; a null id counts as the last; rows that repeat an id stay or go together.
     """
+    small_batches(spark)
     return jaccard_join.drop_near_copies(docs)
 
 
@@ -55,6 +60,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts have the end id alone; every row of ``docs`` gives one, repeated ones too.
     """
+    small_batches(spark)
     tokens = sentencepiece_codec.encode_texts(docs.select("doc_id", "lang", "source", "text"), piece_model())
     return tokens.select(
         "doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256")

@@ -20,6 +20,7 @@ from pelagia.llm.shared import giving_back
 
 SPACE = "▁"  # fixed value: what a vocabulary writes for a space
 CACHE_SEGMENTS = 250_000  # segments in one generation of a task's memory, which so never grows with the data
+FEWER_SEGMENTS = 100_000  # the same where a job goes on in the same workers: more time, less memory
 LIBRARY_BATCH = 4096
 SHORT = 32  # symbols
 NO_PAIR = 1 << 40  # above every rank
@@ -33,9 +34,10 @@ class Codec:
     merge. Each segment is worked out once per task and then remembered.
     """
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, remembered: int | None = None):
         import sentencepiece
 
+        self.remembered = remembered or CACHE_SEGMENTS
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
         lib = self.library
         self.end_id = lib.eos_id()
@@ -162,7 +164,7 @@ class Codec:
         met again return.
         """
         cuts = [self.cut(t or "") for t in texts]
-        if len(self.memory) > CACHE_SEGMENTS:
+        if len(self.memory) > self.remembered:
             self.old, self.memory = self.memory, {}
         new = set().union(*cuts).difference(self.memory)
         met = new.intersection(self.old)
@@ -200,9 +202,9 @@ codecs.register_error("each_byte", each_byte)
 
 
 @lru_cache(maxsize=4)
-def codec(model_file: str) -> Codec:
+def codec(model_file: str, remembered: int | None = None) -> Codec:
     """One codec per worker and vocabulary."""
-    return Codec(model_file)
+    return Codec(model_file, remembered)
 
 
 def digest_of(model: Codec, ids: np.ndarray) -> tuple[int, str, str]:
@@ -270,22 +272,23 @@ def encode_digests(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
     return run(docs, text_col, {id_col: "id"}, "n_tokens long, ids_sha256 string, decoded_sha256 string", work, lambda: codec(model_file).forget())
 
 
-def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text") -> DataFrame:
+def encode_texts(docs: DataFrame, model_file: str, text_col: str = "text", remembered: int = FEWER_SEGMENTS) -> DataFrame:
     """``docs`` without its text, plus ``ids`` (end id last) and ``decoded``.
 
     Every text is encoded whole; null and empty texts give the end id alone and an empty ``decoded``. All other columns
-    pass through; a column of ``docs`` named ``ids`` or ``decoded`` is kept as ``ids_in`` or ``decoded_in``.
+    pass through; a column of ``docs`` named ``ids`` or ``decoded`` is kept as ``ids_in`` or ``decoded_in``. Workers keep
+    ``remembered`` segments a generation, and nothing of the vocabulary once a task has ended.
     """
 
     def work(texts: list[str | None]) -> dict[str, pa.Array]:
-        model = codec(model_file)
+        model = codec(model_file, remembered)
         rows = model.encode_batch(texts)
         ends = np.cumsum([0, *[len(i) for i in rows]], dtype=np.int32)
         ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else [], pa.int32()))
         return {"ids": ids, "decoded": pa.array([model.decode(i.tolist()) for i in rows], pa.string())}
 
     keep = {c: f"{c}_in" if c in ("ids", "decoded") else c for c in docs.columns if c != text_col}
-    return run(docs, text_col, keep, "ids array<int>, decoded string", work, lambda: codec(model_file).forget())
+    return run(docs, text_col, keep, "ids array<int>, decoded string", work, codec.cache_clear)
 
 
 def decode_ids(tokens: DataFrame, model_file: str, ids_col: str = "ids", out: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -14,6 +15,7 @@ from pelagia.session import ensure_checkpoint_dir
 
 # The six separators [\x20\x09-\x0D].
 SEPARATORS = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
+BATCH_BYTES = 4 << 20  # of an Arrow batch, after small_batches
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches of this session hold at most ``BATCH_BYTES``, unless it has a lower limit already.
+
+    An executor holds a batch outside its heap, twice while its buffers grow, and the worker holds it again; by rows
+    alone, long texts make batches of tens of megabytes. No row is lost: a batch takes one row at least.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)b?", (spark.conf.get(key, None) or "-1").strip().lower()).groups()
+    if not 0 < int(number) << 10 * " kmgtp".index(unit or " ") <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def give_back() -> None:
     """Hand memory that a finished task no longer uses to the system; workers live on for later tasks."""
     pa.default_memory_pool().release_unused()

@@ -107,3 +107,39 @@ def test_a_task_gives_memory_back_after_its_own_arrays_are_gone():
     run = shared.giving_back(each, lambda: alive.append([r() is not None for r in seen]))
     assert list(run(iter([1, 2]))) == [1, 2] and alive == [[False, False]]
     assert [len(p) for p in sentencepiece_codec.pieces(pa.array(["x" * 300_000] * 5))] == [2, 2, 1]
+
+
+def test_the_pipeline_sends_small_batches_and_every_row(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, docs = spark.conf.get(key), spark.range(0, 3_000, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 2000 + id) AS text")
+
+    def each(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "bytes"])
+
+    try:
+        for name in ("toxicity", "jaccard_join", "sentencepiece"):
+            spark.conf.unset(key)
+            start = spark.createDataFrame([(1, "a b c", "en", "s")], "doc_id long, text string, lang string, source string")
+            dict(corpus_pipeline.STAGES)[name](spark, start, SF)
+            n, most = docs.mapInArrow(each, "n long, bytes long").selectExpr("sum(n)", "max(bytes)").first()
+            assert n == 3_000 and most < 1.1 * shared.BATCH_BYTES, name
+        for lower, after in (("100k", "100k"), ("64m", str(shared.BATCH_BYTES))):
+            spark.conf.set(key, lower)
+            shared.small_batches(spark)
+            assert spark.conf.get(key) == after
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_an_encoding_task_keeps_few_segments_and_leaves_no_vocabulary(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(sentencepiece_codec, "run", lambda *a: taken.extend(a))
+    sentencepiece_codec.encode_texts(spark.createDataFrame([(1, "a")], "doc_id long, text string"), piece_model(), remembered=5)
+    work, done = taken[-2:]
+    model = sentencepiece_codec.codec(piece_model(), 5)
+    for text in ["one two three four five six", "seven eight nine", "one two ten", "six eleven"] * 2:
+        assert work([text])["ids"][0].as_py() == model.library.encode(text, add_eos=True)
+        assert len(model.memory) + len(model.old) <= 20
+    done()
+    assert sentencepiece_codec.codec.cache_info().currsize == 0
