@@ -217,19 +217,24 @@ def triad_with_fallback(atoms: DataFrame, tight: float = 4.5) -> DataFrame:
     return picked.select("structure", "_p.kind", "_p.triad.*")
 
 
-def triad_details(triads: DataFrame, atoms: DataFrame, proteins: DataFrame, nucleophile: str = "C") -> DataFrame:
+def triad_details(
+    triads: DataFrame, atoms: DataFrame, proteins: DataFrame, nucleophile: str = "C", sequence: Column | str = "sequence"
+) -> DataFrame:
     """``triads`` with ``nuc_in_motif`` and the model confidence of each of its three residues.
 
     ``nuc_in_motif``: the nucleophile is the middle of a ``G.x.G`` match in the protein's ``sequence`` (matches left to
-    right, none overlapping another); NULL without a sequence. A confidence is that of the residue's CA atom (the
+    right, none overlapping another); NULL without a sequence. ``sequence`` is a column of ``proteins`` or an expression
+    over them, which is worked out where the motif is looked for. A confidence is that of the residue's CA atom (the
     greatest, if it is listed twice), NULL if there is none. One join serves the three residues.
     """
     triads = cut_lineage(triads)  # a row per structure, met three times
+    sequence = F.col(sequence) if isinstance(sequence, str) else sequence
     inside_motif = motif_at(F.col("sequence"), f"G.[{nucleophile}].G", 5, F.col("nucleophile"), 2).alias("nuc_in_motif")
     # Settled beside the sequence, so that no list of matches is sent anywhere; dealt by number, since a small file of
     # long sequences would be one task.
     parts = int(triads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     inside = proteins.repartition(parts, "structure").join(triads.select("structure", "nucleophile"), "structure")
+    inside = inside.select("structure", "nucleophile", sequence.alias("sequence"))
     known = triads.join(inside.select("structure", inside_motif), "structure", "left")
     roles = {"nuc": "nucleophile", "asp": "asp", "his": "his"}
     parts = F.array(*[F.struct(F.lit(role).alias("role"), F.col(column).alias("position")) for role, column in roles.items()])

@@ -119,10 +119,11 @@ def jn20_details(spark, sf):
     levels = table(spark, sf, "lineitem").selectExpr(
         "l_suppkey AS structure", "CAST(l_partkey AS INT) AS position", "CASE WHEN l_partkey % 12 > 3 THEN 'CA' ELSE 'side' END AS atom", "l_tax AS confidence"
     )
-    # Stretches with one motif each; in the second kind another match would overlap it.
-    proteins = table(spark, sf, "supplier").selectExpr("s_suppkey AS structure", "CASE WHEN s_suppkey % 2 = 0 THEN repeat('GACAGAC', 6000) ELSE repeat('GACAGTCTGW', 4200) END AS sequence")
+    # Stretches with one motif each, as far as the residues of a structure go; in the second kind another match would overlap it.
+    proteins = levels.groupBy("structure").agg(F.max("position").alias("reach"))
+    text = F.expr("CASE WHEN structure % 2 = 0 THEN repeat('GACAGAC', CAST(reach DIV 7 AS INT) + 2) ELSE repeat('GACAGTCTGW', CAST(reach DIV 10 AS INT) + 2) END")
     found = rounded(sequences.structural_triads(atoms(spark, sf)), "nuc_his", "his_asp", "nuc_asp", "score")
-    return sequences.triad_details(found, levels, proteins)
+    return sequences.triad_details(found, levels, proteins, sequence=text)
 
 
 @query("jn20_structural_triads", f"WITH {TRIAD_SQL} SELECT * EXCLUDE (kind) FROM tr WHERE kind = 'C'")
