@@ -131,8 +131,11 @@ def evidence_rows(hits: DataFrame, payload: Sequence[str]) -> DataFrame:
     )
 
 
-def phenotype_rows(proteins: DataFrame, monomers: dict, polymers: dict) -> DataFrame:
-    """Function and catalytic-activity statements as normalized phenotype rows."""
+def phenotype_rows(proteins: DataFrame, monomers: dict, polymers: dict, blank: Sequence[str] = ()) -> DataFrame:
+    """Function and catalytic-activity statements as normalized phenotype rows.
+
+    A blank or NULL statement gives no row, unless its source field is one of ``blank``.
+    """
     level = function_evidence_level(F.col("function_text"), monomers, polymers)
     statement = F.array(
         F.struct(
@@ -148,7 +151,8 @@ def phenotype_rows(proteins: DataFrame, monomers: dict, polymers: dict) -> DataF
             F.lit(GENERIC).alias("level"),
         ),
     )
-    rows = proteins.select("protein_id", F.inline(statement)).where("text IS NOT NULL AND text <> ''")
+    rows = proteins.select("protein_id", F.inline(statement))
+    rows = rows.where((F.col("text").isNotNull() & (F.col("text") != "")) | F.col("source_field").isin(list(blank)))
     norm = normalized_phenotype(F.col("text"), F.col("level"), monomers, polymers)
     return rows.select("protein_id", "phenotype_type", "source_field", norm.alias("_n")).select(
         "protein_id", "phenotype_type", "source_field", "_n.*"
