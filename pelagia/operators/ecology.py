@@ -55,6 +55,13 @@ def cluster_points(
     return cluster_genomes(rows, facts, genomes=genomes).where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
+def cluster_positions(rows: DataFrame, genomes: DataFrame) -> DataFrame:
+    """(cluster, position) of every row whose genome has one: as :func:`cluster_points`, but the rows of a genome are not
+    counted, so they meet the table of ``genomes`` without a shuffle by (cluster, genome)."""
+    about = genomes.select("genome", "lat", "lon").dropDuplicates(["genome"]).where("lat IS NOT NULL AND lon IS NOT NULL")
+    return rows.where("genome <> ''").select("cluster_id", "genome").join(about, "genome").select("cluster_id", "lat", "lon")
+
+
 def spherical_dispersion(points: DataFrame, group: str = "cluster_id") -> DataFrame:
     """Resultant length (1 together, 0 spread out) and centroid of the unit vectors of a group."""
     x, y, z = unit_vector(F.col("lat"), F.col("lon"))

@@ -1,5 +1,6 @@
 """Farthest pairs, greedy clusters, split self joins and resampling against plain loops."""
 
+import functools
 import hashlib
 import math
 import random
@@ -40,6 +41,25 @@ def test_farthest_pairs_of_many_shapes(spark, monkeypatch):
     assert farthest.farthest_km(spark.createDataFrame([], PLACES)).count() == 0
 
 
+def test_a_grid_of_opposite_points_is_settled_at_once(spark, monkeypatch):
+    # Every point of a whole grid has its opposite, so no bound rules out any of them.
+    grid = spark.range(-18, 19).selectExpr("id * 5.0D AS lat").crossJoin(spark.range(-36, 37).selectExpr("id * 5.0D AS lon"))
+    half = grid.where("lat >= 0 AND lon > 0 AND lon < 175")
+    decimal = spark.createDataFrame([(0.1, 0.1), (-0.1, -179.9), (7.0, 3.0), (90.0, 5.0), (89.0, 5.0)], "lat double, lon double")
+    poles = spark.createDataFrame([(90.0, 5.0), (-90.0, 7.0)], "lat double, lon double")
+    named = {"grid": grid, "half": half, "decimal": decimal, "poles": poles, "turned": decimal.selectExpr("-lat AS lat", "lon + 360 AS lon")}
+    points = functools.reduce(lambda x, y: x.unionByName(y), [df.withColumn("cluster_id", F.lit(name)) for name, df in named.items()])
+    placed = farthest.placed_points(points, "cluster_id")
+    assert {r[0] for r in farthest.opposite_groups(placed, "cluster_id").collect()} == {"grid", "decimal", "poles", "turned"}
+    seen = []
+    monkeypatch.setattr(farthest, "candidates", lambda points, group, f=farthest.candidates: seen.append(points.count()) or f(points, group))
+    got = {r.cluster_id: r.max_pairwise_km for r in farthest.farthest_km(points).collect()}
+    assert seen == [half.distinct().count()]
+    for name, df in named.items():
+        at = [tuple(r) for r in df.collect()]
+        assert got[name] == pytest.approx(max(km(a, b) for a in at for b in at[:: 1 if len(at) < 999 else 20]), abs=2e-3), name
+
+
 def test_a_hot_group_is_cut_into_cells(spark):
     points = spark.range(60_000).select(
         F.lit("hot").alias("cluster_id"), F.col("id").alias("genome"), (F.pmod(F.xxhash64("id"), F.lit(1_700_001)) / 10_000 - 85).alias("lat"),
