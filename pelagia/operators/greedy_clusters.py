@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,37 +40,148 @@ def ranked_sets(sequences: DataFrame, k: int, min_shared: float) -> DataFrame:
     return cut_lineage(sets.join(numbered.select("id", "r"), "id").join(held, "id"))
 
 
-def similar_to(later: DataFrame, reps: DataFrame, min_shared: float, min_length_ratio: float) -> DataFrame:
+CHUNK = 2048  # rows of a length class that meet those of another chunk in one task
+CHUNK_BYTES = 8 << 20  # of their bitmaps
+BATCH_BYTES = 8 << 20  # of texts handed to a Python worker at once
+
+
+def hashed_kmers(sequence: str, k: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the substrings of length ``k``."""
+    letters = np.frombuffer(sequence.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    if len(letters) < k:
+        return np.zeros(0, np.uint64)
+    h = np.zeros(len(letters) - k + 1, np.uint64)
+    for j in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + letters[j : j + len(h)] + np.uint64(1)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+    h.sort()
+    return h[np.concatenate(([True], h[1:] != h[:-1]))]
+
+
+def class_width(min_length_ratio: float) -> float:
+    """Width of a length class on the scale of logarithms: lengths within the ratio are at most one class apart."""
+    return max(-math.log(min_length_ratio), 1e-7) * (1 + 1e-9) if min_length_ratio > 0 else math.inf
+
+
+def class_bits(number: int, width: float) -> int:
+    """Bits of a class: a power of two, at least twice its greatest length."""
+    longest = math.exp((number + 1) * width) if width < math.inf else 1 << 16
+    return 1 << max(6, math.ceil(math.log2(2 * longest)))
+
+
+def marked_sets(texts: DataFrame, k: int, width: float) -> DataFrame:
+    """(id, length, n, class, bits) of texts that have a k-mer: their number of k-mers, a class of lengths, and a bitmap.
+
+    The k-mers stay in the task; a bit of the bitmap is set if one of them hashes to it.
+    """
+
+    def mark(batches):
+        for batch in batches:
+            rows = []
+            for key, sequence in zip(batch["id"], batch["sequence"]):
+                h = hashed_kmers(sequence, k)
+                if len(h):
+                    number = int(math.log(len(sequence)) / width)
+                    bits = np.zeros(class_bits(number + 1, width), np.uint8)
+                    bits[(h & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+                    rows.append((key, len(sequence), len(h), number, np.packbits(bits, bitorder="little").tobytes()))
+            yield pd.DataFrame(rows, columns=["id", "length", "n", "class", "bits"])
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.mapInPandas(mark, f"id {kind}, length int, n int, class int, bits binary")
+
+
+def candidates(rows: DataFrame, min_length_ratio: float, pairs: bool) -> DataFrame:
+    """(r) of the rows marked ``later`` that may resemble an earlier one marked ``earlier``, or all such (r, rep).
+
+    What a sequence lacks of another is at least what its bitmap lacks of the other's; so no pair is missed. Rows meet in
+    the class of the longer one. A class is dealt to chunks, and each pair of chunks is one group.
+    """
+    width = class_width(min_length_ratio)
+    at = F.inline(F.array(*[F.struct((F.col("class") + i).alias("key"), F.lit(i == 0).alias("own")) for i in (0, 1)]))
+    placed = rows.select("r", "n", "need", "length", "bits", "later", "earlier", at)
+    sizes = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.max(F.length("bits")).alias("b"))
+    chunk = F.least(F.lit(CHUNK), F.greatest(F.lit(1), F.floor(F.lit(CHUNK_BYTES) / F.col("b"))))
+    dealt = placed.join(sizes.select("key", F.ceil(F.col("m") / chunk).cast("int").alias("g")), "key")
+    dealt = dealt.withColumn("chunk", F.pmod(F.xxhash64("r"), F.col("g")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
+    dealt = dealt.withColumn("i", F.least("chunk", "other")).withColumn("j", F.greatest("chunk", "other")).drop("g", "other")
+
+    def meet(table: pa.Table) -> pa.Table:
+        table = table.sort_by("r").combine_chunks()
+        r, n, need, length, own, later, earlier, chunk = (
+            table[c].to_numpy(zero_copy_only=False) for c in ("r", "n", "need", "length", "own", "later", "earlier", "chunk")
+        )
+        size = class_bits(int(table["key"][0].as_py()), width) // 8
+        bits = np.empty((len(r), size // 8), np.uint64)
+        for x, value in enumerate(table["bits"]):
+            words = np.frombuffer(value.as_buffer(), np.uint64)
+            while len(words) > size // 8:
+                words = words[: len(words) // 2] | words[len(words) // 2 :]
+            bits[x] = words
+        cross = table["i"][0].as_py() != table["j"][0].as_py()
+        u = np.flatnonzero(earlier)
+        r_u, length_u, own_u, chunk_u, without = r[u], length[u], own[u], chunk[u], ~bits[u]
+        out = ([], [])
+        for x in np.flatnonzero(later):
+            p = int(np.searchsorted(r_u, r[x]))
+            fits = np.minimum(length[x], length_u[:p]) / np.maximum(length[x], length_u[:p]) >= min_length_ratio
+            fits &= own_u[:p] | own[x]
+            if cross:
+                fits &= chunk_u[:p] != chunk[x]
+            fits = np.flatnonzero(fits)
+            if len(fits):
+                lacks = np.bitwise_count(without[fits] & bits[x]).sum(1, dtype=np.int64)
+                near = fits[lacks <= n[x] - need[x]]
+                near = near if pairs else near[:1]
+                out[0].append(np.full(len(near), r[x]))
+                out[1].append(r_u[near])
+        columns = [np.concatenate([np.zeros(0, np.int64), *c]) for c in out]
+        return pa.table({"r": columns[0], "rep": columns[1]} if pairs else {"r": columns[0]})
+
+    found = dealt.groupBy("key", "i", "j").applyInArrow(meet, "r long, rep long" if pairs else "r long")
+    return found if pairs else found.distinct()
+
+
+def similar_to(later: DataFrame, reps: DataFrame, texts: DataFrame, k: int, min_length_ratio: float) -> DataFrame:
     """(r, rep) of the sequences in ``later`` and the earlier ones in ``reps`` that they resemble, verified on whole sets."""
-    offered = later.select("r", F.explode("prefix").alias("k"))
-    held = reps.select(F.col("r").alias("rep"), F.explode("kmers").alias("k"))
-    met = offered.join(held, "k").where("rep < r").select("r", "rep").distinct()
-    a = later.select("r", "n", "length", "kmers")
-    b = reps.select(F.col("r").alias("rep"), F.col("length").alias("length_b"), F.col("kmers").alias("kmers_b"))
-    both = met.join(a, "r").where("n > 0").join(b, "rep")
-    near = F.least("length", "length_b") / F.greatest("length", "length_b") >= min_length_ratio
-    shared = F.size(F.array_intersect("kmers", "kmers_b")) >= F.ceil(F.round(F.col("n") * F.lit(min_shared), 9))
-    return both.where(near & shared).select("r", "rep")
-
-
-def greedy_representatives(sets: DataFrame, min_shared: float, min_length_ratio: float) -> DataFrame:
+    marked = lambda df, is_later: df.withColumn("later", F.lit(is_later)).withColumn("earlier", F.lit(not is_later))
+    found = cut_lineage(candidates(marked(later, True).unionByName(marked(reps, False)), min_length_ratio, True))
+    mine = found.join(later.select("r", "id", "need"), "r").join(texts, "id").select("r", "need", "rep", "sequence")
+    other = reps.select(F.col("r").alias("rep"), "id").join(texts, "id").select("rep", F.col("sequence").alias("sequence_b"))
+
+    def verify(batches):
+        last, held = None, None
+        for batch in batches:
+            kept = []
+            for rep, need, a, b in zip(batch["rep"], batch["need"], batch["sequence"], batch["sequence_b"]):
+                if rep != last:
+                    last, held = rep, hashed_kmers(b, k)
+                wanted = hashed_kmers(a, k)
+                at = np.minimum(np.searchsorted(held, wanted), len(held) - 1)
+                kept.append(int((held[at] == wanted).sum()) >= need)
+            yield batch.loc[kept, ["r", "rep"]]
+
+    return mine.join(other, "rep").mapInPandas(verify, "r long, rep long")
+
+
+def greedy_representatives(sets: DataFrame, texts: DataFrame, k: int, min_length_ratio: float) -> DataFrame:
     """(r) of the representatives: in order of ``r``, each sequence that resembles no earlier representative.
 
-    In a round, a sequence none of whose prefix k-mers stands in an earlier open sequence can resemble no earlier one
-    that is not settled yet, so it is a representative; what resembles it is settled too. The first holder of each
-    k-mer is a minimum taken map-side, so a group of copies is never paired with itself: all its members meet their
-    representative in the round in which that one is found.
+    In a round, a sequence that by its bitmap resembles no earlier open one resembles none that is not settled yet, so it
+    is a representative; what resembles it is settled too. A group of copies is never verified against itself: all its
+    members meet their representative in the round in which that one is found.
     """
     open_ = sets
     found = []
     while True:
-        first = open_.select("r", F.explode("kmers").alias("k")).groupBy("k").agg(F.min("r").alias("first"))
-        waiting = open_.select("r", F.explode("prefix").alias("k")).join(first, "k").where("first < r").select("r").distinct()
-        waiting = cut_lineage(waiting)
+        waiting = cut_lineage(candidates(open_.withColumn("later", F.lit(True)).withColumn("earlier", F.lit(True)), min_length_ratio, False))
         new = open_.join(waiting, "r", "left_anti")
         later = open_.join(waiting, "r", "left_semi")
         found.append(cut_lineage(new.select("r")))
-        settled = similar_to(later, new, min_shared, min_length_ratio).select("r").distinct()
+        if waiting.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        settled = similar_to(later, new, texts, k, min_length_ratio).select("r").distinct()
         open_ = cut_lineage(later.join(settled, "r", "left_anti"))
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, found)
@@ -87,11 +202,19 @@ def cluster_by_kmers(
     mine = mine.withColumn("_h", F.sha2("sequence", 256))
     named = cut_lineage(mine.groupBy("_h").agg(F.min("member").alias("id")))
     one = mine.join(named, "_h").where(F.col("member") == F.col("id")).dropDuplicates(["id"]).select("id", "sequence")
-    sets = ranked_sets(one, k, min_shared)
-    chosen = cut_lineage(greedy_representatives(sets, min_shared, min_length_ratio))
+    one.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    texts = cut_lineage(one)
+    marked = cut_lineage(marked_sets(texts, k, class_width(min_length_ratio)))
+    digest = F.md5(F.col("id").cast("string"))
+    numbered = ordered_index(
+        marked.select("id", "n").withColumn("d", digest), [], F.struct(-F.col("n"), F.substring("d", 1, 2)), [-F.col("n"), "d", "id"], "r"
+    )
+    need = F.ceil(F.round(F.col("n") * F.lit(min_shared), 9)).cast("int")
+    sets = cut_lineage(marked.withColumn("need", need).join(numbered.select("id", F.col("r").cast("long").alias("r")), "id"))
+    chosen = cut_lineage(greedy_representatives(sets, texts, k, min_length_ratio))
     reps = sets.join(chosen, "r", "left_semi")
     others = sets.join(chosen, "r", "left_anti")
-    first = similar_to(others, reps, min_shared, min_length_ratio).groupBy("r").agg(F.min("rep").alias("rep"))
+    first = similar_to(others, reps, texts, k, min_length_ratio).groupBy("r").agg(F.min("rep").alias("rep"))
     ids = sets.select(F.col("r").alias("rep"), F.col("id").alias("rep_id"))
     placed = sets.select("r", "id").join(first, "r").join(ids, "rep").select("id", "rep_id")
     by_text = named.join(placed, "id", "left").select("_h", F.coalesce("rep_id", "id").alias("rep"))

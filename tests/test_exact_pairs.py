@@ -107,6 +107,22 @@ def test_greedy_clusters_against_one_by_one(spark):
     assert greedy_clusters.cluster_by_kmers(df.limit(0), "id").count() == 0
 
 
+def test_bitmaps_miss_no_pair_in_any_chunk(spark, monkeypatch):
+    rnd = random.Random(5)
+    rows = []
+    for i in range(12):
+        base = "".join(rnd.choice("ACDEFGHIKLMNPQRSTVWY") for _ in range(rnd.choice([20, 40, 400])))
+        rows += [(f"s{i}-{j}", base[: len(base) - j]) for j in range(5)] + [(f"t{i}", base[len(base) // 10 :]), (f"u{i}", base[: len(base) // 2] * 2)]
+    df = spark.createDataFrame(rows, "id string, sequence string")
+    sets = {i: {s[j : j + 8] for j in range(len(s) - 7)} for i, s in rows}
+    marked = greedy_clusters.marked_sets(df, 8, greedy_clusters.class_width(0.9))
+    assert {r.id: r.n for r in marked.collect()} == {i: len(s) for i, s in sets.items()} and "kmers" not in marked.columns
+    for chunk in (2048, 3):
+        monkeypatch.setattr(greedy_clusters, "CHUNK", chunk)
+        got = {r.member: r.rep for r in greedy_clusters.cluster_by_kmers(df, "id").collect()}
+        assert got == brute_clusters(rows, 8, 0.8, 0.9)
+
+
 def test_kmers_of_one_sequence_alone_are_not_written(spark):
     df = spark.createDataFrame([("a", "ACDEFGHIKL"), ("b", "ACDEFGHIKM"), ("c", "WWYYWYWYYY")], "id string, sequence string")
     got = {r.id: (r.n, len(r.kmers), len(r.prefix)) for r in greedy_clusters.ranked_sets(df, 5, 0.8).collect()}
