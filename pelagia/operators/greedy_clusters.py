@@ -42,6 +42,7 @@ def ranked_sets(sequences: DataFrame, k: int, min_shared: float) -> DataFrame:
 
 CHUNK = 2048  # rows of a length class that meet those of another chunk in one task
 CHUNK_BYTES = 8 << 20  # of their bitmaps
+PAIRS_PER_ROW = 4  # few enough pairs of open sequences to verify them all
 BATCH_BYTES = 8 << 20  # of texts handed to a Python worker at once
 
 
@@ -93,7 +94,7 @@ def marked_sets(texts: DataFrame, k: int, width: float) -> DataFrame:
 
 
 def candidates(rows: DataFrame, min_length_ratio: float, pairs: bool) -> DataFrame:
-    """(r) of the rows marked ``later`` that may resemble an earlier one marked ``earlier``, or all such (r, rep).
+    """(r, m) of the rows marked ``later`` that may resemble m earlier ones marked ``earlier``, or all such (r, rep).
 
     What a sequence lacks of another is at least what its bitmap lacks of the other's; so no pair is missed. Rows meet in
     the class of the longer one. A class is dealt to chunks, and each pair of chunks is one group.
@@ -133,20 +134,26 @@ def candidates(rows: DataFrame, min_length_ratio: float, pairs: bool) -> DataFra
             if len(fits):
                 lacks = np.bitwise_count(without[fits] & bits[x]).sum(1, dtype=np.int64)
                 near = fits[lacks <= n[x] - need[x]]
-                near = near if pairs else near[:1]
-                out[0].append(np.full(len(near), r[x]))
-                out[1].append(r_u[near])
+                if len(near):
+                    out[0].append(np.full(len(near), r[x]) if pairs else r[x : x + 1])
+                    out[1].append(r_u[near] if pairs else np.array([len(near)]))
         columns = [np.concatenate([np.zeros(0, np.int64), *c]) for c in out]
-        return pa.table({"r": columns[0], "rep": columns[1]} if pairs else {"r": columns[0]})
+        return pa.table({"r": columns[0], "rep" if pairs else "m": columns[1]})
 
-    found = dealt.groupBy("key", "i", "j").applyInArrow(meet, "r long, rep long" if pairs else "r long")
-    return found if pairs else found.distinct()
+    found = dealt.groupBy("key", "i", "j").applyInArrow(meet, "r long, rep long" if pairs else "r long, m long")
+    return found if pairs else found.groupBy("r").agg(F.sum("m").alias("m"))
 
 
 def similar_to(later: DataFrame, reps: DataFrame, texts: DataFrame, k: int, min_length_ratio: float) -> DataFrame:
     """(r, rep) of the sequences in ``later`` and the earlier ones in ``reps`` that they resemble, verified on whole sets."""
     marked = lambda df, is_later: df.withColumn("later", F.lit(is_later)).withColumn("earlier", F.lit(not is_later))
-    found = cut_lineage(candidates(marked(later, True).unionByName(marked(reps, False)), min_length_ratio, True))
+    found = candidates(marked(later, True).unionByName(marked(reps, False)), min_length_ratio, True)
+    return verified(found, later, reps, texts, k)
+
+
+def verified(pairs: DataFrame, later: DataFrame, reps: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Those of the ``pairs`` (r, rep) whose sets of k-mers are as near as wanted."""
+    found = cut_lineage(pairs)
     mine = found.join(later.select("r", "id", "need"), "r").join(texts, "id").select("r", "need", "rep", "sequence")
     other = reps.select(F.col("r").alias("rep"), "id").join(texts, "id").select("rep", F.col("sequence").alias("sequence_b"))
 
@@ -169,22 +176,41 @@ def greedy_representatives(sets: DataFrame, texts: DataFrame, k: int, min_length
     """(r) of the representatives: in order of ``r``, each sequence that resembles no earlier representative.
 
     In a round, a sequence that by its bitmap resembles no earlier open one resembles none that is not settled yet, so it
-    is a representative; what resembles it is settled too. A group of copies is never verified against itself: all its
-    members meet their representative in the round in which that one is found.
+    is a representative; what resembles it is settled too. A large group of copies is not verified against itself: all its
+    members meet their representative in the round in which that one is found. Once the open ones have few pairs that may
+    be near, all of these are verified and the rest follows from them.
     """
     open_ = sets
     found = []
     while True:
-        waiting = cut_lineage(candidates(open_.withColumn("later", F.lit(True)).withColumn("earlier", F.lit(True)), min_length_ratio, False))
+        both = open_.withColumn("later", F.lit(True)).withColumn("earlier", F.lit(True))
+        waiting = cut_lineage(candidates(both, min_length_ratio, False))
+        total = waiting.agg(F.sum("m")).first()[0] or 0
+        if total <= PAIRS_PER_ROW * open_.count():
+            near = verified(candidates(both, min_length_ratio, True), open_, open_, texts, k)
+            return reduce(DataFrame.unionByName, [*found, first_of_neighbours(open_.select("r"), near)])
         new = open_.join(waiting, "r", "left_anti")
         later = open_.join(waiting, "r", "left_semi")
         found.append(cut_lineage(new.select("r")))
-        if waiting.isEmpty():
-            return reduce(DataFrame.unionByName, found)
         settled = similar_to(later, new, texts, k, min_length_ratio).select("r").distinct()
         open_ = cut_lineage(later.join(settled, "r", "left_anti"))
-        if open_.isEmpty():
-            return reduce(DataFrame.unionByName, found)
+
+
+def first_of_neighbours(rows: DataFrame, near: DataFrame) -> DataFrame:
+    """(r) of the representatives among ``rows``, when all their pairs (r, rep) that resemble each other are listed."""
+    near = cut_lineage(near)
+    found = [rows.join(near, "r", "left_anti")]
+    while not near.isEmpty():
+        # Whoever has no earlier open neighbour is a representative; their neighbours leave with all their pairs.
+        first = near.select(F.col("rep").alias("r")).distinct().join(near.select("r"), "r", "left_anti")
+        gone = cut_lineage(near.join(first.withColumnRenamed("r", "rep"), "rep", "left_semi").select("r").distinct())
+        rest = near.join(gone, "r", "left_anti").join(gone.withColumnRenamed("r", "rep"), "rep", "left_anti")
+        rest = cut_lineage(rest)
+        # Of those that stay, who lost the last earlier neighbour is free.
+        free = near.select("r").distinct().join(gone, "r", "left_anti").join(rest.select("r"), "r", "left_anti")
+        found.append(cut_lineage(free))
+        near = rest
+    return reduce(DataFrame.unionByName, found)
 
 
 def cluster_by_kmers(

@@ -117,8 +117,9 @@ def test_bitmaps_miss_no_pair_in_any_chunk(spark, monkeypatch):
     sets = {i: {s[j : j + 8] for j in range(len(s) - 7)} for i, s in rows}
     marked = greedy_clusters.marked_sets(df, 8, greedy_clusters.class_width(0.9))
     assert {r.id: r.n for r in marked.collect()} == {i: len(s) for i, s in sets.items()} and "kmers" not in marked.columns
-    for chunk in (2048, 3):
+    for chunk, few in ((2048, 4), (3, 0)):
         monkeypatch.setattr(greedy_clusters, "CHUNK", chunk)
+        monkeypatch.setattr(greedy_clusters, "PAIRS_PER_ROW", few)
         got = {r.member: r.rep for r in greedy_clusters.cluster_by_kmers(df, "id").collect()}
         assert got == brute_clusters(rows, 8, 0.8, 0.9)
 
